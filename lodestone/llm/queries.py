@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import packing, spm
+from . import chat, packing, ppm, simhash, spm, toxicity
 
-QUERIES = {f.__name__: f for f in (spm.op1_sentencepiece, packing.op7_packing)}
+QUERIES = {f.__name__: f for f in (spm.op1_sentencepiece, toxicity.op2_toxicity, simhash.op3_simhash, ppm.op5_language_id, chat.op6_chat, packing.op7_packing)}
 ORACLE_SQL: dict[str, str] = {}
