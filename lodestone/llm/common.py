@@ -73,3 +73,55 @@ def slices(batches, rows: int = 512, chars: int = 4_000_000):
         size = max(1, min(rows, b.num_rows, int(rows if not b.nbytes else max(1, chars * b.num_rows // b.nbytes))))
         for at in range(0, b.num_rows, size):
             yield b.slice(at, size)
+
+
+BITMAP_BITS = 1 << 26  # 8 MB, whatever the number of keys
+
+
+def key_bitmap(keys: DataFrame, *columns: str) -> bytes:
+    """A bitmap of fixed size with the hashed keys' bits set; the driver gets 8 MB at most."""
+    at = keys.select((F.pmod(F.xxhash64(*columns), F.lit(BITMAP_BITS)) + 1).alias("p"))  # buckets and bits count from 1
+    parts = at.groupBy(F.bitmap_bucket_number("p").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("b")).collect()
+    size = len(parts[0]["b"]) if parts else 4096
+    out = bytearray(BITMAP_BITS // 8)
+    for r in parts:
+        out[(r["k"] - 1) * size : r["k"] * size] = r["b"]
+    return bytes(out)
+
+
+def maybe_in(df: DataFrame, bitmap: bytes, *columns: str, keep: bool = True) -> DataFrame:
+    """Rows whose key may be in the bitmap (``keep``), or those whose key certainly is not."""
+    held = df.sparkSession.sparkContext.broadcast(bitmap)  # 8 MB
+    src = df.withColumn("_bit", F.pmod(F.xxhash64(*columns), F.lit(BITMAP_BITS)))
+
+    def run(batches):
+        import numpy as np
+
+        bits = np.frombuffer(held.value, np.uint8)
+        for b in batches:
+            p = b.column(b.num_columns - 1).to_numpy()
+            hit = (bits[p >> 3] >> (p & 7).astype(np.uint8)) & 1
+            yield b.select(b.schema.names[:-1]).filter(pa.array((hit == 1) == keep))
+
+    return src.mapInArrow(run, df.schema)
+
+
+def restrict(df: DataFrame, keys: DataFrame, *columns: str) -> DataFrame:
+    """``df`` semi-joined with ``keys`` (distinct or not); a bitmap keeps most other rows out of the shuffle."""
+    return maybe_in(df, key_bitmap(keys, *columns), *columns).join(keys.select(*columns), list(columns), "left_semi").select(df.columns)
+
+
+def without(df: DataFrame, keys: DataFrame, *columns: str) -> DataFrame:
+    """``df`` anti-joined with ``keys``; rows that the bitmap rules out skip the shuffle."""
+    bitmap = key_bitmap(keys, *columns)
+    rest = maybe_in(df, bitmap, *columns).join(keys.select(*columns), list(columns), "left_anti").select(df.columns)
+    return maybe_in(df, bitmap, *columns, keep=False).unionByName(rest)
+
+
+def word_hashes(words: list[bytes]):
+    """64-bit hashes of words, as a numpy array."""
+    import numpy as np
+    import xxhash
+
+    digest = xxhash.xxh3_64_digest
+    return np.frombuffer(b"".join([digest(w) for w in words]), "<u8")
