@@ -26,7 +26,9 @@ from pyspark.sql import functions as F
 from .common import batch, cached, ship, slices, table
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-CACHE_ENTRIES, CACHE_CHARS = 400_000, 64
+CACHE_ENTRIES, CACHE_CHARS = 1_200_000, 64  # about 300 MB a worker
+#: Texts with characters from here on keep their case: only below it are lower-casing and composing sure to commute.
+BEYOND = re.compile("[^\x00-\u024f]")
 PLAIN = re.compile(r"([A-Za-z]+)([.,]?)\Z")
 
 
@@ -43,22 +45,26 @@ class WordTokenizer:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        #: The model without normaliser and patterns, for words of lower-case ASCII letters.
+        self.bare = Tokenizer(self.tokenizer.model)
+        self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.held: dict[str, bytes] = {"": b""}
 
-    def _batch(self, texts: list[str]) -> list[np.ndarray]:
-        run = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
+    def _batch(self, texts: list[str], bare: bool = False) -> list[np.ndarray]:
+        tokenizer = self.bare if bare else self.tokenizer
+        run = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
         return [np.array(e.ids, "<u4") for e in run(texts, add_special_tokens=False)]
 
     def _plain(self, words: list[str]) -> dict[str, bytes]:
         out = {}
         groups = [words[i : i + 256] for i in range(0, len(words), 256)]
-        for group, ids in zip(groups, self._batch([" ".join(g) for g in groups])):
+        for group, ids in zip(groups, self._batch([" ".join(g) for g in groups], bare=True)):
             cuts = [0, *(4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()]
             data = ids.tobytes()
             if len(cuts) != len(group) + 1 or cuts[-1] != len(data):
@@ -82,20 +88,25 @@ class WordTokenizer:
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        parts = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") if t else [] for t in texts]
-        held = self.held
-        new = {w for own in parts for w in own if w not in held}
-        if len(held) + len(new) > CACHE_ENTRIES:
-            held.clear()
-            held[""] = b""
-            new = {w for own in parts for w in own if w}
+        parts = [self._fold(t).replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") if t else [] for t in texts]
+        get = self.held.get
+        found = [[get(w) for w in own] for own in parts]
+        new = {w for own, f in zip(parts, found) if None in f for w, x in zip(own, f) if x is None}
         if new:
+            if len(self.held) + len(new) > CACHE_ENTRIES:
+                self.held = {"": b""}
             self._learn(new)
-        out = [b"".join([held[w] for w in own]) for own in parts]
-        for w in new:
-            if len(w) > CACHE_CHARS:
-                del held[w]
-        return out
+            get = self.held.get
+            found = [[get(w) if x is None else x for w, x in zip(own, f)] if None in f else f for own, f in zip(parts, found)]
+            for w in new:
+                if len(w) > CACHE_CHARS:
+                    del self.held[w]
+        return [b"".join(f) for f in found]
+
+    @staticmethod
+    def _fold(text: str) -> str:
+        """Lower case, as the normaliser would make it; a text that may hold a special token's string stays."""
+        return text if "<|" in text or (not text.isascii() and BEYOND.search(text)) else text.lower()
 
 
 class HarmonicPacker:
