@@ -29,7 +29,7 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 CACHE_ENTRIES, CACHE_CHARS = 1_200_000, 64  # about 300 MB a worker
 #: Texts with characters from here on keep their case: only below it are lower-casing and composing sure to commute.
 BEYOND = re.compile("[^\x00-\u024f]")
-PLAIN = re.compile(r"([A-Za-z]+)([.,]?)\Z")
+PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-&(-/:-@\[-`{-~]*)\Z")
 
 
 class WordTokenizer:
@@ -37,8 +37,9 @@ class WordTokenizer:
 
     The tokenizer's normaliser composes, lower-cases and collapses white space, and its pre-tokenizer drops
     white space: nothing reaches across an ASCII blank, so words between blanks are encoded on their own. A
-    word of ASCII letters is one pre-token, with the ids of its lower-case form, and a full stop or comma
-    after it is another; such words are encoded many at a time and cut where a token ends a word.
+    word of Latin letters is one pre-token, with the ids of its lower-case form, and a run of ASCII marks
+    other than apostrophes after it is another; such words are encoded many at a time and cut where a token
+    ends a word.
     """
 
     def __init__(self, path: str):
@@ -48,9 +49,9 @@ class WordTokenizer:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        #: The model without normaliser and patterns, for words of lower-case ASCII letters.
+        #: The model without normaliser and patterns, for words of lower-case composed Latin letters.
         self.bare = Tokenizer(self.tokenizer.model)
-        self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
@@ -73,16 +74,18 @@ class WordTokenizer:
         return out
 
     def _learn(self, words: set[str]) -> None:
-        held, plain, cores, others = self.held, [], set(), []
+        held, plain, cores, others = self.held, [], set(), set()
         for w in words:
-            if m := PLAIN.match(w):
-                core, tail = m[1].lower(), m[2]
-                plain.append((w, core, tail))
+            m = PLAIN.match(w)
+            core = m[1].lower() if m else ""
+            if m and len(core) == len(m[1]):
+                plain.append((w, core, m[2]))
                 cores.add(core)
+                others.add(m[2])
             else:
-                others.append(w)
+                others.add(w)
         held.update(self._plain([c for c in cores if c not in held]))
-        others += [x for x in (".", ",") if x not in held]
+        others = [x for x in others if x not in held]
         held.update(zip(others, [i.tobytes() for i in self._batch(others)]))
         held.update([(w, held[core] + held[tail]) for w, core, tail in plain])
 
