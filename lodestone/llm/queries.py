@@ -2,7 +2,21 @@
 
 from __future__ import annotations
 
-from . import chat, packing, ppm, sigtree, simhash, spm, substring, toxicity
+from . import chat, htmlmain, mih, packing, ppm, sigtree, simhash, spm, substring, toxicity
 
-QUERIES = {f.__name__: f for f in (spm.op1_sentencepiece, toxicity.op2_toxicity, simhash.op3_simhash, ppm.op5_language_id, chat.op6_chat, packing.op7_packing, substring.op8_substring, sigtree.op10_jaccard)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        spm.op1_sentencepiece,
+        toxicity.op2_toxicity,
+        simhash.op3_simhash,
+        mih.op4_topk,
+        ppm.op5_language_id,
+        chat.op6_chat,
+        packing.op7_packing,
+        substring.op8_substring,
+        htmlmain.op9_html,
+        sigtree.op10_jaccard,
+    )
+}
+ORACLE_SQL: dict[str, str] = {"op4_topk": mih.OP4_SQL}
