@@ -79,24 +79,29 @@ def choose_paths(messages: DataFrame, top: int = 1, max_rounds: int = 40) -> Dat
     first = nodes.select("tree", "node", F.col("parent").alias("anc"), F.col("score").cast("double").alias("total"), F.lit(1).cast("long").alias("depth"))
     linked = first.filter("anc IS NOT NULL").join(known, ["tree", "anc"], "left_semi").select(first.columns)
     ends = first.join(linked.select("tree", "node"), ["tree", "node"], "left_anti").withColumn("anc", F.lit(None).cast("long"))
-    level, levels = scratch(linked.unionByName(ends), "chat-jump"), []
+    # Messages leave the rounds as soon as their root is known; of those only the trees that go on are asked again.
+    level, levels, finished = scratch(linked, "chat-jump"), [], [scratch(ends, "chat-ends")]
+    settled = finished[0]
     for _ in range(max_rounds):
-        if level.filter("anc IS NOT NULL").isEmpty():
+        if level.isEmpty():
             break
         levels.append(level)
-        up = level.select("tree", F.col("node").alias("anc"), F.col("anc").alias("far"), F.col("total").alias("more"), F.col("depth").alias("steps"))
-        level = scratch(
-            level.join(up, ["tree", "anc"], "left").select("tree", "node", F.col("far").alias("anc"), (F.col("total") + F.coalesce("more", F.lit(0.0))).alias("total"), (F.col("depth") + F.coalesce("steps", F.lit(0))).alias("depth")),
-            "chat-jump",
-        )
+        up = level.unionByName(settled).select("tree", F.col("node").alias("anc"), F.col("anc").alias("far"), F.col("total").alias("more"), F.col("depth").alias("steps"))
+        step = scratch(level.join(up, ["tree", "anc"]).select("tree", "node", F.col("far").alias("anc"), (F.col("total") + F.col("more")).alias("total"), (F.col("depth") + F.col("steps")).alias("depth")), "chat-jump")
+        level, ended = step.filter("anc IS NOT NULL"), step.filter("anc IS NULL")
+        finished.append(ended)
+        settled = scratch(settled.unionByName(ended).join(level.select("tree").distinct(), "tree", "left_semi").select(ended.columns), "chat-settled")
     # Messages that still point somewhere are in a cycle or hang from one.
+    whole = finished[0]
+    for part in finished[1:]:
+        whole = whole.unionByName(part)
     answered = nodes.filter("parent IS NOT NULL").select("tree", F.col("parent").alias("node")).distinct()
-    leaves = level.filter("anc IS NULL").join(answered, ["tree", "node"], "left_anti")
+    leaves = whole.join(answered, ["tree", "node"], "left_anti")
     mean = F.col("total") / F.col("depth")
     best = leaves.withColumn("rank", F.row_number().over(Window.partitionBy("tree").orderBy(mean.desc(), "node"))).filter(F.col("rank") <= top)
     paths = best.select("tree", F.col("node").alias("leaf"), "rank", "node", F.lit(0).cast("long").alias("pos"))
     for i, jump in enumerate(levels):
-        step = jump.filter("anc IS NOT NULL").select("tree", "node", "anc")
+        step = jump.select("tree", "node", "anc")
         paths = scratch(paths.unionByName(paths.join(step, ["tree", "node"]).select("tree", "leaf", "rank", F.col("anc").alias("node"), (F.col("pos") + (1 << i)).alias("pos"))), "chat-path")
     return paths.join(nodes.select("tree", "node", "role", "text"), ["tree", "node"]).select("tree", "leaf", "rank", "pos", "role", "text")
 
