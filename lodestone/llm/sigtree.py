@@ -152,8 +152,42 @@ def _shared(batches):
             yield batch({"token": token[keep], "sig": sig[keep], "n": n[keep], "leader": leader[keep], "leader_n": leader_n[keep].astype(np.int32)}, schema)
 
 
-def _check(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that link, by their whole sets."""
+def _bitmap(prefix: np.ndarray) -> bytes:
+    bits = np.zeros(BITS, bool)
+    bits[(prefix & np.uint64(BITS - 1)).astype(np.int64)] = True
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def _possible(pairs: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
+    """Of the pairs (a, b) those whose prefix bitmaps and sizes leave a link possible."""
+    left, right = (maps.select(F.col("sig").alias(x), F.col("n").alias(f"n{x}"), F.col("bitmap").alias(f"m{x}")) for x in "ab")
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(batches):
+        for t in batches:
+            if not t.num_rows:
+                continue
+            one, two = (_level(t.column(f"n{x}").to_numpy(), t.column(f"m{x}").to_pylist(), t.column(x).to_numpy(), percent) for x in "ab")
+            at = np.arange(t.num_rows)
+            ok = one.possible(two, at, at, percent)
+            yield batch({x: t.column(x).take(pa.array(ok)) for x in "ab"}, schema)
+
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "ma", "mb").mapInArrow(run, "a long, b long")
+
+
+def _check(pairs: DataFrame, docs: DataFrame, slim: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes that link, by the whole sets of one document of each class."""
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
+    ones = scratch(slim.join(asked, "sig", "left_semi").groupBy("sig").agg(F.min("doc_id").alias("doc_id")), "ones")
+    set_schema = pa.schema([("sig", pa.int64()), ("shingles", pa.list_(pa.int64()))])
+
+    def gather(batches):
+        for b in slices(batches):
+            sets = shingle_sets(b.column(1).to_pylist())
+            yield batch({"sig": _sign(sets), "shingles": [s.view(np.int64) for s in sets]}, set_schema)
+
+    # A repeated id may bring another text along; its class is in no pair, or rightly so.
+    sets = scratch(restrict(docs, ones.select("doc_id"), "doc_id").mapInArrow(gather, "sig long, shingles array<long>"), "pair-sets")
     left, right = (sets.select(F.col("sig").alias(x), F.col("shingles").alias(f"s{x}")) for x in "ab")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -161,12 +195,11 @@ def _check(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         for b in slices(batches, chars=16_000_000):
             keep = []
             for x, y in zip(b.column("sa"), b.column("sb")):
-                x, y = x.values.to_numpy(), y.values.to_numpy()
-                both = np.concatenate([x, y])
+                both = np.concatenate([x.values.to_numpy(), y.values.to_numpy()])
                 both.sort(kind="stable")
                 same = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * same >= percent * (len(x) + len(y) - same))
-            yield batch({n: b.column(n).filter(pa.array(keep)) for n in "ab"}, schema)
+                keep.append(100 * same >= percent * (len(both) - same))
+            yield batch({n: b.column(n).filter(pa.array(keep, pa.bool_())) for n in "ab"}, schema)
 
     return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
@@ -200,6 +233,14 @@ class Level:
         return at[most >= overlap_needed(self.low[i], other.low[j], percent)]
 
 
+def _level(n, bitmaps: list[bytes], part, percent: int) -> Level:
+    """Single sets as nodes."""
+    n = n.astype(np.int64)
+    bits = np.frombuffer(b"".join(bitmaps), "<u8").reshape(len(n), -1)
+    p = n - -(-percent * n // 100) + 1
+    return Level(bits, n, n, n - p, p - np.bitwise_count(bits).sum(1, dtype=np.int64), part, np.zeros(len(n), bool))
+
+
 def _tree(leaves: Level) -> list[Level]:
     """Levels from the members up to a few roots."""
     levels, fan = [leaves], LEAF
@@ -237,10 +278,7 @@ def _tree_run(percent: int):
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("na", pa.int32()), ("nb", pa.int32())])
 
     def level(t):
-        n = t["n"].astype(np.int64)
-        bits = np.frombuffer(b"".join(t["bitmap"]), "<u8").reshape(len(n), -1)
-        p = n - -(-percent * n // 100) + 1
-        return Level(bits, n, n, n - p, p - np.bitwise_count(bits).sum(1, dtype=np.int64), t["part"], np.zeros(len(n), bool))
+        return _level(t["n"], t["bitmap"], t["part"], percent)
 
     def group(t):
         order = np.lexsort((t["sig"], t["n"]))
@@ -299,45 +337,25 @@ def jaccard_components(docs: DataFrame, percent: int = 75) -> DataFrame:
     src = _text(docs)
     order = Order(common_levels(docs))
     held = docs.sparkSession.sparkContext.broadcast(order.levels)  # one byte a counter: 1 MB
-    sets_schema = pa.schema([("doc_id", pa.int64()), ("sig", pa.int64()), ("n", pa.int32()), ("prefix", pa.list_(pa.int64()))])
-
-    def signed(x: np.ndarray) -> np.ndarray:
-        return x.view(np.int64)
+    sets_schema = pa.schema([("doc_id", pa.int64()), ("sig", pa.int64()), ("n", pa.int32()), ("prefix", pa.list_(pa.int64())), ("bitmap", pa.binary())])
 
     def describe(batches):
         own = Order(held.value)
         for b in slices(batches):
             sets = shingle_sets(b.column(1).to_pylist())
-            yield batch({"doc_id": b.column(0), "sig": [s if len(x) else None for s, x in zip(_sign(sets), sets)], "n": np.array([len(s) for s in sets], np.int32), "prefix": [signed(own.prefix(s, percent)) if len(s) else [] for s in sets]}, sets_schema)
+            prefixes = [own.prefix(s, percent) if len(s) else s for s in sets]
+            yield batch({"doc_id": b.column(0), "sig": [s if len(x) else None for s, x in zip(_sign(sets), sets)], "n": np.array([len(s) for s in sets], np.int32), "prefix": [p.view(np.int64) for p in prefixes], "bitmap": [_bitmap(p) for p in prefixes]}, sets_schema)
 
-    described = scratch(src.mapInArrow(describe, "doc_id long, sig long, n int, prefix array<long>"), "sets")
+    described = scratch(src.mapInArrow(describe, "doc_id long, sig long, n int, prefix array<long>, bitmap binary"), "sets")
     slim = described.select("doc_id", "sig", "n")
     tokens = described.filter("sig IS NOT NULL").select(F.explode("prefix").alias("token"), "sig", "n")
     shared = scratch(_streamed(tokens, ["token"], _shared, "token long, sig long, n int, leader long, leader_n int", ["sig"]), "shared")
 
-    active = scratch(shared.select("sig").unionByName(shared.select(F.col("leader").alias("sig"))).distinct(), "active")
-    one = slim.join(active, "sig").groupBy("sig").agg(F.min("doc_id").alias("doc_id"))
-    set_schema = pa.schema([("sig", pa.int64()), ("n", pa.int32()), ("bitmap", pa.binary()), ("shingles", pa.list_(pa.int64()))])
-
-    def gather(batches):
-        own = Order(held.value)
-        for b in slices(batches):
-            sets = shingle_sets(b.column(1).to_pylist())
-            maps = []
-            for s in sets:
-                bits = np.zeros(BITS, bool)
-                if len(s):
-                    bits[(own.prefix(s, percent) & np.uint64(BITS - 1)).astype(np.int64)] = True
-                maps.append(np.packbits(bits, bitorder="little").tobytes())
-            yield batch({"sig": _sign(sets), "n": np.array([len(s) for s in sets], np.int32), "bitmap": maps, "shingles": [signed(s) for s in sets]}, set_schema)
-
-    texts = restrict(src, scratch(one.select("doc_id"), "ones"), "doc_id")
-    # A repeated id may bring other texts along; only classes in question are kept, once each.
-    sets = scratch(texts.mapInArrow(gather, "sig long, n int, bitmap binary, shingles array<long>").join(active, "sig", "left_semi").dropDuplicates(["sig"]), "active-sets")
-
+    maps = scratch(described.filter("sig IS NOT NULL").select("sig", "n", "bitmap").dropDuplicates(["sig"]), "maps")
     fits = lambda a, b: (F.col(a) * 100 >= F.col(b) * percent) & (F.col(b) * 100 >= F.col(a) * percent)
-    tested = scratch(shared.filter(fits("n", "leader_n")).select(F.least("sig", "leader").alias("a"), F.greatest("sig", "leader").alias("b")).distinct(), "leader-pairs")
-    links = scratch(_check(tested, sets, percent), "links")
+    led = shared.filter(fits("n", "leader_n")).select(F.least("sig", "leader").alias("a"), F.greatest("sig", "leader").alias("b")).distinct()
+    tested = scratch(_possible(led, maps, percent), "leader-pairs")
+    links = scratch(_check(tested, src, slim, percent), "links")
     labels = components(links)
 
     members = shared.select("token", "sig", "n").unionByName(shared.select("token", F.col("leader").alias("sig"), F.col("leader_n").alias("n")).distinct())
@@ -345,14 +363,15 @@ def jaccard_components(docs: DataFrame, percent: int = 75) -> DataFrame:
     open_tokens = parted.groupBy("token").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count("*").alias("size")).filter("p <> q").select("token", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
     left = scratch(parted.join(open_tokens, "token").select("token", "sig", "n", "part", "blocks"), "open")
     own = F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int")
-    dealt = left.join(sets.select("sig", "bitmap"), "sig").withColumn("own", own)
+    dealt = left.join(maps.select("sig", "bitmap"), "sig").withColumn("own", own)
     dealt = dealt.withColumn("z", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("token", F.least("own", "z").alias("x"), F.greatest("own", "z").alias("y"), (F.col("own") > F.col("z")).cast("int").alias("side"), "sig", "n", "part", "bitmap")
     maybe = _streamed(dealt, ["token", "x", "y"], _tree_run(percent), "a long, b long, na int, nb int")
     rest = lambda c: F.ceil(F.col(c) * percent / 100) - 1
     needed = F.ceil((F.col("na") + F.col("nb")) * percent / (100 + percent))
     counted = maybe.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c")).filter(F.col("c") + F.greatest(rest("na"), rest("nb")) >= needed)
-    more = scratch(_check(counted.join(tested, ["a", "b"], "left_anti").select("a", "b"), sets, percent), "links")
+    rest_of = scratch(counted.join(tested, ["a", "b"], "left_anti").select("a", "b"), "tree-pairs")
+    more = scratch(_check(rest_of, src, slim, percent), "links")
 
     whole = components(links.unionByName(more))
     classes = slim.filter("sig IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("first"))
