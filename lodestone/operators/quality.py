@@ -26,5 +26,7 @@ def invalid(rules: int):
 
 def invalid_samples(frame: DataFrame, rules: int, sources: list[str], limit: int = 1000) -> list[dict]:
     """The first rows that are refused or break a rule, as JSON documents."""
-    rows = frame.filter(invalid(rules)).select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in sources]), {"ignoreNullFields": "false"}).alias("j")).limit(limit).collect()
+    bad = frame.filter(invalid(rules))
+    bad = bad.orderBy("__row") if "__row" in frame.columns else bad
+    rows = bad.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in sources]), {"ignoreNullFields": "false"}).alias("j")).limit(limit).collect()
     return [{"reason_code": "INVALID", "message": "filters failed or DQ violation", "row_no": i, "source_values": json.loads(r["j"])} for i, r in enumerate(rows)]

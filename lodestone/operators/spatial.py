@@ -30,7 +30,7 @@ def edges_of(geometry) -> list[tuple[float, float, float, float]]:
     out = []
     for ring in rings_of(geometry):
         closed = ring if ring[0] == ring[-1] else [*ring, ring[0]]
-        out += [(*a, *b) for a, b in zip(closed, closed[1:])]
+        out += [tuple(map(float, (*a, *b))) for a, b in zip(closed, closed[1:])]
     return out
 
 
