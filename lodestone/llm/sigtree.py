@@ -384,7 +384,8 @@ def jaccard_components(docs: DataFrame, percent: int = 75) -> DataFrame:
 def keep_first(docs: DataFrame, percent: int = 75) -> DataFrame:
     """The rows of ``docs``, all columns, of which each component keeps the one with the smallest id.
 
-    Documents with an empty set stay. Of rows with one id all stay if any does, but equal texts stay once.
+    Documents with an empty set and rows without an id stay. Of rows with one id all stay if any does, but equal
+    texts stay once.
     """
     found = scratch(jaccard_components(docs, percent), "components")
     stays = F.col("n_shingles").eqNullSafe(0) | F.col("doc_id").eqNullSafe(F.col("component_id"))
