@@ -1,7 +1,7 @@
 """Toxicity by multiple-instance learning (operator 2).
 
-A document is a bag of sentences. A sentence's probability is logistic in the words that it has, and the
-document's is their noisy-or, 1 - prod(1 - p). The weights are trained from document labels alone, so the
+A document is a bag of sentences. A sentence's probability is logistic in the words and word beginnings that
+it has, and the document's is their noisy-or, 1 - prod(1 - p). The weights are trained from document labels alone, so the
 sentences at fault are found without labels of their own.
 
 The model is fitted on at most ``max_docs`` labelled documents, those with the smallest hash of the id;
@@ -30,6 +30,15 @@ WORD = re.compile(r"[^\W\d_]+")
 SENTENCE = re.compile(r"[^.!?\n\r]+")
 
 
+BEGINNINGS = range(4, 9)
+CACHE_ENTRIES = 500_000
+
+
+def traits(word: str) -> list[str]:
+    """A word's features: itself, and its beginnings, so that all words on one stem share what is learned."""
+    return [word, *[word[:n] + "*" for n in BEGINNINGS if n <= len(word)]]
+
+
 def softplus(z):
     return np.logaddexp(0.0, z)
 
@@ -38,25 +47,42 @@ def softplus(z):
 class NoisyOr:
     bias: float = math.log(0.01 / 0.99)
     weights: dict[str, float] = field(default_factory=dict)
+    held: dict[str, tuple[str, ...]] = field(default_factory=dict, repr=False, compare=False)  # a word's known features
+
+    def __getstate__(self):
+        return {"bias": self.bias, "weights": self.weights, "held": {}}
+
+    def _known(self, word: str) -> tuple[str, ...]:
+        if len(self.held) > CACHE_ENTRIES:
+            self.held.clear()
+        found = self.held[word] = tuple(t for t in traits(word) if t in self.weights)
+        return found
+
+    def _logit(self, sentence: str) -> float | None:
+        """The logit of a lower-case sentence; None if it has no known feature."""
+        get, own = self.held.get, set()
+        for w in WORD.findall(sentence):
+            found = get(w)
+            if found is None:
+                found = self._known(w)
+            if found:
+                own.update(found)
+        return self.bias + math.fsum(sorted(self.weights[t] for t in own)) if own else None
 
     def sentences(self, text: str | None) -> list[tuple[int, int, float]]:
         """(begin, end, logit) of each sentence, in code points."""
-        get, out = self.weights.get, []
-        for m in SENTENCE.finditer(text or ""):
-            own = set(WORD.findall(m[0].lower()))
-            out.append((m.start(), m.end(), self.bias + sum(get(w, 0.0) for w in own)))
-        return out
+        found = ((m, self._logit(m[0].lower())) for m in SENTENCE.finditer(text or ""))
+        return [(m.start(), m.end(), self.bias if z is None else z) for m, z in found]
 
     def score(self, text: str | None) -> float:
-        """The noisy-or over the sentences; sentences without a known word count by their number."""
-        weights, plain, log_none = self.weights, 0, 0.0
-        known = weights.keys()
+        """The noisy-or over the sentences; sentences without a known feature count by their number."""
+        plain, log_none, logit = 0, 0.0, self._logit
         for s in SENTENCE.findall((text or "").lower()):
-            own = known & set(WORD.findall(s)) if not known.isdisjoint(WORD.findall(s)) else ()
-            if own:
-                log_none -= _softplus(self.bias + math.fsum(weights[w] for w in sorted(own)))
-            else:
+            z = logit(s)
+            if z is None:
                 plain += 1
+            else:
+                log_none -= _softplus(z)
         if not plain and not log_none:
             plain = 1
         return -math.expm1(log_none - plain * _softplus(self.bias))
@@ -66,7 +92,7 @@ def _softplus(z: float) -> float:
     return max(z, 0.0) + math.log1p(math.exp(-abs(z)))
 
 
-def fit(bags: list[tuple[int, int, list[list[int]]]], words: list[str], steps: int = 300, rate: float = 0.1, decay: float = 1e-3) -> NoisyOr:
+def fit(bags: list[tuple[int, int, list[list[int]]]], words: list[str], steps: int = 600, rate: float = 0.1, decay: float = 1e-4) -> NoisyOr:
     """Maximum likelihood of the noisy-or by Adam. bags: (label, sentences, word numbers of those that have any)."""
     if not bags:
         return NoisyOr()
@@ -98,7 +124,7 @@ def fit(bags: list[tuple[int, int, list[list[int]]]], words: list[str], steps: i
     return NoisyOr(float(theta[-1]), {w: float(x) for w, x in zip(words, theta) if abs(x) > 1e-3})
 
 
-def train(docs: DataFrame, labels: DataFrame, max_docs: int = 8000, max_words: int = 256, min_docs: int = 4, min_z: float = 4.0) -> NoisyOr:
+def train(docs: DataFrame, labels: DataFrame, max_docs: int = 8000, max_words: int = 512, min_docs: int = 6, min_z: float = 5.0) -> NoisyOr:
     """Fit on a bounded sample. docs: doc_id, text. labels: doc_id, toxic."""
     ship(docs.sparkSession)
     chosen = (
@@ -118,7 +144,7 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = 8000, max_words: i
         for b in slices(batches):
             w, y = [], []
             for t, label in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist()):
-                own = set(WORD.findall(t.lower()))
+                own = {x for word in set(WORD.findall(t.lower())) for x in traits(word)}
                 w += own
                 y += [label] * len(own)
             yield batch({"word": w, "toxic": y}, word_schema)
@@ -139,7 +165,7 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = 8000, max_words: i
             for t in b.column("text").to_pylist():
                 found = SENTENCE.findall(t.lower())
                 count.append(len(found))
-                own = [sorted({number[w] for w in WORD.findall(s) if w in number}) for s in found]
+                own = [sorted({number[t] for w in WORD.findall(s) for t in traits(w) if t in number}) for s in found]
                 hits.append([h for h in own if h])
             yield batch({"doc_id": b.column("doc_id"), "toxic": b.column("toxic"), "n": count, "hits": hits}, bag_schema)
 
