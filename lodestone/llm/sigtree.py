@@ -24,6 +24,8 @@ so one component. component_id is the smallest doc_id of the component, nulls le
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -38,6 +40,7 @@ SKETCH_BLOCK = 1 << 12
 BITS = 512  # of a prefix bitmap
 BLOCK = 2048  # classes of a group in a task, twice
 LEAF, FAN = 16, 8
+SMALL = 48  # classes of a group that are compared without a tree
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
 
 
@@ -175,10 +178,44 @@ def _possible(pairs: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "ma", "mb").mapInArrow(run, "a long, b long")
 
 
+def _gathered(pairs: DataFrame, rows: DataFrame, schema: str, run, columns: list[str]) -> DataFrame:
+    """``run`` over the pairs (a, b) with the columns of both classes' rows, suffixed by a and b."""
+    left, right = (rows.select(F.col("sig").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in columns]) for x in "ab")
+    return pairs.join(left, "a").join(right, "b").mapInArrow(run, schema)
+
+
+def _ones(pairs: DataFrame, slim: DataFrame) -> DataFrame:
+    """One document for each class of the pairs: (sig, doc_id)."""
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
+    return scratch(slim.join(asked, "sig", "left_semi").groupBy("sig").agg(F.min("doc_id").alias("doc_id")), "ones")
+
+
+def _shared_values(x, y) -> int:
+    both = np.concatenate([x.values.to_numpy(), y.values.to_numpy()])
+    both.sort(kind="stable")
+    return int((both[1:] == both[:-1]).sum())
+
+
+def _by_prefix(pairs: DataFrame, described: DataFrame, percent: int) -> DataFrame:
+    """The pairs that the exact overlap of their prefixes leaves possible."""
+    ones = _ones(pairs, described.select("doc_id", "sig"))
+    rows = scratch(restrict(described.select("doc_id", "sig", "n", "prefix"), ones, "sig", "doc_id").select("sig", "n", "prefix").dropDuplicates(["sig"]), "pair-prefixes")
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(batches):
+        for b in slices(batches, chars=16_000_000):
+            keep = []
+            for na, nb, x, y in zip(b.column("n_a").to_pylist(), b.column("n_b").to_pylist(), b.column("prefix_a"), b.column("prefix_b")):
+                rest = max(na - prefix_size(na, percent), nb - prefix_size(nb, percent))
+                keep.append(_shared_values(x, y) + rest >= overlap_needed(na, nb, percent))
+            yield batch({n: b.column(n).filter(pa.array(keep, pa.bool_())) for n in "ab"}, schema)
+
+    return _gathered(pairs, rows, "a long, b long", run, ["n", "prefix"])
+
+
 def _check(pairs: DataFrame, docs: DataFrame, slim: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of classes that link, by the whole sets of one document of each class."""
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
-    ones = scratch(slim.join(asked, "sig", "left_semi").groupBy("sig").agg(F.min("doc_id").alias("doc_id")), "ones")
+    ones = _ones(pairs, slim)
     set_schema = pa.schema([("sig", pa.int64()), ("shingles", pa.list_(pa.int64()))])
 
     def gather(batches):
@@ -188,20 +225,17 @@ def _check(pairs: DataFrame, docs: DataFrame, slim: DataFrame, percent: int) ->
 
     # A repeated id may bring another text along; its class is in no pair, or rightly so.
     sets = scratch(restrict(docs, ones.select("doc_id"), "doc_id").mapInArrow(gather, "sig long, shingles array<long>"), "pair-sets")
-    left, right = (sets.select(F.col("sig").alias(x), F.col("shingles").alias(f"s{x}")) for x in "ab")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches):
         for b in slices(batches, chars=16_000_000):
             keep = []
-            for x, y in zip(b.column("sa"), b.column("sb")):
-                both = np.concatenate([x.values.to_numpy(), y.values.to_numpy()])
-                both.sort(kind="stable")
-                same = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * same >= percent * (len(both) - same))
+            for x, y in zip(b.column("shingles_a"), b.column("shingles_b")):
+                same = _shared_values(x, y)
+                keep.append(100 * same >= percent * (len(x.values) + len(y.values) - same))
             yield batch({n: b.column(n).filter(pa.array(keep, pa.bool_())) for n in "ab"}, schema)
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    return _gathered(pairs, sets, "a long, b long", run, ["shingles"])
 
 
 class Level:
@@ -273,6 +307,11 @@ def tree_pairs(left: Level, right: Level | None, percent: int):
         i, j = i[inside], j[inside]
 
 
+@lru_cache(SMALL + 1)
+def triangle(n: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.triu_indices(n, 1)
+
+
 def _tree_run(percent: int):
     """From rows (token, x, y, side, sig, n, part, bitmap) sorted by their block pair: pairs that may link."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("na", pa.int32()), ("nb", pa.int32())])
@@ -309,17 +348,49 @@ def _tree_run(percent: int):
         def emit(out):
             return batch({k: np.concatenate([o[i] for o in out]) for i, k in enumerate(("a", "b", "na", "nb"))}, schema)
 
+        def small(t, maps, spans, out):
+            """All pairs within groups of few classes, bounded together."""
+            whole = level(t | {"bitmap": maps})
+            i, j, made = [], [], 0
+
+            def bound():
+                x, y = np.concatenate(i), np.concatenate(j)
+                ok = whole.possible(whole, x, y, percent)
+                x, y = x[ok], y[ok]
+                if len(x):
+                    swap = t["sig"][x] > t["sig"][y]
+                    x, y = np.where(swap, y, x), np.where(swap, x, y)
+                    out.append((t["sig"][x], t["sig"][y], t["n"][x], t["n"][y]))
+
+            for s, e in spans:
+                x, y = triangle(e - s)
+                i.append(x + s)
+                j.append(y + s)
+                made += len(x)
+                if made > 500_000:
+                    bound()
+                    i, j, made = [], [], 0
+            if made:
+                bound()
+
         for b in batches:
+            if not b.num_rows:
+                continue
             t = {k: b.column(k).to_numpy() for k in names}
-            maps, out = b.column("bitmap").to_pylist(), []
+            maps, out, spans = b.column("bitmap").to_pylist(), [], []
             cut = np.flatnonzero((np.diff(t["token"]) != 0) | (np.diff(t["x"]) != 0) | (np.diff(t["y"]) != 0)) + 1
             edges = [0, *cut.tolist(), b.num_rows]
-            for s, e in zip(edges, edges[1:]):
+            for k, (s, e) in enumerate(zip(edges, edges[1:])):
+                if 0 < k < len(edges) - 2 and e - s <= SMALL and t["x"][s] == t["y"][s]:
+                    spans.append((s, e))
+                    continue
                 part = {k: v[s:e] for k, v in t.items()} | {"bitmap": maps[s:e]}
                 if held and any(held[0][k][0] != part[k][0] for k in ("token", "x", "y")):
                     flush(held, out)
                     held = []
                 held.append(part)
+            if spans:
+                small(t, maps, spans, out)
             if out:
                 yield emit(out)
         out = []
@@ -355,7 +426,8 @@ def jaccard_components(docs: DataFrame, percent: int = 75) -> DataFrame:
     fits = lambda a, b: (F.col(a) * 100 >= F.col(b) * percent) & (F.col(b) * 100 >= F.col(a) * percent)
     led = shared.filter(fits("n", "leader_n")).select(F.least("sig", "leader").alias("a"), F.greatest("sig", "leader").alias("b")).distinct()
     tested = scratch(_possible(led, maps, percent), "leader-pairs")
-    links = scratch(_check(tested, src, slim, percent), "links")
+    likely = scratch(_by_prefix(tested, described, percent), "likely-pairs")
+    links = scratch(_check(likely, src, slim, percent), "links")
     labels = components(links)
 
     members = shared.select("token", "sig", "n").unionByName(shared.select("token", F.col("leader").alias("sig"), F.col("leader_n").alias("n")).distinct())
