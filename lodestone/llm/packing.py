@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import batch, cached, ship, slices, table
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-CACHE_ENTRIES, CACHE_CHARS = 1_200_000, 64  # about 300 MB a worker
+CACHE_ENTRIES, CACHE_CHARS = 700_000, 64  # about 170 MB a worker
 #: Texts with characters from here on keep their case: only below it are lower-casing and composing sure to commute.
 BEYOND = re.compile("[^\x00-\u024f]")
 PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-&(-/:-@\[-`{-~]*)\Z")

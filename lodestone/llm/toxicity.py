@@ -31,7 +31,7 @@ SENTENCE = re.compile(r"[^.!?\n\r]+")
 
 
 BEGINNINGS = range(4, 9)
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 200_000
 
 
 def traits(word: str) -> list[str]:
