@@ -1,37 +1,47 @@
 """Exact grouped quantiles that no group can overload.
 
-Spark's ``percentile`` keeps all different values of a group in one buffer. Here each group's values are cut
-into ranges by a mergeable sketch, a count for each range tells in which of them a quantile lies, and only
-the rows of those ranges are ranked. A group with a third of all rows is spread over its ranges.
+Spark's ``percentile`` keeps all different values of a group in one buffer. Here equal values are counted
+first, each value falls into a bin by its logarithm, which keeps the order, and counts of the bins tell in
+which of them a quantile lies; only the rows of those bins are ranked. A group with a third of all rows is
+spread over its bins, and the input is read once: both uses of the counts share one exchange.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .joins import join_null_safe
 
+STEPS = 256  # bins for each power of two
+OFFSET = 1 << 20  # more than the largest logarithm times STEPS
 
-def group_quantiles(df: DataFrame, keys: list[str], value: str, quantiles: dict[str, float], ranges: int = 64) -> DataFrame:
+
+def ordered_bin(v: Column) -> Column:
+    """A bin number that never falls as the value rises; NaN sorts last."""
+    size = F.floor(F.log2(F.abs(v)) * STEPS) + OFFSET
+    return F.when(F.isnan(v), F.lit(4 * OFFSET)).when(v > 0, size).when(v < 0, -size).otherwise(F.lit(0)).cast("long")
+
+
+def group_quantiles(df: DataFrame, keys: list[str], value: str, quantiles: dict[str, float]) -> DataFrame:
     """keys and one double for each named quantile, interpolated linearly; NULL values are left out.
 
-    Groups without a value are not in the result. NaN sorts last.
+    Groups without a value are not in the result.
     """
     rows = df.select(*keys, F.col(value).cast("double").alias("_v")).filter("_v IS NOT NULL")
-    counted = rows.groupBy(*keys, "_v").agg(F.count("*").alias("_c"))  # equal values travel once from each task
-    cuts = rows.groupBy(*keys).agg(F.percentile_approx("_v", [i / ranges for i in range(1, ranges)], 1000).alias("_cuts"), F.count("*").alias("_n"))
-    ranged = join_null_safe(counted, cuts, keys).select(*keys, "_v", "_c", "_n", F.size(F.filter("_cuts", lambda c: c < F.col("_v"))).alias("_r"))
-    totals = ranged.groupBy(*keys, "_r").agg(F.sum("_c").alias("_t"), F.max("_n").alias("_n"))
-    before = totals.withColumn("_b", F.coalesce(F.sum("_t").over(Window.partitionBy(*keys).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    wanted = F.array(*[F.floor((F.col("_n") - 1) * q).cast("long") for q in quantiles.values()], *[F.ceil((F.col("_n") - 1) * q).cast("long") for q in quantiles.values()])
-    hit = before.filter(F.exists(wanted, lambda p: (p >= F.col("_b")) & (p < F.col("_b") + F.col("_t")))).select(*keys, "_r", "_b")
-    near = join_null_safe(ranged, hit, [*keys, "_r"])
+    counted = rows.groupBy(*keys, "_v").agg(F.count("*").alias("_c")).withColumn("_r", ordered_bin(F.col("_v")))
+    totals = counted.groupBy(*keys, "_r").agg(F.sum("_c").alias("_t"))
+    group = Window.partitionBy(*keys)
+    earlier = group.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.withColumns({"_b": F.coalesce(F.sum("_t").over(earlier), F.lit(0)), "_n": F.sum("_t").over(group)})
+    wanted = F.array(*[f((F.col("_n") - 1) * q).cast("long") for q in quantiles.values() for f in (F.floor, F.ceil)])
+    hit = before.filter(F.exists(wanted, lambda p: (p >= F.col("_b")) & (p < F.col("_b") + F.col("_t")))).select(*keys, "_r", "_b", "_n")
+    near = join_null_safe(counted, hit, [*keys, "_r"])
     low = F.col("_b") + F.coalesce(F.sum("_c").over(Window.partitionBy(*keys, "_r").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     placed = near.withColumn("_low", low).withColumn("_high", F.col("_low") + F.col("_c"))
     at = lambda p: F.max(F.when((F.col("_low") <= p) & (p < F.col("_high")), F.col("_v")))
     out = []
-    for i, (name, q) in enumerate(quantiles.items()):
+    for i, q in enumerate(quantiles.values()):
         place = (F.col("_n") - 1) * F.lit(q)
         out += [at(F.floor(place)).alias(f"_x{i}"), at(F.ceil(place)).alias(f"_y{i}"), F.max(place - F.floor(place)).alias(f"_f{i}")]
     found = placed.groupBy(*keys).agg(*out)

@@ -23,7 +23,7 @@ from lodestone.streaming.incremental import stream_append, windowed_counts
 @given(st.lists(st.tuples(st.sampled_from(["a", "b", None]), st.one_of(st.none(), st.integers(-50, 50).map(float))), max_size=60))
 def test_quantiles(spark, rows):
     df = spark.createDataFrame(rows, "k string, v double")
-    got = {r["k"]: r for r in group_quantiles(df, ["k"], "v", {"lo": 0.01, "mid": 0.5, "hi": 0.99}, ranges=8).collect()}
+    got = {r["k"]: r for r in group_quantiles(df, ["k"], "v", {"lo": 0.01, "mid": 0.5, "hi": 0.99}).collect()}
     groups = {k: [v for q, v in rows if q == k and v is not None] for k in {k for k, _ in rows}}
     assert set(got) == {k for k, v in groups.items() if v}
     for k, r in got.items():
