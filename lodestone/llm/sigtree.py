@@ -39,6 +39,7 @@ SKETCH = 1 << 20  # counters
 SKETCH_BLOCK = 1 << 12
 BITS = 512  # of a prefix bitmap
 BLOCK = 2048  # classes of a group in a task, twice
+FAMILY = 512  # sets of a family in a task, twice
 LEAF, FAN = 16, 8
 SMALL = 48  # classes of a group that are compared without a tree
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
@@ -191,7 +192,7 @@ def _ones(pairs: DataFrame, slim: DataFrame) -> DataFrame:
 
 
 def _shared_values(x, y) -> int:
-    both = np.concatenate([x.values.to_numpy(), y.values.to_numpy()])
+    both = np.concatenate([x, y])
     both.sort(kind="stable")
     return int((both[1:] == both[:-1]).sum())
 
@@ -207,7 +208,7 @@ def _by_prefix(pairs: DataFrame, described: DataFrame, percent: int) -> DataFram
             keep = []
             for na, nb, x, y in zip(b.column("n_a").to_pylist(), b.column("n_b").to_pylist(), b.column("prefix_a"), b.column("prefix_b")):
                 rest = max(na - prefix_size(na, percent), nb - prefix_size(nb, percent))
-                keep.append(_shared_values(x, y) + rest >= overlap_needed(na, nb, percent))
+                keep.append(_shared_values(x.values.to_numpy(), y.values.to_numpy()) + rest >= overlap_needed(na, nb, percent))
             yield batch({n: b.column(n).filter(pa.array(keep, pa.bool_())) for n in "ab"}, schema)
 
     return _gathered(pairs, rows, "a long, b long", run, ["n", "prefix"])
@@ -224,18 +225,40 @@ def _check(pairs: DataFrame, docs: DataFrame, slim: DataFrame, percent: int) ->
             yield batch({"sig": _sign(sets), "shingles": [s.view(np.int64) for s in sets]}, set_schema)
 
     # A repeated id may bring another text along; its class is in no pair, or rightly so.
-    sets = scratch(restrict(docs, ones.select("doc_id"), "doc_id").mapInArrow(gather, "sig long, shingles array<long>"), "pair-sets")
+    sets = scratch(restrict(docs, ones.select("doc_id"), "doc_id").mapInArrow(gather, "sig long, shingles array<long>").join(ones.select("sig"), "sig", "left_semi"), "pair-sets")
+    # Pairs that hang together meet in one place, to which each set travels once; large families are dealt out as
+    # pairs of blocks.
+    family = components(pairs)
+    blocks = family.groupBy("label").agg(F.ceil(F.count("*") / FAMILY).cast("int").alias("blocks"))
+    placed = family.join(blocks, "label").select("node", "label", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
+    one, two = (placed.select(F.col("node").alias(x), F.col("label").alias("family"), F.col("block").alias(f"block_{x}")) for x in "ab")
+    dealt = scratch(pairs.join(one, "a").join(two.drop("family"), "b").select("family", F.least("block_a", "block_b").alias("x"), F.greatest("block_a", "block_b").alias("y"), "a", "b"), "dealt-pairs")
+    needed = dealt.select("family", "x", "y", F.explode(F.array("a", "b")).alias("sig")).distinct()
+    key = ["family", "x", "y"]
+    none = lambda kind: F.lit(None).cast(kind)
+    rows = needed.join(sets, "sig").select(*key, F.lit(0).alias("kind"), F.col("sig").alias("a"), none("long").alias("b"), "shingles").unionByName(dealt.select(*key, F.lit(1).alias("kind"), "a", "b", none("array<long>").alias("shingles")))
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches):
-        for b in slices(batches, chars=16_000_000):
-            keep = []
-            for x, y in zip(b.column("shingles_a"), b.column("shingles_b")):
+        at, held = None, {}
+        for t in batches:
+            keys = list(zip(*(t.column(k).to_pylist() for k in key)))
+            kinds, one, two, values = t.column("kind").to_pylist(), t.column("a").to_pylist(), t.column("b").to_pylist(), t.column("shingles")
+            links = []
+            for i, k in enumerate(keys):
+                if k != at:
+                    at, held = k, {}
+                if not kinds[i]:
+                    held[one[i]] = values[i].values.to_numpy()
+                    continue
+                x, y = held[one[i]], held[two[i]]
                 same = _shared_values(x, y)
-                keep.append(100 * same >= percent * (len(x.values) + len(y.values) - same))
-            yield batch({n: b.column(n).filter(pa.array(keep, pa.bool_())) for n in "ab"}, schema)
+                if 100 * same >= percent * (len(x) + len(y) - same):
+                    links.append((one[i], two[i]))
+            if links:
+                yield batch({"a": [p[0] for p in links], "b": [p[1] for p in links]}, schema)
 
-    return _gathered(pairs, sets, "a long, b long", run, ["shingles"])
+    return _streamed(rows, key, run, "a long, b long", ["kind"])
 
 
 class Level:
