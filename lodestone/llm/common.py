@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import sys
 import tempfile
@@ -51,13 +52,24 @@ def scratch(df: DataFrame, name: str = "t") -> DataFrame:
 
 
 def cached(key, build):
-    """One object for each key in this Python process; workers are reused from task to task."""
+    """The last object that was asked for in this Python process; workers are reused from task to task."""
     held = sys.__dict__.setdefault("_lodestone_held", {})
     if key not in held:
+        held.clear()
+        tidy()
         held[key] = build()
     return held[key]
 
 
+def tidy() -> None:
+    """Give freed memory back: workers live on from task to task and from stage to stage."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
 def remainder(column, divisor: int):
     """crc32 of the id as text, modulo ``divisor``; a null id counts as the text ''."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % divisor
@@ -73,6 +85,7 @@ def slices(batches, rows: int = 512, chars: int = 4_000_000):
         size = max(1, min(rows, b.num_rows, int(rows if not b.nbytes else max(1, chars * b.num_rows // b.nbytes))))
         for at in range(0, b.num_rows, size):
             yield b.slice(at, size)
+    tidy()
 
 
 BITMAP_BITS = 1 << 26  # 8 MB, whatever the number of keys
