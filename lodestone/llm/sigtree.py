@@ -12,7 +12,9 @@ the threshold; documents with equal sets are one class and components are formed
    form a signature tree: leaves hold bitmaps of the prefix shingles, inner nodes the OR of their children
    with the range of sizes. A dual traversal drops node pairs whose largest possible overlap is too small.
    Large groups are dealt out as pairs of blocks, so that no task holds more than two blocks.
-4. What is left is counted for each pair over all shared shingles, bounded once more, and checked exactly.
+4. What is left is counted for each pair over all shared shingles, bounded once more, and checked exactly. For
+   the checks pairs that hang together meet in one task, to which each set travels once; large families of
+   pairs are dealt out as pairs of blocks.
 
 Nothing is dropped for being frequent. No link between different sets is lost: a pair of classes that is
 never compared is already connected, or shares no prefix shingle, or cannot reach the threshold.
