@@ -4,7 +4,8 @@ A text is normalised by the longest-prefix rule of the model's compiled characte
 normalised byte keeps the source byte it came from; pieces are then projected to source byte spans.
 White space becomes U+2581 and no piece of such a model holds that mark after another character, so a
 text falls apart before each run of marks into segments that encode on their own. A bounded cache per
-worker keeps the segments' pieces.
+worker keeps the segments' pieces; spans are projected for each text. The digests are made of these
+pieces; the library's own encoder is what the tests compare with, and not on the way.
 
 Defined results: null and empty texts have no pieces and decode to ''. Repeated rows are encoded each.
 Rows of any length are encoded whole. An empty table gives an empty result.
@@ -15,7 +16,12 @@ from __future__ import annotations
 import hashlib
 import re
 import struct
+from array import array
+from heapq import heapify, heappop, heappush
+from operator import add
+from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -124,77 +130,203 @@ class Normalizer:
                 del out[-len(space) :], align[-len(space) :]
         return bytes(out), [*align, at]
 
+    def many(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What a call gives for each of the texts, one after the other, and where each one's part begins.
+
+        For an empty map, by which every character is its own longest prefix, with arrays.
+        """
+        assert not self.units and not self.remove_extra
+        data = [t.encode() for t in texts]
+        # Each text with the blank of the dummy prefix before it and a byte after it for its end.
+        lead = b" " if self.dummy_prefix else b""
+        source = np.frombuffer(b"".join([x for d in data for x in (lead if d else b"", d, b"\0")]), np.uint8)
+        blank = source == 32
+        at = np.arange(len(source), dtype=np.int32)
+        at[(source & 0xC0) == 0x80] = 0
+        at = np.maximum.accumulate(at)  # a character's first byte
+        wide = np.where(blank, len(self.space), 1)
+        size = np.array([len(d) + bool(d) * len(lead) + 1 for d in data])
+        start = np.cumsum(size) - size
+        origin = np.repeat(start + np.array([bool(d) * len(lead) for d in data]), size)
+        align = np.repeat(np.maximum(at - origin, 0).astype(np.int32), wide)
+        place = np.concatenate([[0], np.cumsum(wide)])
+        normal = np.repeat(source, wide)
+        marks = place[:-1][blank]
+        for k, byte in enumerate(self.space):
+            normal[marks + k] = byte
+        return normal, align, place[np.append(start, len(source))]
+
 
 class PieceEncoder:
-    """Encodes as the library does and projects each piece to its source bytes."""
+    """Normalises, merges the characters into pieces, and projects each piece to its source bytes.
+
+    The merges are those of byte-pair encoding: of all neighbours that are a piece together the best scored,
+    leftmost pair is joined, until none is left; a character that is no piece becomes its bytes. Models of
+    another kind, or with pieces that ask for more, take their ids from the library.
+    """
 
     def __init__(self, model_path: str):
         import sentencepiece
 
         self.sp = sentencepiece.SentencePieceProcessor(model_file=model_path)
-        spec = dict(_fields(next((v for k, v in _fields(self.sp.serialized_model_proto()) if k == 3), b"")))
-        self.normalizer = Normalizer(spec.get(2, b""), bool(spec.get(3, 1)), bool(spec.get(4, 1)), bool(spec.get(5, 1)))
+        proto = list(_fields(self.sp.serialized_model_proto()))
+        spec = dict(_fields(next((v for k, v in proto if k == 3), b"")))
+        self.normalizer = n = Normalizer(spec.get(2, b""), bool(spec.get(3, 1)), bool(spec.get(4, 1)), bool(spec.get(5, 1)))
         pieces = [self.sp.id_to_piece(i) for i in range(self.sp.get_piece_size())]
+        kinds = [dict(_fields(v)).get(3, 1) for k, v in proto if k == 1]  # 1 is a normal piece
         self.is_byte = [self.sp.is_byte(i) for i in range(len(pieces))]
         self.widths = [1 if b else len(p.encode()) for p, b in zip(pieces, self.is_byte)]
-        n = self.normalizer
+        self.widths_of = np.array(self.widths, np.int32)
+        self.ids = {p: i for i, (p, k) in enumerate(zip(pieces, kinds)) if k == 1}
+        self.costs = {p: -self.sp.get_score(i) for p, i in self.ids.items()}
+        self.byte_ids = [self.sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
+        trainer = dict(_fields(next((v for k, v in proto if k == 2), b"")))
+        #: Byte pairs with bytes for unknown characters, and neither pieces of the user's nor unused ones.
+        self.own_merges = trainer.get(3) == 2 and any(self.is_byte) and not {4, 5} & set(kinds)
         #: Segments may be encoded on their own only if nothing but white space is rewritten and no piece joins two.
-        self.by_segment = not n.units and n.dummy_prefix and not n.remove_extra and n.space == MARK.encode() and not any(MARK in p.lstrip(MARK) for p in pieces) and any(self.is_byte)
-        self.mark_id = self.sp.piece_to_id(MARK)
-        self.held: dict[str, str] = {}  # a segment's ids, joined by commas
+        self.by_segment = self.own_merges and not n.units and n.dummy_prefix and not n.remove_extra and n.space == MARK.encode() and not any(MARK in p.lstrip(MARK) for p in pieces)
+        # A segment's ids, joined by commas and as integers; the older half of the cache.
+        self.held: dict[str, tuple[str, bytes]] = {}
+        self.older: dict[str, tuple[str, bytes]] = {}
+
+    def merge(self, normal: str) -> list[int]:
+        """Ids of a normalised text."""
+        ids, out = self.ids, []
+        for p in self._few(normal) if len(normal) <= CACHE_CHARS else self._many(normal):
+            if p in ids:
+                out.append(ids[p])
+            elif p:
+                out += [self.byte_ids[b] for b in p.encode()]
+        return out
+
+    def _few(self, normal: str) -> list[str]:
+        """Merged parts of a short text; the work grows with the square of its length."""
+        cost, parts, none = self.costs.get, list(normal), float("inf")
+        costs = [cost(p, none) for p in map(add, parts, parts[1:])]
+        while costs and (least := min(costs)) < none:
+            i = costs.index(least)
+            parts[i] += parts[i + 1]
+            del parts[i + 1], costs[i]
+            if i:
+                costs[i - 1] = cost(parts[i - 1] + parts[i], none)
+            if i < len(costs):
+                costs[i] = cost(parts[i] + parts[i + 1], none)
+        return parts
+
+    def _many(self, normal: str) -> list[str]:
+        """The same by a queue; a part that went into the one before it is ''."""
+        costs, parts, n = self.costs, list(normal), len(normal)
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+        queue = [(costs[p], i, i + 1, p) for i, p in enumerate(map(add, parts, parts[1:])) if p in costs]
+        heapify(queue)
+        while queue:
+            _, i, j, p = heappop(queue)
+            if not parts[i] or not parts[j] or parts[i] + parts[j] != p:
+                continue
+            parts[i], parts[j] = p, ""
+            after[i] = k = after[j]
+            if k < n:
+                before[k] = i
+                if (q := p + parts[k]) in costs:
+                    heappush(queue, (costs[q], i, k, q))
+            h = before[i]
+            if h >= 0 and (q := parts[h] + p) in costs:
+                heappush(queue, (costs[q], h, i, q))
+        return parts
+
+    def project(self, ids: list[int], normal: bytes, align: list[int]) -> tuple[list[int], list[int]]:
+        """Begins and ends of the pieces of a normalised text in its source.
+
+        Of the byte pieces that stand for one character the last carries its span; those before are empty.
+        """
+        at, start, begins, ends, widths, is_byte = 0, None, [], [], self.widths, self.is_byte
+        for i in ids:
+            end = at + widths[i]
+            if is_byte[i]:
+                start = at if start is None else start
+                whole = end >= len(normal) or normal[end] & 0xC0 != 0x80
+                begins.append(align[start])
+                ends.append(align[end] if whole else align[start])
+                start = None if whole else start
+            else:
+                begins.append(align[at])
+                ends.append(align[end])
+            at = end
+        return begins, ends
+
+    def encode_spans(self, texts: list[str | None]) -> "Spans":
+        """Pieces of each text with their source byte spans."""
+        texts = [t or "" for t in texts]
+        return self._by_segment(texts) if self.by_segment else self._one_by_one(texts)
+
+    def _one_by_one(self, texts: list[str]) -> "Spans":
+        ids, begins, ends = [], [], []
+        for t in texts:
+            normal, align = self.normalizer(t)
+            ids.append(self.merge(normal.decode()) if self.own_merges else self.sp.encode(t))
+            for out, own in zip((begins, ends), self.project(ids[-1], normal, align)):
+                out += own
+        rows = np.cumsum([0, *map(len, ids)])
+        return Spans([",".join(map(str, i)) for i in ids], rows, *(np.array(x, np.int32) for x in ([i for own in ids for i in own], begins, ends)))
 
     def _learn(self, parts: list[list[str]]) -> list[str]:
-        """Encode in one call the segments that the cache lacks; returns them."""
-        held = self.held
+        """Merge the segments that the cache lacks; returns them. What was not asked for lately goes."""
+        held, older = self.held, self.older
         new = {s for own in parts for s in own if s not in held}
-        if len(held) + len(new) > CACHE_ENTRIES:
-            held.clear()
+        if len(held) + len(new) > CACHE_ENTRIES // 2:
+            self.held, self.older = held, older = {}, held
             new = {s for own in parts for s in own}
-        new = list(new)
-        ids = self.sp.encode([s[1:] for s in new], num_threads=1) if new else []
-        held.update([(s, ",".join(map(str, i)) if len(s) > 1 else str(self.mark_id)) for s, i in zip(new, ids)])
+        for s in new:
+            known = older.get(s)
+            if known is None:
+                ids = self.merge(s)
+                known = ",".join(map(str, ids)), array("i", ids).tobytes()
+            held[s] = known
         return new
 
-    def encode_many(self, texts: list[str | None]) -> list[str]:
-        """Each text's ids, joined by commas."""
-        if not self.by_segment:
-            return [",".join(map(str, self.sp.encode(t))) if t else "" for t in texts]
+    def _by_segment(self, texts: list[str]) -> "Spans":
+        normal, align, place = self.normalizer.many(texts)
         parts = [SEGMENT.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        held, new = self.held, self._learn(parts)
-        out = [",".join([held[s] for s in own]) for own in parts]
+        new = self._learn(parts)
+        found = [[self.held[s] for s in own] for own in parts]
         for s in new:
             if len(s) > CACHE_CHARS:
-                del held[s]
-        return out
+                del self.held[s]
+        joined = [",".join([e[0] for e in own]) for own in found]
+        coded = [b"".join([e[1] for e in own]) for own in found]
+        rows = np.cumsum([0, *map(len, coded)]) // 4
+        ids = np.frombuffer(b"".join(coded), np.int32)
+        # The pieces' places in the normalised bytes; a byte more lies between texts. All bytes of a character
+        # have its source, so that the byte pieces before its last one are empty.
+        width = self.widths_of[ids].astype(np.int64)
+        stop = np.cumsum(width) + np.repeat(np.arange(len(texts)), np.diff(rows))
+        total = np.concatenate([[0], np.cumsum(width)])[rows]
+        if (np.diff(total) != np.diff(place) - 1).any():
+            raise ValueError("the pieces do not cover their text")
+        return Spans(joined, rows, ids, align[stop - width], align[stop])
 
     def encode(self, text: str | None) -> list[int]:
-        return list(map(int, self.encode_many([text])[0].split(","))) if text else []
+        return self.encode_spans([text]).ids.tolist()
 
     def encode_with_offsets(self, text: str | None) -> list[tuple[int, int, int]]:
-        """(id, begin, end) for each piece, in source bytes.
-
-        Of the byte pieces that stand for one character the last carries its span; those before are empty.
-        """
-        if not text:
-            return []
-        normal, align = self.normalizer(text)
-        at, start, out = 0, None, []
-        for i in self.encode(text):
-            end = at + self.widths[i]
-            if self.is_byte[i]:
-                start = at if start is None else start
-                whole = end >= len(normal) or normal[end] & 0xC0 != 0x80
-                out.append((i, align[start], align[end] if whole else align[start]))
-                start = None if whole else start
-            else:
-                out.append((i, align[at], align[end]))
-            at = end
-        return out
+        """(id, begin, end) for each piece, in source bytes."""
+        made = self.encode_spans([text])
+        return list(zip(made.ids.tolist(), made.begins.tolist(), made.ends.tolist()))
 
     def decode(self, ids: list[int]) -> str:
         return self.sp.decode(ids) if ids else ""
 
 
+class Spans(NamedTuple):
+    """Pieces of some texts, one after the other; those of text k lie from rows[k] to rows[k + 1]."""
+
+    joined: list[str]  # each text's ids, joined by commas
+    rows: np.ndarray
+    ids: np.ndarray
+    begins: np.ndarray
+    ends: np.ndarray
+
+
 def encoder(model_path: str) -> PieceEncoder:
     return cached(("spm", model_path), lambda: PieceEncoder(model_path))
 
@@ -208,8 +340,9 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
     def run(batches):
         enc = encoder(model_path)
         for b in slices(batches):
-            rows = [enc.encode_with_offsets(t) for t in b.column(1).to_pylist()]
-            yield batch({"doc_id": b.column(0), **{n: [[x[k] for x in r] for r in rows] for k, n in enumerate(("ids", "begins", "ends"))}}, schema)
+            made = enc.encode_spans(b.column(1).to_pylist())
+            lists = [pa.ListArray.from_arrays(pa.array(made.rows, pa.int32()), pa.array(x)) for x in (made.ids, made.begins, made.ends)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *lists], schema=schema)
 
     return src.mapInArrow(run, "doc_id long, ids array<int>, begins array<int>, ends array<int>")
 
@@ -223,13 +356,10 @@ def digest_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
     def run(batches):
         enc, sha = encoder(model_path), hashlib.sha256
         for b in slices(batches):
-            n, ids, texts = [], [], []
-            for joined in enc.encode_many(b.column(1).to_pylist()):
-                own = list(map(int, joined.split(","))) if joined else []
-                n.append(len(own))
-                ids.append(sha(joined.encode()).hexdigest())
-                texts.append(sha(enc.decode(own).encode()).hexdigest())
-            yield batch({"doc_id": b.column(0), "n_tokens": n, "ids_sha256": ids, "decoded_sha256": texts}, schema)
+            made = enc.encode_spans(b.column(1).to_pylist())
+            ids = [sha(j.encode()).hexdigest() for j in made.joined]
+            texts = [sha(enc.decode(made.ids[i:j].tolist()).encode()).hexdigest() for i, j in zip(made.rows, made.rows[1:])]
+            yield batch({"doc_id": b.column(0), "n_tokens": np.diff(made.rows), "ids_sha256": ids, "decoded_sha256": texts}, schema)
 
     return src.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 

@@ -72,6 +72,22 @@ def test_piece_offsets(text):
     assert enc.decode(enc.encode(text)) == enc.sp.decode(enc.sp.encode(text))
 
 
+def test_pieces_need_no_library_encoder(hostile):
+    """Ids and spans come from the normaliser and the merges; the library only confirms them."""
+    enc = spm.PieceEncoder(PIECES)
+    library, enc.sp = enc.sp, None
+    texts = [t for _, t in hostile[1]] + ["  two  blanks ", "▁mark ▁ and", "a\tb\n c", None]
+    want = [[(p.id, p.begin, p.end) for p in library.encode(t or "", return_type="proto").pieces] for t in texts]
+    made = enc.encode_spans(texts)
+    got = list(zip(made.ids.tolist(), made.begins.tolist(), made.ends.tolist()))
+    assert [got[i:j] for i, j in zip(made.rows, made.rows[1:])] == want
+    assert made.joined == [",".join(str(i) for i, _, _ in w) for w in want]
+    # The array form of the normaliser is the call for each text.
+    normal, align, place = enc.normalizer.many([t or "" for t in texts])
+    for t, i, j in zip(texts, place, place[1:]):
+        assert (normal[i : j - 1].tobytes(), align[i:j].tolist()) == enc.normalizer(t or "")
+
+
 def trie(keys):
     """A double array of byte keys with values, as in precompiled maps."""
     units, taken = [0] * 4096, {0}
