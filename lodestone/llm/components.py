@@ -1,4 +1,4 @@
-"""Connected components of a link table by distributed label propagation with pointer jumping."""
+"""Connected components of a link table by distributed min-hooking with pointer jumping."""
 
 from __future__ import annotations
 
@@ -8,21 +8,35 @@ from pyspark.sql import functions as F
 from .common import scratch
 
 
-def components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, label) of every node that has a link: label is the smallest node that it can reach.
 
-    Each round takes the smallest label among the neighbours and then the label of that label, so that
-    chains shrink geometrically; rounds go on until no label changes.
+    Each round hooks every node to its smallest neighbour, if that is smaller, follows the pointers to their
+    roots by doubling, and goes on with the links between different roots. A root that took no node in has
+    a neighbour that went to a smaller root, and hooks to it in the next round; so two rounds halve the roots
+    that still have links at least, whatever the graph's diameter. Rounds go on until no link is left.
     """
     both = links.select(F.col(a).alias("node"), F.col(b).alias("other")).unionByName(links.select(F.col(b).alias("node"), F.col(a).alias("other"))).filter("node <> other")
     edges = scratch(both.distinct(), "edges")
-    labels = scratch(edges.groupBy("node").agg(F.min("other").alias("o")).select("node", F.least("node", "o").alias("label")), "labels")
-    for _ in range(max_rounds):
-        near = edges.join(labels.select(F.col("node").alias("other"), "label"), "other").groupBy("node").agg(F.min("label").alias("near"))
-        moved = labels.join(near, "node").select("node", "label", F.least("label", "near").alias("new"))
-        jump = labels.select(F.col("node").alias("new"), F.col("label").alias("next"))
-        step = scratch(moved.join(jump, "new", "left").select("node", "label", F.least("new", F.coalesce("next", "new")).alias("new")), "labels")
-        labels = step.select("node", F.col("new").alias("label"))
-        if step.filter("new <> label").isEmpty():
-            return labels
-    raise RuntimeError("labels did not settle")
+    rounds = []
+    while not rounds or not edges.isEmpty():
+        roots = _roots(scratch(edges.groupBy("node").agg(F.least("node", F.min("other")).alias("label")), "labels"))
+        rounds.append(roots)
+        one, two = (roots.select(F.col("node").alias(n), F.col("label").alias(f"{n}_root")) for n in ("node", "other"))
+        edges = scratch(edges.join(one, "node").join(two, "other").filter("node_root <> other_root").select(F.col("node_root").alias("node"), F.col("other_root").alias("other")).distinct(), "edges")
+    # The rounds' roots shrink; put together from the last, each table is written once more at most.
+    labels = rounds.pop()
+    while rounds:
+        later = labels.select(F.col("node").alias("label"), F.col("label").alias("last"))
+        labels = scratch(rounds.pop().join(later, "label", "left").select("node", F.coalesce("last", "label").alias("label")), "labels")
+    return labels
+
+
+def _roots(pointers: DataFrame) -> DataFrame:
+    """(node, label) with every pointer followed to the node that points to itself."""
+    while True:
+        ahead = pointers.select(F.col("node").alias("label"), F.col("label").alias("next"))
+        step = scratch(pointers.join(ahead, "label").select("node", "label", "next"), "labels")
+        pointers = step.select("node", F.col("next").alias("label"))
+        if step.filter("next <> label").isEmpty():
+            return pointers

@@ -446,6 +446,17 @@ def test_components(spark):
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100, 102: 100}
 
 
+@pytest.mark.parametrize("reach", [1, 4])
+def test_components_of_long_chains(spark, reach):
+    """Chains of thousands in random order of labels, as of successive revisions of one text."""
+    r = random.Random(reach)
+    names = [r.getrandbits(63) - (1 << 62) for _ in range(3000)]
+    edges = [(names[i], names[i + k]) for i in range(3000) for k in range(1, reach + 1) if i + k < 3000 and i // 2500 == (i + k) // 2500]
+    r.shuffle(edges)
+    got = {x["node"]: x["label"] for x in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {n: min(names[:2500] if i < 2500 else names[2500:]) for i, n in enumerate(names)}
+
+
 # -- pipeline
 
 
