@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 from lodestone import queries as Q
+from lodestone.operators.dedup import append_unique
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -33,6 +34,16 @@ def test_query(spark, duck, name):
     assert a.equals(b)
 
 
+def test_whole_table_comes_in(spark, monkeypatch):
+    """Every order is in the incoming batch, and is either known or appended."""
+    seen = []
+    monkeypatch.setattr(Q, "append_unique", lambda new, known: seen.append((new, known)) or append_unique(new, known))
+    added = Q.append_unique_orders(spark, DATA)
+    keys = lambda df: {r["o_orderkey"] for r in df.select("o_orderkey").collect()}
+    (new, known), every = seen[0], keys(spark.read.parquet(f"{DATA}/orders.parquet"))
+    assert keys(new) == every and keys(known) | keys(added) == every and not keys(known) & keys(added)
+
+
 def test_entry(spark):
     import __spark_entry__ as E
 
