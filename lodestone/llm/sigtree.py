@@ -95,7 +95,9 @@ class Order:
 
 
 def _text(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    """(doc_id, text, key): the key finds a row again; it is the id, or a hash of the text where that is null."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.withColumn("key", F.coalesce("doc_id", F.xxhash64("text")))
 
 
 def common_levels(docs: DataFrame) -> np.ndarray:
@@ -182,9 +184,9 @@ def _possible(pairs: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
 
 
 def _ones(pairs: DataFrame, slim: DataFrame) -> DataFrame:
-    """One document for each class of the pairs: (sig, doc_id)."""
+    """One document for each class of the pairs: (sig, key)."""
     asked = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
-    return scratch(slim.join(asked, "sig", "left_semi").groupBy("sig").agg(F.min("doc_id").alias("doc_id")), "ones")
+    return scratch(slim.join(asked, "sig", "left_semi").groupBy("sig").agg(F.coalesce(F.min("doc_id"), F.min("key")).alias("key")), "ones")
 
 
 def _shared_values(x, y) -> int:
@@ -203,8 +205,8 @@ def _check(pairs: DataFrame, docs: DataFrame, slim: DataFrame, percent: int) ->
             sets = shingle_sets(b.column(1).to_pylist())
             yield batch({"sig": _sign(sets), "shingles": [s.view(np.int64) for s in sets]}, set_schema)
 
-    # A repeated id may bring another text along; its class is in no pair, or rightly so.
-    sets = scratch(restrict(docs, ones.select("doc_id"), "doc_id").mapInArrow(gather, "sig long, shingles array<long>"), "pair-sets")
+    # A repeated key may bring another text along; its class is in no pair, or rightly so.
+    sets = scratch(restrict(docs, ones.select("key"), "key").mapInArrow(gather, "sig long, shingles array<long>"), "pair-sets")
     # Pairs that hang together meet in one place, to which each set travels once; large families are dealt out as
     # pairs of blocks.
     family = components(pairs)
@@ -410,17 +412,17 @@ def jaccard_components(docs: DataFrame, percent: int = 75) -> DataFrame:
     src = _text(docs)
     order = Order(common_levels(docs))
     held = docs.sparkSession.sparkContext.broadcast(order.levels)  # one byte a counter: 1 MB
-    sets_schema = pa.schema([("doc_id", pa.int64()), ("sig", pa.int64()), ("n", pa.int32()), ("prefix", pa.list_(pa.int64())), ("bitmap", pa.binary())])
+    sets_schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("sig", pa.int64()), ("n", pa.int32()), ("prefix", pa.list_(pa.int64())), ("bitmap", pa.binary())])
 
     def describe(batches):
         own = Order(held.value)
         for b in slices(batches):
             sets = shingle_sets(b.column(1).to_pylist())
             prefixes = [own.prefix(s, percent) if len(s) else s for s in sets]
-            yield batch({"doc_id": b.column(0), "sig": [s if len(x) else None for s, x in zip(_sign(sets), sets)], "n": np.array([len(s) for s in sets], np.int32), "prefix": [p.view(np.int64) for p in prefixes], "bitmap": [_bitmap(p) for p in prefixes]}, sets_schema)
+            yield batch({"doc_id": b.column(0), "key": b.column(2), "sig": [s if len(x) else None for s, x in zip(_sign(sets), sets)], "n": np.array([len(s) for s in sets], np.int32), "prefix": [p.view(np.int64) for p in prefixes], "bitmap": [_bitmap(p) for p in prefixes]}, sets_schema)
 
-    described = scratch(src.mapInArrow(describe, "doc_id long, sig long, n int, prefix array<long>, bitmap binary"), "sets")
-    slim = described.select("doc_id", "sig", "n")
+    described = scratch(src.mapInArrow(describe, "doc_id long, key long, sig long, n int, prefix array<long>, bitmap binary"), "sets")
+    slim = described.select("doc_id", "key", "sig", "n")
     tokens = described.filter("sig IS NOT NULL").select(F.explode("prefix").alias("token"), "sig", "n")
     shared = scratch(_streamed(tokens, ["token"], _shared, "token long, sig long, n int, leader long, leader_n int", ["sig"]), "shared")
 

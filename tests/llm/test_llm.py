@@ -426,6 +426,15 @@ def test_jaccard(spark, hostile, empty, monkeypatch):
     assert sorted((x["doc_id"] for x in kept.collect()), key=repr) == sorted([0, 1, 2, 3, 4, 5, 9, 10, 11, 12, 13, 14, 15, 20, None, None], key=repr)
 
 
+def test_jaccard_of_rows_without_ids(spark):
+    """Classes whose rows all lack an id are checked as the others are."""
+    r = random.Random(8)
+    base = words(r, 80)
+    rows = [(1, base), (None, base + " tail"), (None, base + " tail"), (None, "head " + base), (None, words(r, 50)), (2, words(r, 50))]
+    got = rows_of(sigtree.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert got == brute_components(rows) and sum(c == 1 for _, _, c in got) == 4
+
+
 def test_tree_pairs():
     r = np.random.default_rng(1)
     sets = [np.unique(r.integers(0, 1 << 63, r.integers(20, 80), dtype=np.int64)).astype(np.uint64) for _ in range(40)]
