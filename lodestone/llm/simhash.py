@@ -5,7 +5,7 @@ against each of them, so that a term weighs as often as it occurs; the sign of a
 Votes are counted in packed lanes: one 64-bit addition counts four bits, for parts of 2**15 terms, so that no
 lane can overflow; parts are then added up, however long the text. Terms never leave their partition.
 
-``near_fingerprints`` finds all fingerprints within a Hamming radius by permuted block tables.
+``near_fingerprints`` finds all such fingerprints within a Hamming radius by permuted block tables.
 
 Defined results: a null text is an empty one; an empty text has one empty term. Equal texts have equal
 fingerprints. Documents are ordered by id descending, then text; a null id comes last. The only document
@@ -114,24 +114,40 @@ def fingerprint_documents(docs: DataFrame, buckets: int | None = None) -> DataFr
 
 
 def near_fingerprints(queries: DataFrame, index: DataFrame, radius: int = 3, blocks: int = 6) -> DataFrame:
-    """All (query, found, distance) of different-or-equal 64-bit fingerprints within ``radius``.
+    """All (query, found, distance) of different-or-equal fingerprints within ``radius``.
 
-    Both frames have a long column ``fp``; duplicates count once. The bits are cut into ``blocks`` blocks; of
+    Both frames have a column ``fingerprint`` with 128 bits as 32 hex digits, as ``fingerprint_documents`` gives
+    it, or a long column ``fp`` with 64 bits; duplicates count once. The bits are cut into ``blocks`` blocks; of
     two fingerprints within the radius at least blocks - radius blocks agree, so for each choice of that
     many a table keyed by their bits joins all such pairs, and the distance confirms them.
     """
-    if not 0 <= radius < blocks <= 64:
+    name = "fingerprint" if "fingerprint" in queries.columns else "fp"
+    longs = 2 if name == "fingerprint" else 1
+    bits = 64 * longs
+    if not 0 <= radius < blocks <= bits:
         raise ValueError("the radius must be smaller than the number of blocks")
-    edge = [64 * i // blocks for i in range(blocks + 1)]
+    edge = [bits * i // blocks for i in range(blocks + 1)]
     masks = [reduce(lambda a, b: a | b, [((1 << (edge[i + 1] - edge[i])) - 1) << edge[i] for i in c], 0) for c in combinations(range(blocks), blocks - radius)]
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
 
-    def tables(df: DataFrame, name: str) -> DataFrame:
-        keys = F.array(*[F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("k")) for i, m in enumerate(signed)])
-        return df.select(F.col("fp").cast("long").alias("fp")).dropna().distinct().select(F.col("fp").alias(name), F.explode(keys).alias("e")).select(name, "e.t", "e.k")
-
-    pairs = tables(queries, "query").join(tables(index, "found"), ["t", "k"])
-    distance = F.bit_count(F.col("query").bitwiseXOR(F.col("found")))
+    def signed(mask: int) -> int:
+        return mask - (1 << 64) if mask >> 63 else mask
+
+    def halves(c: str) -> list[Column]:
+        """The 64-bit parts of a fingerprint, the highest first."""
+        if longs == 1:
+            return [F.col(c)]
+        digits = [F.conv(F.substring(c, 8 * i + 1, 8), 16, 10).cast("long") for i in range(4)]
+        return [F.shiftleft(digits[i], 32).bitwiseOR(digits[i + 1]) for i in (0, 2)]
+
+    def tables(df: DataFrame, side: str) -> DataFrame:
+        parts = [f"{side}_{k}" for k in range(longs)]
+        own = df.select(F.col(name).cast("string" if longs == 2 else "long").alias(side)).dropna().distinct().select(side, *[h.alias(p) for h, p in zip(halves(side), parts)])
+        cut = lambda m: [F.col(p).bitwiseAND(F.lit(signed(m >> 64 * (longs - 1 - k) & (1 << 64) - 1))).alias(f"k{k}") for k, p in enumerate(parts)]
+        keys = F.array(*[F.struct(F.lit(i).alias("t"), *cut(m)) for i, m in enumerate(masks)])
+        return own.select(side, *parts, F.explode(keys).alias("e")).select(side, *parts, "e.*")
+
+    pairs = tables(queries, "query").join(tables(index, "found"), ["t", *[f"k{k}" for k in range(longs)]])
+    distance = reduce(lambda a, b: a + b, [F.bit_count(F.col(f"query_{k}").bitwiseXOR(F.col(f"found_{k}"))) for k in range(longs)])
     return pairs.filter(distance <= radius).select("query", "found", distance.alias("distance")).distinct()
 
 

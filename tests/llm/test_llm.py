@@ -203,6 +203,17 @@ def test_near_fingerprints(spark):
     assert got == {(a, b): (a ^ b).bit_count() for a in every for b in every if (a ^ b).bit_count() <= 3}
 
 
+def test_near_fingerprints_of_documents(spark):
+    """The operator's own 128 bits: pairs that differ in either half, or in both."""
+    r = random.Random(6)
+    docs = spark.createDataFrame([(i, words(r, 30)) for i in range(12)], "doc_id long, text string")
+    prints = [int(x["fingerprint"], 16) for x in simhash.fingerprint_documents(docs).collect()]
+    every = [*prints, *(p ^ sum(1 << k for k in r.sample(range(128), r.randrange(7))) for p in prints * 3), *(p ^ (1 << 127) for p in prints)]
+    df = spark.createDataFrame([(f"{p:032x}",) for p in every + every[:3]] + [(None,)], "fingerprint string")
+    got = {(int(x["query"], 16), int(x["found"], 16)): x["distance"] for x in simhash.near_fingerprints(df, df, radius=3, blocks=6).collect()}
+    assert got == {(a, b): (a ^ b).bit_count() for a in every for b in every if (a ^ b).bit_count() <= 3}
+
+
 # -- 4
 
 
