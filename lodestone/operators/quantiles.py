@@ -1,9 +1,9 @@
 """Exact grouped quantiles that no group can overload.
 
-Spark's ``percentile`` keeps all different values of a group in one buffer. Here equal values are counted
-first, each value falls into a bin by its logarithm, which keeps the order, and counts of the bins tell in
-which of them a quantile lies; only the rows of those bins are ranked. A group with a third of all rows is
-spread over its bins, and the input is read once: both uses of the counts share one exchange.
+Spark's ``percentile`` keeps all different values of a group in one buffer. Here each value falls into a bin by its
+logarithm, which keeps the order. A first pass over the rows counts the bins, and tells in which of them each
+quantile lies; a second one counts the different values of those bins only, which are then ranked. A group with a
+third of all rows is spread over its bins, and several columns and quantiles share the two passes.
 """
 
 from __future__ import annotations
@@ -23,26 +23,48 @@ def ordered_bin(v: Column) -> Column:
     return F.when(F.isnan(v), F.lit(4 * OFFSET)).when(v > 0, size).when(v < 0, -size).otherwise(F.lit(0)).cast("long")
 
 
-def group_quantiles(df: DataFrame, keys: list[str], value: str, quantiles: dict[str, float]) -> DataFrame:
-    """keys and one double for each named quantile, interpolated linearly; NULL values are left out.
+def order_statistics(df: DataFrame, keys: list[str], wanted: dict[str, tuple[str, float]], weight: str | None = None) -> DataFrame:
+    """keys; _n, the values of the first column; and for each name of ``wanted`` (column, quantile) the two
+    neighbouring values <name>_x and <name>_y and how far the quantile lies between them, <name>_f.
 
-    Groups without a value are not in the result.
+    NULL values are left out, and so are groups without any value. ``weight`` counts a row several times.
     """
-    rows = df.select(*keys, F.col(value).cast("double").alias("_v")).filter("_v IS NOT NULL")
-    counted = rows.groupBy(*keys, "_v").agg(F.count("*").alias("_c")).withColumn("_r", ordered_bin(F.col("_v")))
-    totals = counted.groupBy(*keys, "_r").agg(F.sum("_c").alias("_t"))
-    group = Window.partitionBy(*keys)
+    columns = list(dict.fromkeys(c for c, _ in wanted.values()))
+    if len(columns) == 1:
+        cells = df.select(*keys, *([weight] if weight else []), F.lit(0).alias("_w"), F.col(columns[0]).cast("double").alias("_v"))
+    else:
+        cells = df.select(*keys, *([weight] if weight else []), F.inline(F.array(*[F.struct(F.lit(i).alias("_w"), F.col(c).cast("double").alias("_v")) for i, c in enumerate(columns)])))
+    rows = cells.filter("_v IS NOT NULL").withColumn("_r", ordered_bin(F.col("_v")))
+    count = F.sum(weight) if weight else F.count("*")
+    totals = rows.groupBy(*keys, "_w", "_r").agg(count.alias("_t"))
+    group = Window.partitionBy(*keys, "_w")
     earlier = group.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
     before = totals.withColumns({"_b": F.coalesce(F.sum("_t").over(earlier), F.lit(0)), "_n": F.sum("_t").over(group)})
-    wanted = F.array(*[f((F.col("_n") - 1) * q).cast("long") for q in quantiles.values() for f in (F.floor, F.ceil)])
-    hit = before.filter(F.exists(wanted, lambda p: (p >= F.col("_b")) & (p < F.col("_b") + F.col("_t")))).select(*keys, "_r", "_b", "_n")
-    near = join_null_safe(counted, hit, [*keys, "_r"])
-    low = F.col("_b") + F.coalesce(F.sum("_c").over(Window.partitionBy(*keys, "_r").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranks = F.lit(None).cast("array<long>")
+    for i, c in enumerate(columns):
+        ranks = F.when(F.col("_w") == i, F.array(*[f((F.col("_n") - 1) * q).cast("long") for column, q in wanted.values() if column == c for f in (F.floor, F.ceil)])).otherwise(ranks)
+    hit = before.filter(F.exists(ranks, lambda p: (p >= F.col("_b")) & (p < F.col("_b") + F.col("_t")))).select(*keys, "_w", "_r", "_b", "_n")
+    near = join_null_safe(rows, hit, [*keys, "_w", "_r"]).groupBy(*keys, "_w", "_r", "_v").agg(count.alias("_c"), F.max("_b").alias("_b"), F.max("_n").alias("_n"))
+    low = F.col("_b") + F.coalesce(F.sum("_c").over(Window.partitionBy(*keys, "_w", "_r").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     placed = near.withColumn("_low", low).withColumn("_high", F.col("_low") + F.col("_c"))
-    at = lambda p: F.max(F.when((F.col("_low") <= p) & (p < F.col("_high")), F.col("_v")))
-    out = []
-    for i, q in enumerate(quantiles.values()):
-        place = (F.col("_n") - 1) * F.lit(q)
-        out += [at(F.floor(place)).alias(f"_x{i}"), at(F.ceil(place)).alias(f"_y{i}"), F.max(place - F.floor(place)).alias(f"_f{i}")]
-    found = placed.groupBy(*keys).agg(*out)
-    return found.select(*keys, *[(F.col(f"_x{i}") + F.when(F.col(f"_f{i}") > 0, F.col(f"_f{i}") * (F.col(f"_y{i}") - F.col(f"_x{i}"))).otherwise(0.0)).alias(n) for i, n in enumerate(quantiles)])
+    out = [F.max(F.when(F.col("_w") == 0, F.col("_n"))).alias("_n")]
+    for name, (column, q) in wanted.items():
+        place, own = (F.col("_n") - 1) * F.lit(q), F.col("_w") == columns.index(column)
+        at = lambda p: F.max(F.when(own & (F.col("_low") <= p) & (p < F.col("_high")), F.col("_v")))  # noqa: B023, E731
+        out += [at(F.floor(place)).alias(f"{name}_x"), at(F.ceil(place)).alias(f"{name}_y"), F.max(F.when(own, place - F.floor(place))).alias(f"{name}_f")]
+    return placed.groupBy(*keys).agg(*out)
+
+
+def between(name: str, hold=lambda c: c) -> Column:
+    """The interpolated quantile of ``order_statistics``, its neighbours first passed through ``hold``."""
+    x, y, f = hold(F.col(f"{name}_x")), hold(F.col(f"{name}_y")), F.col(f"{name}_f")
+    return x + F.when(f > 0, f * (y - x)).otherwise(0.0)
+
+
+def group_quantiles(df: DataFrame, keys: list[str], value: str, quantiles: dict[str, float], weight: str | None = None) -> DataFrame:
+    """keys and one double for each named quantile, interpolated linearly; NULL values are left out.
+
+    Groups without a value are not in the result.
+    """
+    found = order_statistics(df, keys, {n: (value, q) for n, q in quantiles.items()}, weight)
+    return found.select(*keys, *[between(n).alias(n) for n in quantiles])

@@ -39,7 +39,7 @@ def stage_path(root: str, stage: str, dataset: str, ingest_date: str) -> str:
     return f"{root}/{stage}/{dataset}/ingest_date={ingest_date}"
 
 
-def ingest(spark: SparkSession, dataset: str, source: str, ingest_date: str, root: str, multiline: bool = True) -> IngestStats:
+def ingest(spark: SparkSession, dataset: str, source: str, ingest_date: str, root: str, multiline: bool | None = None) -> IngestStats:
     """Delimited text to Bronze; a date's rows are replaced."""
     path = stage_path(root, "bronze", dataset, ingest_date)
     read_bronze(spark, files.resolve_uri(source), ingest_date, multiline=multiline).drop("ingest_date").write.mode("overwrite").parquet(path)
@@ -56,7 +56,7 @@ def bronze_of(spark: SparkSession, dataset: str, ingest_date: str, root: str) ->
 def validate(spark: SparkSession, dataset: str, ingest_date: str, root: str, **options) -> ValidateStats:
     """Bronze to Silver and Rejects. rows_in = rows_out + rejects + duplicates."""
     bronze = bronze_of(spark, dataset, ingest_date, root)
-    made = V.validate(bronze, **options)
+    made = V.validate(bronze, keep=lambda marked: files.materialize(marked, "classified"), **options)
     silver, rejects = stage_path(root, "silver", dataset, ingest_date), stage_path(root, "rejects", dataset, ingest_date)
     made.silver.write.mode("overwrite").parquet(silver)
     made.rejects.drop("ingest_date").write.mode("overwrite").parquet(rejects)

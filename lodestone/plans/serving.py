@@ -41,6 +41,17 @@ def serving_rows(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     return good, marked.filter("_bad").drop("_bad")
 
 
+def write_rows(rows: DataFrame, path: str | None = None, jdbc_url: str | None = None, table: str = "dvfs", batch: int = 200, **options: str) -> None:
+    """Append typed rows to the serving table: Parquet by year, a database over JDBC in batches of one statement, or both.
+
+    JDBC writes from every task, a transaction each; ``options`` are the driver's own (user, password, driver).
+    """
+    if path:
+        rows.hint("rebalance", "year").write.mode("append").partitionBy("year").option("compression", "zstd").parquet(path)
+    if jdbc_url:
+        rows.write.format("jdbc").options(url=jdbc_url, dbtable=table, batchsize=str(batch), **options).mode("append").save()
+
+
 def _typed(column: str, df: DataFrame, value):
     """A literal of the column's own type, so that the comparison reaches the file scan."""
     return F.lit(value).cast(df.schema[column].dataType)

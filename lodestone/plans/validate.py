@@ -92,15 +92,17 @@ def key_parts(legacy: bool = False) -> list[Column]:
     return [F.col(n) for n in names if not (legacy and n == "adresse_numero")]
 
 
-def validate(bronze: DataFrame, max_year: int | None = None, legacy_key: bool = False, legacy_batch: int = 65_536) -> Classified:
+def validate(bronze: DataFrame, max_year: int | None = None, legacy_key: bool = False, legacy_batch: int = 65_536, keep=lambda marked: marked) -> Classified:
     """Classify Bronze rows. The first of equal good rows by row_number goes to Silver.
 
+    ``keep`` may store the parsed and judged rows, so that Silver and Rejects do not parse Bronze each.
+
     ``legacy_key`` reproduces deduplication within blocks of ``legacy_batch`` rows and without the house number.
     """
     missing = [c for c in S.RAW_COLUMNS + S.LINEAGE if c not in bronze.columns]
     if missing:
         raise ValueError(f"missing column in Bronze: {', '.join(missing)}")
-    marked = parsed(bronze).withColumn("_why", reject_reason(max_year))
+    marked = keep(parsed(bronze).withColumn("_why", reject_reason(max_year)))
     good = typed(marked.filter("_why IS NULL"))
     if legacy_key:
         good = good.withColumn("_dedup", digest_key([*key_parts(legacy=True), F.floor((F.col("row_number") - 1) / legacy_batch)]))

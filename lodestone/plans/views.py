@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.joins import join_null_safe
-from ..operators.quantiles import group_quantiles
-from ..operators.spatial import points_in_polygons
+from ..operators.quantiles import between, group_quantiles, order_statistics
+from ..operators.spatial import points_in_polygons, with_edges
+from ..sources.files import materialize
 
 GROUP = ["year_mutation", "code_departement", "type_local"]
 
@@ -47,31 +47,51 @@ def summary(transactions: DataFrame) -> DataFrame:
     return transactions.groupBy("year_mutation", "code_departement").agg(F.count("*").alias("n_rows")).orderBy("year_mutation", "code_departement")
 
 
-def _with_medians(rows: DataFrame, keys: list[str], medians: dict[str, str]) -> DataFrame:
-    """Row counts and the exact median of each listed column."""
-    out = rows.groupBy(*keys).agg(F.count("*").alias("n"))
-    for name, column in medians.items():
-        out = join_null_safe(out, group_quantiles(rows, keys, column, {name: 0.5}), keys, "left")
-    return out
+# A residential row is a base row, its price held between two bounds of its group (year, department, type). Holding
+# keeps the order of values, so within such a group, or a part of it, the median of held prices follows from the two
+# middle prices: those views need the base rows alone.
+
+
+def _held(c):
+    return F.greatest(F.least(c, F.col("p99")), F.col("p01"))
 
 
-def price_metrics(residential: DataFrame) -> DataFrame:
-    return _with_medians(residential, GROUP, {"median_valeur_fonciere": "valeur_fonciere", "median_prix_m2": "prix_m2"})
+def _whole_groups(transactions: DataFrame) -> DataFrame:
+    return residential_base(transactions).dropna(subset=GROUP)
 
 
-def monthly_price(residential: DataFrame) -> DataFrame:
-    return _with_medians(residential, ["month_start", "code_departement", "type_local"], {"median_prix_m2_w": "prix_m2_winsor"})
+def price_metrics(transactions: DataFrame) -> DataFrame:
+    """Rows and exact medians of residential transactions by year, department and type."""
+    found = order_statistics(_whole_groups(transactions), GROUP, {"p": ("prix_m2", 0.5), "v": ("valeur_fonciere", 0.5)})
+    return found.select(*GROUP, F.col("_n").alias("n"), between("v").alias("median_valeur_fonciere"), between("p").alias("median_prix_m2"))
 
 
-def price_metrics_yoy(residential: DataFrame) -> DataFrame:
-    """Change of the median against the previous year that is there."""
-    y = group_quantiles(residential, GROUP, "prix_m2_winsor", {"med_p2": 0.5})
+def monthly_price(transactions: DataFrame) -> DataFrame:
+    """Rows and the median of held prices by month, department and type.
+
+    Months and years are counted in the same passes; a month's bounds are those of its year.
+    """
+    base = _whole_groups(transactions).select(*GROUP, "prix_m2", F.explode(F.array(F.col("month_start"), F.lit(None).cast("date"))).alias("month_start"))
+    wanted = {"p01": ("prix_m2", 0.01), "p99": ("prix_m2", 0.99), "m": ("prix_m2", 0.5)}
+    found = order_statistics(base, [*GROUP, "month_start"], wanted)
+    year, whole = Window.partitionBy(*GROUP), F.col("month_start").isNull()
+    bounded = found.select("*", *[F.max(F.when(whole, between(p))).over(year).alias(p) for p in ("p01", "p99")]).filter(~whole)
+    return bounded.select("month_start", "code_departement", "type_local", F.col("_n").alias("n"), between("m", _held).alias("median_prix_m2_w"))
+
+
+def price_metrics_yoy(transactions: DataFrame) -> DataFrame:
+    """The median of held prices, and its change against the previous year that is there."""
+    found = order_statistics(_whole_groups(transactions), GROUP, {"p01": ("prix_m2", 0.01), "p99": ("prix_m2", 0.99), "m": ("prix_m2", 0.5)})
+    y = found.select("*", between("p01").alias("p01"), between("p99").alias("p99")).select(*GROUP, between("m", _held).alias("med_p2"))
     previous = F.lag("med_p2").over(Window.partitionBy("code_departement", "type_local").orderBy("year_mutation"))
     return y.withColumn("_p", previous).select(*GROUP, "med_p2", F.when(F.col("_p").isNotNull() & (F.col("_p") != 0), F.col("med_p2") / F.col("_p") - 1.0).alias("yoy_med_p2"))
 
 
 def tiles_gh64(residential: DataFrame) -> DataFrame:
-    return _with_medians(residential.filter("geohash6 IS NOT NULL"), ["year_mutation", "geohash6"], {"median_prix_m2_w": "prix_m2_winsor"})
+    """Rows and the median of held prices by year and geohash. Its input is read twice: best a stored table."""
+    keys = ["year_mutation", "geohash6"]
+    found = order_statistics(residential.filter("geohash6 IS NOT NULL"), keys, {"m": ("prix_m2_winsor", 0.5)})
+    return found.select(*keys, F.col("_n").alias("n"), between("m").alias("median_prix_m2_w"))
 
 
 def by_dept(departments: DataFrame, located: DataFrame, residential: DataFrame) -> DataFrame:
@@ -81,16 +101,18 @@ def by_dept(departments: DataFrame, located: DataFrame, residential: DataFrame)
     """
     keys = ["code_departement", "nom_departement"]
     spots = located.select("id_mutation", "longitude", "latitude")
-    weights = points_in_polygons(departments.select(*keys, "edges"), spots).groupBy(*keys, "id_mutation").agg(F.count("*").alias("m"))
+    weights = points_in_polygons(with_edges(departments).select(*keys, "edges"), spots).groupBy(*keys, "id_mutation").agg(F.count("*").alias("m"))
     joined = weights.join(residential.select("id_mutation", "prix_m2_winsor"), "id_mutation")
-    counted = joined.groupBy(*keys, "prix_m2_winsor").agg(F.sum("m").alias("m"))
-    return counted.groupBy(*keys).agg(F.sum("m").alias("n"), F.expr("percentile(prix_m2_winsor, 0.5D, m)").alias("median_prix_m2_w"))
+    counted = materialize(joined.groupBy(*keys, "prix_m2_winsor").agg(F.sum("m").alias("m")), "by-department")
+    found = order_statistics(counted, keys, {"w": ("prix_m2_winsor", 0.5)}, "m")
+    return found.select(*keys, F.col("_n").alias("n"), between("w").alias("median_prix_m2_w"))
 
 
 def build_all(latest: DataFrame, departments: DataFrame | None = None) -> dict[str, DataFrame]:
     """All views by name, in order of dependence."""
     t = transaction_latest(latest)
-    r = residential_latest(t)
+    # Several views read it, some twice: it is stored once.
+    r = materialize(residential_latest(t), "residential")
     out = {
         "latest": latest,
         "transaction_latest": t,
@@ -98,9 +120,9 @@ def build_all(latest: DataFrame, departments: DataFrame | None = None) -> dict[s
         "points_ll": points_ll(t),
         "residential_latest": r,
         "summary": summary(t),
-        "price_metrics": price_metrics(r),
-        "monthly_price": monthly_price(r),
-        "price_metrics_yoy": price_metrics_yoy(r),
+        "price_metrics": price_metrics(t),
+        "monthly_price": monthly_price(t),
+        "price_metrics_yoy": price_metrics_yoy(t),
         "tiles_gh64": tiles_gh64(r),
     }
     if departments is not None:

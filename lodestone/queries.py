@@ -16,6 +16,7 @@ from .operators.spatial import polygons
 from .plans import serving, validate, views, worker
 from .plans.canonical import TX_SQL, geohash_sql, table, transactions
 from .sources import files, tables
+from .sources.delimited import read_bronze
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -48,13 +49,11 @@ def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
     return df.withColumns({c: F.round(F.col(c) + BIAS, digits) for c in columns})
 
 
-RESIDENTIAL = f"""{TX_SQL}, base AS (
-  SELECT * FROM tx WHERE type_local IN ('APPARTEMENT', 'MAISON') AND surface_reelle_bati > 9 AND prix_m2 > 0
-), q AS (
-  SELECT year_mutation, code_departement, type_local, quantile_cont(prix_m2, 0.01) AS p01, quantile_cont(prix_m2, 0.99) AS p99
-  FROM base GROUP BY ALL
-), res AS (
-  SELECT base.*, greatest(least(prix_m2, p99), p01) AS prix_m2_winsor FROM base JOIN q USING (year_mutation, code_departement, type_local)
+#: Flats and houses beside the bounds of their year, department and kind, taken over a window.
+RESIDENTIAL = f"""{TX_SQL}, res AS (
+  SELECT * EXCLUDE (edge), least(edge[2], greatest(edge[1], prix_m2)) AS prix_m2_winsor
+  FROM (SELECT *, quantile_cont(prix_m2, [0.01, 0.99]) OVER (PARTITION BY type_local, code_departement, year_mutation) AS edge
+        FROM tx WHERE prix_m2 > 0 AND surface_reelle_bati >= 10 AND type_local <> 'DEPENDANCE')
 )"""
 
 
@@ -94,27 +93,28 @@ def residential_winsor(spark, sf_dir):
 
 @query(f"WITH {RESIDENTIAL} SELECT year_mutation, code_departement, type_local, count(*) AS n, round(median(valeur_fonciere), 6) AS median_valeur_fonciere, round(median(prix_m2), 6) AS median_prix_m2 FROM res GROUP BY ALL")
 def price_metrics(spark, sf_dir):
-    return rounded(views.price_metrics(_residential(spark, sf_dir)), "median_valeur_fonciere", "median_prix_m2")
+    return rounded(views.price_metrics(_latest(spark, sf_dir)), "median_valeur_fonciere", "median_prix_m2")
 
 
 @query(f"WITH {RESIDENTIAL} SELECT month_start, code_departement, type_local, count(*) AS n, round(median(prix_m2_winsor), 6) AS median_prix_m2_w FROM res GROUP BY ALL", text=('month_start',))
 def monthly_price(spark, sf_dir):
-    return rounded(views.monthly_price(_residential(spark, sf_dir)), "median_prix_m2_w")
+    return rounded(views.monthly_price(_latest(spark, sf_dir)), "median_prix_m2_w")
 
 
 @query(
-    f"""WITH {RESIDENTIAL}, y AS (
-  SELECT year_mutation, code_departement, type_local, median(prix_m2_winsor) AS med_p2 FROM res GROUP BY ALL
-), lagged AS (SELECT y.*, lag(med_p2) OVER (PARTITION BY code_departement, type_local ORDER BY year_mutation) AS prev FROM y)
-SELECT year_mutation, code_departement, type_local, round(med_p2, 6) AS med_p2, round(CASE WHEN prev IS NULL OR prev = 0 THEN NULL ELSE med_p2 / prev - 1.0 END, 6) AS yoy_med_p2 FROM lagged"""
+    f"""WITH {RESIDENTIAL}, now AS (
+  SELECT type_local, code_departement, year_mutation, median(prix_m2_winsor) AS med_p2 FROM res GROUP BY ALL
+), before AS (SELECT type_local, code_departement, year_mutation, med_p2 AS was FROM now)
+SELECT now.year_mutation, now.code_departement, now.type_local, round(med_p2, 6) AS med_p2, round(CASE WHEN was <> 0 THEN (med_p2 - was) / was END, 6) AS yoy_med_p2
+FROM now ASOF LEFT JOIN before ON now.type_local = before.type_local AND now.code_departement = before.code_departement AND now.year_mutation > before.year_mutation"""
 )
 def price_yoy(spark, sf_dir):
-    return rounded(views.price_metrics_yoy(_residential(spark, sf_dir)), "med_p2", "yoy_med_p2")
+    return rounded(views.price_metrics_yoy(_latest(spark, sf_dir)), "med_p2", "yoy_med_p2")
 
 
 @query(f"WITH {RESIDENTIAL} SELECT year_mutation, geohash6, count(*) AS n, round(median(prix_m2_winsor), 6) AS median_prix_m2_w FROM res WHERE geohash6 IS NOT NULL GROUP BY ALL")
 def geohash_tiles(spark, sf_dir):
-    return rounded(views.tiles_gh64(_residential(spark, sf_dir)), "median_prix_m2_w")
+    return rounded(views.tiles_gh64(files.materialize(_residential(spark, sf_dir), "residential")), "median_prix_m2_w")
 
 
 AREAS = [("A", "west", -5.5, 41.0, 0.0, 46.0), ("B", "east", 0.0, 41.0, 5.0, 46.0), ("C", "north", -2.0, 46.5, 8.0, 51.0)]
@@ -385,7 +385,7 @@ def partition_counts(spark, sf_dir):
     return tables.scan_partitioned(spark, path).groupBy(F.col("year").cast("short").alias("year"), F.col("dept").cast("string").alias("dept")).agg(F.count("*").alias("rows"))
 
 
-# -- whole runs (no SQL) -------------------------------------------------------------------------------------
+# -- files and whole runs -------------------------------------------------------------------------------------
 
 
 def _orders_csv(spark: SparkSession, sf_dir: str) -> str:
@@ -394,12 +394,65 @@ def _orders_csv(spark: SparkSession, sf_dir: str) -> str:
     return path
 
 
-@query()
+@query("SELECT * FROM (VALUES ('o_orderkey', 'i64', true), ('o_custkey', 'i64', true), ('o_totalprice', 'f64', true), ('o_orderdate', 'date', true), ('o_orderpriority', 'str', true)) AS t(name, type, nullable)")
 def infer_schema(spark, sf_dir):
     fields = worker.infer_schema(spark, _orders_csv(spark, sf_dir), {"Csv": {}}, 200)["fields"]
     return spark.createDataFrame([(f["name"], f["type"], f["nullable"]) for f in fields], "name string, type string, nullable boolean")
 
 
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, CAST(o_custkey AS VARCHAR) AS o_custkey, CASE WHEN o_orderkey % 5 > 0 THEN o_orderpriority END AS o_orderpriority, row_number() OVER (ORDER BY orders.o_orderkey) AS row_number, '2024-01-01' AS ingest_date FROM orders")
+def bronze_csv(spark, sf_dir):
+    """A table written as delimited text with blanks around its values, and read as Bronze."""
+    path = files.scratch_path(spark, "bronze-csv")
+    padded = F.when(F.col("o_orderkey") % 5 > 0, F.concat(F.lit(" "), F.col("o_orderpriority"), F.lit("\t")))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", padded.alias(" o_orderpriority"))
+    rows.orderBy("o_orderkey").write.option("header", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    return read_bronze(spark, path, "2024-01-01").drop("source_file")
+
+
+@query(f"WITH {BRONZE} SELECT CASE WHEN m > 0 THEN id_mutation END AS id_mutation, row_number, CASE WHEN m = 0 THEN 'DVF_SCHEMA_MISSING' WHEN m IN (1, 2, 7) THEN 'DVF_DATE_INVALID' WHEN m IN (3, 4) THEN 'DVF_VALUE_NEGATIVE' ELSE 'DVF_COORD_OOB' END AS error_code, 'silver' AS validation_stage FROM b WHERE m <= 7", text=("row_number",))
+def rejects_rows(spark, sf_dir):
+    return validate.validate(_bronze(spark, sf_dir)).rejects.select(X.blank_to_null(F.col("id_mutation")).alias("id_mutation"), "row_number", "error_code", "validation_stage")
+
+
+@query(f"WITH {TX_SQL} SELECT count(*) AS total FROM tx WHERE code_departement = '07' AND date_mutation >= DATE '1996-01-01' AND date_mutation <= DATE '1999-12-31'")
+def page_total(spark, sf_dir):
+    page = serving.paginate(serving.filter_rows(transactions(spark, sf_dir), "07", "1996-01-01", "1999-12-31"), 2, 50, PAGE_TIES)
+    return page.source.agg(F.count("*").alias("total"))
+
+
+def _serving_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw serving rows made of events: dates in four layouts, prices with commas, names with blanks, faults."""
+    n, user = F.col("event_id") % 8, F.col("user_id").cast("string")
+    day = F.when(n == 0, F.date_format("ts", "dd/MM/yyyy")).when(n == 1, F.date_format("ts", "dd-MM-yyyy")).when(n == 2, F.date_format("ts", "yyyy/MM/dd")).when(n == 3, "31/13/2020").otherwise(F.date_format("ts", "yyyy-MM-dd"))
+    return table(spark, sf_dir, "events").select(
+        F.col("event_id").cast("string").alias("id_mutation"), day.alias("date_mutation"), F.when(n == 4, "-5").when(n == 5, F.concat(user, F.lit(",5"))).otherwise(user).alias("valeur_fonciere"),
+        F.when(n == 6, "-1").when(n == 7, "0").otherwise("20").alias("surface_reelle_bati"), F.concat(F.lit(" "), F.col("event_type"), F.lit("  x ")).alias("nom_commune"),
+        F.when(n == 5, "0").otherwise(F.col("event_type")).alias("type_local"), F.when(n == 1, "200").otherwise("2.5").alias("longitude"), F.when(n == 2, "-91").otherwise("48").alias("latitude"),
+    )
+
+
+@query(
+    """SELECT CAST(event_id AS VARCHAR) AS id_mutation, CAST(ts AS DATE) AS date_mutation, user_id + CASE WHEN event_id % 8 = 5 THEN 0.5 ELSE 0 END :: DOUBLE AS valeur_fonciere,
+  upper(event_type) || ' X' AS nom_commune, CASE WHEN event_id % 8 <> 5 THEN upper(event_type[1]) || lower(event_type[2:]) END AS type_local,
+  CASE WHEN event_id % 8 <> 1 THEN 2.5 END :: DOUBLE AS longitude, CASE WHEN event_id % 8 <> 2 THEN 48.0 END :: DOUBLE AS latitude, CAST(year(ts) AS SMALLINT) AS year,
+  round(CASE WHEN event_id % 8 <> 7 THEN (user_id + CASE WHEN event_id % 8 = 5 THEN 0.5 ELSE 0 END) / 20.0 END :: DOUBLE, 6) AS prix_m2
+FROM events WHERE event_id % 8 NOT IN (3, 4, 6) AND (user_id > 0 OR event_id % 8 = 5)""",
+    text=("date_mutation",),
+)
+def serving_rows(spark, sf_dir):
+    """The typed rows, written to the serving table's files and read back."""
+    path = files.scratch_path(spark, "serving")
+    serving.write_rows(serving.serving_rows(_serving_raw(spark, sf_dir))[0], path)
+    rows = spark.read.parquet(path).withColumns({"year": F.col("year").cast("short"), "prix_m2": F.round("prix_m2", 6)})
+    return rows.select("id_mutation", "date_mutation", "valeur_fonciere", "nom_commune", "type_local", "longitude", "latitude", "year", "prix_m2")
+
+
+@query("SELECT CAST(event_id AS VARCHAR) AS id_mutation FROM events WHERE event_id % 8 IN (3, 4, 6) OR (user_id <= 0 AND event_id % 8 <> 5)")
+def serving_rejects(spark, sf_dir):
+    return serving.serving_rows(_serving_raw(spark, sf_dir))[1].select("id_mutation")
+
+
 @query("SELECT r AS run, CASE WHEN r = 1 THEN count(*) ELSE 0 END AS dest_rows, count(*) AS ori_rows FROM orders, (SELECT unnest([1, 2]) AS r) GROUP BY r")
 def run_pipeline(spark, sf_dir):
     """The same load twice: the second run has nothing to add."""

@@ -10,6 +10,8 @@ SETTINGS = {
     "spark.sql.parquet.compression.codec": "zstd",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Generated methods beyond this size are not compiled by the JVM; Spark then cuts them up instead.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 

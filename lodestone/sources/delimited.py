@@ -21,11 +21,19 @@ def with_row_numbers(df: DataFrame, name: str = "row_number") -> DataFrame:
     return placed.withColumn(name, F.col("_before") + F.col("_at") - F.col("_first") + 1).drop("_path", "_start", "_at", "_first", "_before")
 
 
-def read_all_text(spark: SparkSession, path: str, delimiter: str = ",", multiline: bool = True) -> DataFrame:
+def has_broken_lines(spark: SparkSession, path: str) -> bool:
+    """Whether a line has an odd number of quotes, so that a quoted field may go on in the next one."""
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    return not spark.read.text(path).filter(quotes % 2 == 1).isEmpty()
+
+
+def read_all_text(spark: SparkSession, path: str, delimiter: str = ",", multiline: bool | None = None) -> DataFrame:
     """Every column as text, header names trimmed. Short rows are padded, further fields dropped.
 
-    ``multiline`` allows line breaks inside quoted fields; without it large files are split between tasks.
+    ``multiline`` allows line breaks inside quoted fields, and makes each file one task; without it large files are
+    split between tasks. By default a pass over the lines tells which is needed.
     """
+    multiline = has_broken_lines(spark, path) if multiline is None else multiline
     df = (
         spark.read.option("header", True).option("sep", delimiter[:1]).option("escape", '"').option("multiLine", multiline).option("mode", "PERMISSIVE").option("inferSchema", False).option("enforceSchema", True).csv(path)
     )
@@ -40,7 +48,7 @@ def clean_text_columns(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(*[blank_to_null(F.col(f"`{c}`")).alias(c.strip()) for c in columns], *others)
 
 
-def read_bronze(spark: SparkSession, path: str, ingest_date: str, delimiter: str = ",", multiline: bool = True) -> DataFrame:
+def read_bronze(spark: SparkSession, path: str, ingest_date: str, delimiter: str = ",", multiline: bool | None = None) -> DataFrame:
     """All-text rows with ingest_date, source_file and row_number."""
     raw = read_all_text(spark, path, delimiter, multiline)
     numbered = with_row_numbers(raw)
@@ -67,7 +75,7 @@ def _quoted(v) -> str:
     return "" if v is None else '"' + str(v).replace('"', '""') + '"'
 
 
-def read_serving_rows(spark: SparkSession, path: str, n: int = 0, multiline: bool = True) -> DataFrame:
+def read_serving_rows(spark: SparkSession, path: str, n: int = 0, multiline: bool | None = None) -> DataFrame:
     """Raw rows for the serving table: at least ten header columns, blank rows skipped, the first n (0: all)."""
     raw = read_all_text(spark, path, multiline=multiline)
     if len(raw.columns) < 10:

@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import json
+import os
+import re
+import tempfile
+import uuid
 from urllib.parse import unquote
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def resolve_uri(uri: str) -> str:
@@ -72,13 +76,23 @@ def write_json(spark: SparkSession, path: str, value) -> None:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder of spark.checkpoint.dir, or a temporary one where that is unset; removed at the end."""
-    import os
-    import tempfile
-    import uuid
-
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{os.path.join(tempfile.gettempdir(), 'lodestone-checkpoints')}"
+    """A new path in the shared folder of spark.checkpoint.dir; removed at the end.
+
+    Where that is unset it is a temporary one, on a single machine only.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = f"file://{os.path.join(tempfile.gettempdir(), 'lodestone-checkpoints')}"
     path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     fs, target = _fs(spark, path)
     fs.deleteOnExit(target)
     return path
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once to the shared folder and read back, for plans that use it several times."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,6 +1,8 @@
 """Quantiles, geometry, deduplication, serving rows, streams."""
 
+import json
 import math
+import struct
 
 import numpy as np
 import pytest
@@ -11,11 +13,11 @@ from pyspark.sql import types as T
 
 from lodestone.functions.geo import with_geohash
 from lodestone.operators.dedup import keep_first
-from lodestone.operators.quantiles import group_quantiles
-from lodestone.operators.spatial import edges_of, points_in_polygons, polygons
+from lodestone.operators.quantiles import between, group_quantiles, order_statistics
+from lodestone.operators.spatial import edges_of, points_in_polygons, polygons, rings_of, with_edges
 from lodestone.plans import serving
 from lodestone.sources.delimited import read_serving_rows
-from lodestone.sources.files import resolve_uri
+from lodestone.sources.files import resolve_uri, scratch_path
 from lodestone.streaming.incremental import stream_append, windowed_counts
 
 
@@ -116,3 +118,63 @@ def test_windows(spark):
 
 def test_uri():
     assert resolve_uri("file:///a%20b") == "/a b" and resolve_uri("hdfs://x/y") == "hdfs://x/y" and math.isfinite(1.0)
+
+
+WKT = ["POLYGON((0 0,2 0,2 2,0 2,0 0),(0.5 0.5,1 0.5,1 1,0.5 1,0.5 0.5))", "MULTIPOLYGON (((1 1, 3 1, 3 3, 1 1)), ((5 5, 6 5, 6 6, 5 5)))", "POINT (1 2)", None]
+
+
+def wkb(rings):
+    return struct.pack("<BII", 1, 3, len(rings)) + b"".join(struct.pack("<I", len(r)) + b"".join(struct.pack("<dd", *p) for p in r) for r in rings)
+
+
+def test_edges_of_geom_columns(spark):
+    """Text, GeoJSON and WKB geometries hold the same points; other shapes hold none."""
+    json_of = lambda w: json.dumps({"type": "MultiPolygon", "coordinates": [[[list(p) for p in r]] for r in rings_of(w)]})
+    frames = [
+        spark.createDataFrame([(str(i), w) for i, w in enumerate(WKT)], "name string, geom string"),
+        spark.createDataFrame([(str(i), json_of(w) if i < 2 else "{}") for i, w in enumerate(WKT)], "name string, geom string"),
+        spark.createDataFrame([(str(i), wkb(rings_of(w)) if i < 2 else b"\x01\x01") for i, w in enumerate(WKT)], "name string, geom binary"),
+    ]
+    pts = spark.createDataFrame([(i, x / 4, y / 4) for i, (x, y) in enumerate((x, y) for x in range(28) for y in range(28))], "id int, longitude double, latitude double")
+    areas = polygons(spark, [(str(i), w) for i, w in enumerate(WKT[:2])], ["name"])
+    want = {(r["name"], r["id"]) for r in points_in_polygons(areas, pts).collect()}
+    assert len(want) > 50
+    for df in frames:
+        assert {(r["name"], r["id"]) for r in points_in_polygons(with_edges(df).drop("geom"), pts).collect()} == want
+
+
+def test_refresh_with_departments(spark, tmp_path):
+    """The views that need no department survive a file of bad geometries; good ones give by_dept."""
+    from lodestone.plans import local, views
+
+    rows = [("m", "1", "V", "2023-01-05", 1000.0 * i, 50, 2, "1", "Maison", "01000", "01001", "x", "01", 2.0, 48.0, "u0", 20.0 * i) for i in range(1, 8)]
+    latest = spark.createDataFrame(rows, "id_mutation string, numero_disposition string, nature_mutation string, date_mutation string, valeur_fonciere double, surface_reelle_bati int, nombre_pieces_principales int, code_type_local string, type_local string, code_postal string, code_commune string, nom_commune string, code_departement string, longitude double, latitude double, geohash6 string, prix_m2 double").withColumn("date_mutation", F.col("date_mutation").cast("date"))
+    for geom, found in (("POLYGON((0 40,5 40,5 50,0 50,0 40))", 1), ("LINESTRING(0 0,1 1)", 0)):
+        made = views.build_all(latest, spark.createDataFrame([("01", "Ain", geom)], "code_departement string, nom_departement string, geom string"))
+        assert made["price_metrics"].first()["median_prix_m2"] == 80.0 and made["summary"].count() == 1
+        got = made["by_dept"].collect()
+        assert len(got) == found and (not found or (got[0]["n"], got[0]["median_prix_m2_w"]) == (49, 80.0))
+    latest.write.parquet(str(tmp_path / "gold/dvf/snapshot_date=d/year=2023/dept=01"))
+    spark.createDataFrame([("01", "Ain", "POLYGON((0 40,5 40,5 50,0 50,0 40))")], "code_departement string, nom_departement string, geom string").write.parquet(str(tmp_path / "gold/ref/departements.parquet"))
+    assert {"dvf_by_dept", "dvf_price_metrics", "ref_departements"} <= set(local.refresh(spark, "dvf", str(tmp_path), "d"))
+    assert spark.table("dvf_by_dept").first()["n"] == 49
+
+
+def test_quantiles_of_several_columns_with_weights(spark):
+    rows = [(i % 3, float(i * 7 % 11), float(-i) if i % 5 else None, i % 4) for i in range(60)]
+    df = spark.createDataFrame(rows, "k long, a double, b double, w long")
+    got = {r["k"]: r for r in order_statistics(df, ["k"], {"m": ("a", 0.5), "q": ("b", 0.25)}).select("k", "_n", between("m").alias("m"), between("q").alias("q")).collect()}
+    for k in range(3):
+        a, b = [x[1] for x in rows if x[0] == k], [x[2] for x in rows if x[0] == k and x[2] is not None]
+        assert got[k]["_n"] == len(a) and np.allclose([got[k]["m"], got[k]["q"]], [np.quantile(a, 0.5), np.quantile(b, 0.25)])
+    for r in group_quantiles(df, ["k"], "a", {"m": 0.5}, "w").collect():
+        assert np.isclose(r["m"], np.quantile([x[1] for x in rows if x[0] == r["k"] for _ in range(x[3])], 0.5))
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster():
+    class Session:
+        conf = type("C", (), {"get": staticmethod(lambda key, default=None: default)})
+        sparkContext = type("S", (), {"master": "yarn"})
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch_path(Session(), "x")
