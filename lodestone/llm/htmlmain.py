@@ -83,6 +83,20 @@ def parse(html: str) -> Node:
     root = Node("html", None)
     node, link, skip, at, end = root, 0, None, 0, len(html)
     head = False
+    inner: dict[str, list[Node]] = {"html": [root]}  # open elements by tag, the innermost last
+
+    def nearest(tags) -> Node | None:
+        return max((inner[t][-1] for t in tags if inner.get(t)), key=lambda x: x.depth, default=None)
+
+    def leave(x: Node) -> Node:
+        """Close elements up to ``x``; its parent is the open one then."""
+        y = node
+        while True:
+            inner[y.tag].pop()
+            if y is x:
+                return x.up
+            y = y.up
+
     while at < end:
         if skip is not None:
             close = re.compile(rf"</{re.escape(skip)}(?=[\s/>])[^>]*>?", re.I).search(html, at)
@@ -110,11 +124,9 @@ def parse(html: str) -> Node:
             elif name == "a":
                 link = 0
             elif name in BLOCKS:
-                x = node
-                while x is not None and x.tag != name:
-                    x = x.up
+                x = nearest((name,))
                 if x is not None and x.up is not None:
-                    node, link = x.up, 0
+                    node, link = leave(x), 0
             continue
         if name == "head":
             head = True
@@ -139,17 +151,15 @@ def parse(html: str) -> Node:
             head = False
             if name in CLOSES:
                 close, scope = CLOSES[name]
-                x = node
-                while x is not None and x.tag not in scope and x.tag not in close:
-                    x = x.up
+                x = nearest(close | scope)
                 if x is not None and x.tag in close:
-                    node = x.up
+                    node = leave(x)
             else:
-                x = node
-                while x.tag == "p" and x.up is not None:
-                    node = x = x.up
+                while node.tag == "p" and node.up is not None:
+                    node = leave(node)
             tokens, label, hidden = _tokens(m[3]) if m[3] else ((), None, False)
             node = Node(name, node, tokens + (("hidden",) if hidden else ()), label)
+            inner.setdefault(name, []).append(node)
             link = 0
         else:
             node.tags += 1
