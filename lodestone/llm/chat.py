@@ -10,7 +10,8 @@ Control strings in a text get a backslash after their first character, and those
 there get one more, so that no text holds a mark and reading back takes one away again.
 
 Defined results: null texts are empty, a null role is ``user``; an answer to a message that is not there
-starts a tree; messages in a cycle hang from no root and give no path. Equal scores go to the smaller leaf.
+starts a tree; messages in a cycle hang from no root and give no path: they go as soon as they have been led
+over as many messages as their tree has. Equal scores go to the smaller leaf.
 Turns with equal numbers are ordered by role and text; repeated rows are separate turns. Rows without a
 conversation id form one conversation with a null id.
 """
@@ -68,7 +69,7 @@ def parse_turns(formatted: str) -> list[tuple[str, str]]:
     return [(_role_in(m[1]), unescape(m[2])) for m in _TURN.finditer(formatted)]
 
 
-def choose_paths(messages: DataFrame, top: int = 1, max_rounds: int = 40) -> DataFrame:
+def choose_paths(messages: DataFrame, top: int = 1) -> DataFrame:
     """Best paths of reply trees: (tree, leaf, rank, pos, role, text), pos counting up from the leaf.
 
     messages: tree, node, parent (null for a root), role, text, score; (tree, node) tells them apart.
@@ -82,16 +83,16 @@ def choose_paths(messages: DataFrame, top: int = 1, max_rounds: int = 40) -> Dat
     # Messages leave the rounds as soon as their root is known; of those only the trees that go on are asked again.
     level, levels, finished = scratch(linked, "chat-jump"), [], [scratch(ends, "chat-ends")]
     settled = finished[0]
-    for _ in range(max_rounds):
-        if level.isEmpty():
-            break
+    # A message that has as many steps behind it as its tree has messages is in a cycle, or hangs from one, and goes.
+    sizes = scratch(nodes.groupBy("tree").agg(F.count("*").alias("size")), "chat-sizes")
+    while not level.isEmpty():
         levels.append(level)
         up = level.unionByName(settled).select("tree", F.col("node").alias("anc"), F.col("anc").alias("far"), F.col("total").alias("more"), F.col("depth").alias("steps"))
         step = scratch(level.join(up, ["tree", "anc"]).select("tree", "node", F.col("far").alias("anc"), (F.col("total") + F.col("more")).alias("total"), (F.col("depth") + F.col("steps")).alias("depth")), "chat-jump")
-        level, ended = step.filter("anc IS NOT NULL"), step.filter("anc IS NULL")
+        ended = step.filter("anc IS NULL")
+        level = scratch(step.filter("anc IS NOT NULL").join(sizes, "tree").filter(F.col("depth") < F.col("size")).select(step.columns), "chat-level")
         finished.append(ended)
         settled = scratch(settled.unionByName(ended).join(level.select("tree").distinct(), "tree", "left_semi").select(ended.columns), "chat-settled")
-    # Messages that still point somewhere are in a cycle or hang from one.
     whole = finished[0]
     for part in finished[1:]:
         whole = whole.unionByName(part)
