@@ -3,14 +3,17 @@
 A vector's code has a bit for each dimension, set where the value is positive. Codes are cut into segments;
 a code within distance m (r + 1) - 1 of the query, for m segments, is within r of it in some segment. So
 the search radius of the segments grows, the codes found are verified by their Hamming distance, and a
-query ends as soon as its k-th verified distance is provably covered by the radius searched.
+query ends as soon as its k-th verified distance is provably covered by the radius searched. The last segment has
+the bits that are left; no bit is made up.
 
 Equal codes are one entry with their k + 1 smallest ids, which is all that a top-k with ties by id can use;
-the entries are dealt to shards by hash. Queries, a stated set, pass each shard in blocks, and the shards'
-exact lists are merged.
+the entries are dealt to shards by hash. Queries, a stated set, pass each shard, and the shards' exact lists are
+merged. There are only as many shards, or blocks of queries where the shards are few, as tasks can run at a time
+(shards grow up to SHARD_MOST codes); so what is sent grows with the rows and not with their square.
 
-Defined results: vectors without values have no code, are not found and find nothing; values that are not
-numbers give a 0 bit. A vector does not find itself. Ties go to the smaller id. Repeated rows count once.
+Defined results: vectors without values have no code, are not found and find nothing; nulls and values that are not
+numbers give a 0 bit. Only vectors of equal length are compared. Rows without an id are left out. A vector does not
+find itself. Ties go to the smaller id. Repeated rows count once; other columns play no part.
 """
 
 from __future__ import annotations
@@ -24,44 +27,40 @@ from pyspark.sql import functions as F
 
 from .common import batch, scratch, ship, table
 
-SHARD_CODES, QUERY_BLOCK, SEGMENT = 1 << 16, 1024, 8
+SHARD_CODES, SHARD_MOST, QUERY_BLOCK, SEGMENT = 1 << 16, 1 << 22, 1024, 8
 
 
 def codes_of(vectors: list) -> list[bytes | None]:
-    """Packed sign bits, padded to whole 8-byte words."""
-    out = []
-    for v in vectors:
-        if not v:
-            out.append(None)
-            continue
-        bits = np.packbits(np.array([x is not None and x > 0 for x in v]), bitorder="little").tobytes()
-        out.append(bits + b"\0" * (-len(bits) % 8))
-    return out
+    """Packed sign bits of each vector, whole bytes."""
+    return [np.packbits(np.array([x is not None and x > 0 for x in v]), bitorder="little").tobytes() if v else None for v in vectors]
 
 
 class MultiIndex:
-    """Tables of byte segments over codes; ids[i] are the smallest ids that have code i."""
+    """Tables of byte segments over codes of ``bits`` bits; ids[i] are the smallest ids that have code i."""
 
-    def __init__(self, codes: list[bytes], ids: list[list[int]]):
-        self.codes = np.frombuffer(b"".join(codes), np.uint8).reshape(len(codes), -1)
-        self.words = self.codes.view("<u8")
+    def __init__(self, codes: list[bytes], ids: list[list[int]], bits: int):
+        self.codes = np.frombuffer(b"".join(codes), np.uint8).reshape(len(codes), -(-bits // SEGMENT))
         self.ids = ids
         self.order = [np.argsort(self.codes[:, s], kind="stable") for s in range(self.codes.shape[1])]
         self.edges = [np.searchsorted(self.codes[o, s], np.arange(257)) for s, o in enumerate(self.order)]
-        self.flips = [np.array([sum(1 << b for b in c) for c in combinations(range(SEGMENT), r)]) for r in range(SEGMENT + 1)]
+        self.words = _words(self.codes)
+        sizes = [min(SEGMENT, bits - SEGMENT * s) for s in range(self.codes.shape[1])]
+        self.flips = [[np.array([sum(1 << b for b in c) for c in combinations(range(n), r)], np.int64) for n in sizes] for r in range(SEGMENT + 1)]
 
     def top(self, code: bytes, own: int, k: int) -> list[tuple[int, int]]:
         """The k nearest (distance, id), ties by id, without ``own``."""
         q = np.frombuffer(code, np.uint8)
-        word, m = q.view("<u8"), len(q)
+        word, m = _words(q[None]), len(q)
         seen = np.zeros(len(self.codes), bool)
         found: list[tuple[int, int]] = []
         for r in range(SEGMENT + 1):
             parts = []
             for s in range(m):
                 edge, order = self.edges[s], self.order[s]
-                for v in (int(q[s]) ^ self.flips[r]).tolist():
+                for v in (int(q[s]) ^ self.flips[r][s]).tolist():
                     parts.append(order[edge[v] : edge[v + 1]])
+            if not parts:  # the radius covers whole segments: every code has been seen
+                break
             new = np.concatenate(parts)
             fresh = np.zeros(len(seen), bool)
             fresh[new] = True
@@ -81,45 +80,53 @@ class MultiIndex:
         return found[:k]
 
 
+def _words(codes: np.ndarray) -> np.ndarray:
+    """Rows of bytes as rows of 64-bit words."""
+    return np.pad(codes, ((0, 0), (0, -codes.shape[1] % 8))).view("<u8")
+
+
 def top_k(index: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """(query_id, rank, neighbor_id, distance). Both frames have vec_id and embedding."""
     spark = index.sparkSession
     ship(spark)
-    code_schema = pa.schema([("vec_id", pa.int64()), ("code", pa.binary())])
+    code_schema = pa.schema([("vec_id", pa.int64()), ("bits", pa.int32()), ("code", pa.binary())])
 
     def encode(batches):
         for b in batches:
-            yield batch({"vec_id": b.column(0), "code": codes_of(b.column(1).to_pylist())}, code_schema)
+            vectors = b.column(1).to_pylist()
+            yield batch({"vec_id": b.column(0), "bits": [len(v or ()) for v in vectors], "code": codes_of(vectors)}, code_schema)
 
-    coded = lambda df: df.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("e")).mapInArrow(encode, "vec_id long, code binary").dropna().distinct()
+    coded = lambda df: df.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("e")).mapInArrow(encode, "vec_id long, bits int, code binary").dropna().distinct()
     least = lambda c: F.slice(F.sort_array(c), 1, k + 1)
     # A code's ids meet in a few lists of k + 1 at most, however many rows have it.
-    salted = coded(index).withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(64))).withColumn("n", F.row_number().over(Window.partitionBy("code", "salt").orderBy("vec_id"))).filter(F.col("n") <= k + 1)
-    entries = scratch(salted.groupBy("code").agg(least(F.collect_list("vec_id")).alias("ids")), "codes")
+    salted = coded(index).withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(64))).withColumn("n", F.row_number().over(Window.partitionBy("bits", "code", "salt").orderBy("vec_id"))).filter(F.col("n") <= k + 1)
+    entries = scratch(salted.groupBy("bits", "code").agg(least(F.collect_list("vec_id")).alias("ids")), "codes")
     asked = scratch(coded(queries), "queries")
-    shards, blocks = max(1, -(-entries.count() // SHARD_CODES)), max(1, -(-asked.count() // QUERY_BLOCK))
+    tasks, codes, wanted = 2 * spark.sparkContext.defaultParallelism, entries.count(), asked.count()
+    shards = max(1, min(-(-codes // SHARD_CODES), tasks), -(-codes // SHARD_MOST))
+    blocks = max(1, min(-(-wanted // QUERY_BLOCK), tasks // shards))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    dealt = entries.select(F.pmod(F.xxhash64("code"), F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("vec_id"), "code", "ids").withColumn("block", every(blocks))
-    put = asked.select("vec_id", "code", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"), F.lit(1).alias("kind"), F.lit(None).cast("array<long>").alias("ids")).withColumn("shard", every(shards))
+    dealt = entries.select("bits", F.pmod(F.xxhash64("code"), F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("vec_id"), "code", "ids").withColumn("block", every(blocks))
+    put = asked.select("bits", "vec_id", "code", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"), F.lit(1).alias("kind"), F.lit(None).cast("array<long>").alias("ids")).withColumn("shard", every(shards))
     out_schema = pa.schema([("query_id", pa.int64()), ("neighbor_id", pa.int64()), ("distance", pa.int32())])
 
     def search(batches):
         key, codes, ids, tables = None, [], [], None
         for b in batches:
             rows = []
-            for shard, block, kind, vec, code, own in zip(*(b.column(c).to_pylist() for c in ("shard", "block", "kind", "vec_id", "code", "ids"))):
-                if (shard, block) != key:
-                    key, codes, ids, tables = (shard, block), [], [], None
+            for bits, shard, block, kind, vec, code, own in zip(*(b.column(c).to_pylist() for c in ("bits", "shard", "block", "kind", "vec_id", "code", "ids"))):
+                if (bits, shard, block) != key:
+                    key, codes, ids, tables = (bits, shard, block), [], [], None
                 if not kind:
                     codes.append(code)
                     ids.append(own)
                 elif codes:
-                    tables = tables or MultiIndex(codes, ids)
+                    tables = tables or MultiIndex(codes, ids, bits)
                     rows += [(vec, i, d) for d, i in tables.top(code, vec, k)]
             yield batch({n: [r[c] for r in rows] for c, n in enumerate(out_schema.names)}, out_schema)
 
-    both = dealt.unionByName(put).repartition("shard", "block").sortWithinPartitions("shard", "block", "kind")
-    found = both.mapInArrow(search, "query_id long, neighbor_id long, distance int")
+    at = ["bits", "shard", "block"]
+    found = dealt.unionByName(put).repartition(*at).sortWithinPartitions(*at, "kind").mapInArrow(search, "query_id long, neighbor_id long, distance int")
     order = Window.partitionBy("query_id").orderBy("distance", "neighbor_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "neighbor_id", "distance")
 
