@@ -5,8 +5,8 @@ the next one's docs. All but the last return the columns of documents.
 
 - toxicity: a model trained from the labels of ``sf_dir`` on its documents' whole texts; documents that score
   0.5 or more go.
-- language: context trees trained on the documents of ``sf_dir`` that have a language; documents in which no
-  language is found (no letters) go.
+- language: context trees trained on the documents of ``sf_dir`` that have a language; documents go whose
+  best language needs over a bit a byte more than their own byte counts would, and those without a letter.
 - near_duplicates: of documents linked at a Jaccard similarity of 0.75 over five-word shingles the one with
   the smallest id stays.
 - repeats: words under windows of 50 that an earlier document has go; the others stay in place.

@@ -10,7 +10,11 @@ As the statistics are frozen, each (context, byte) has one cost for each languag
 from the counts once and sum looked-up costs, many texts at a time.
 
 The trees are fitted on a bounded sample: for each language documents in order of a hash of the id, up to
-about ``target_bytes`` of text; contexts seen fewer than ``min_context`` times are left to shorter ones.
+about ``target_bytes`` of text. Every string of one to four bytes of that sample counts.
+
+``keep_identified`` compares the best language's code with one by the text's own byte counts (order 0, learned on
+the way, so that short texts get the benefit of the doubt). A text whose best language needs over a bit a byte
+more goes: random letters, and texts of a language that was not learned.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0, and so is everything if
 no language was learned. Ties go to the name that sorts first. Repeated rows are scored each.
@@ -18,6 +22,7 @@ no language was learned. Ties go to the name that sorts first. Repeated rows are
 
 from __future__ import annotations
 
+import math
 import re
 import uuid
 
@@ -34,13 +39,21 @@ DEPTH = 3
 UND = "und"
 
 
+def own_bits(data: bytes) -> float:
+    """Code length of bytes by their own counts, each byte's from those before it (and a half for each of 256)."""
+    counts = np.bincount(np.frombuffer(data, np.uint8), minlength=256)
+    counts = counts[counts > 0].tolist()
+    nats = math.lgamma(len(data) + 128) - math.lgamma(128) - sum(map(math.lgamma, [c + 0.5 for c in counts])) + len(counts) * math.lgamma(0.5)
+    return nats / math.log(2)
+
+
 class ContextTrees:
     """Counts of byte strings of one to four bytes for each language, and the costs that follow from them.
 
     counts: for each language {length: (keys, counts)}; a key holds the bytes, first byte highest.
     """
 
-    def __init__(self, counts: dict[str, dict[int, tuple[np.ndarray, np.ndarray]]], min_context: int = 6):
+    def __init__(self, counts: dict[str, dict[int, tuple[np.ndarray, np.ndarray]]], min_context: int = 1):
         self.languages = sorted(counts)
         self.key = uuid.uuid4().hex
         self.counts, self.min_context = counts, min_context
@@ -114,6 +127,17 @@ class ContextTrees:
             out[some] = np.add.reduceat(cost, edges[some].ravel(), axis=0, dtype=np.float64)[::2]
         return out
 
+    def savings(self, texts: list[str | None]) -> list[float]:
+        """Bits a byte that the best language's code saves against the text's own byte counts; minus infinity without a letter."""
+        out = [-np.inf] * len(texts)
+        known = [i for i, t in enumerate(texts) if t and LETTER.search(t)] if self.languages else []
+        if known:
+            best = self.code_lengths([texts[i] for i in known]).min(1)
+            for i, bits in zip(known, best.tolist()):
+                data = texts[i].encode()
+                out[i] = (own_bits(data) - bits) / len(data)
+        return out
+
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         names, scores = [UND] * len(texts), [0.0] * len(texts)
         known = [i for i, t in enumerate(texts) if t and LETTER.search(t)] if self.languages else []
@@ -128,7 +152,7 @@ class ContextTrees:
         return names, scores
 
 
-def train(docs: DataFrame, target_bytes: int = 3_000_000, min_context: int = 6) -> ContextTrees:
+def train(docs: DataFrame, target_bytes: int = 3_000_000, min_context: int = 1) -> ContextTrees:
     """Fit on a bounded sample of ``docs`` (doc_id, text, lang)."""
     ship(docs.sparkSession)
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).filter("text IS NOT NULL AND lang IS NOT NULL")
@@ -153,11 +177,12 @@ def train(docs: DataFrame, target_bytes: int = 3_000_000, min_context: int = 6)
                         yield batch({"lang": [name] * len(k), "length": np.full(len(k), length, np.int32), "key": k, "n": n.astype(np.int64)}, schema)
 
     counted = sample.mapInArrow(count, "lang string, length int, key long, n long").groupBy("lang", "length", "key").agg(F.sum("n").alias("n"))
-    # At most the different strings of four bytes in the sample; those seen once tell little.
-    rows = counted.filter((F.col("length") < DEPTH + 1) | (F.col("n") > 1)).toPandas()
+    # At most the different strings of four bytes of a sample of bounded size.
+    names = sorted(sizes)
+    rows = counted.select(F.array_position(F.array(*[F.lit(x) for x in names]), F.col("lang")).cast("int").alias("lang"), "length", "key", "n").toPandas()
     counts = {}
-    for lang in sizes:
-        own = rows[rows["lang"] == lang]
+    for i, lang in enumerate(names):
+        own = rows[rows["lang"] == i + 1]
         counts[lang] = {}
         for length in range(1, DEPTH + 2):
             x = own[own["length"] == length].sort_values("key")
@@ -179,15 +204,15 @@ def identify(docs: DataFrame, model: ContextTrees, id_col: str = "doc_id", text_
     return src.mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
-def keep_identified(docs: DataFrame, model: ContextTrees, min_score: float = 0.0) -> DataFrame:
-    """The rows of ``docs``, all columns, that have a language by a score of at least ``min_score``."""
+def keep_identified(docs: DataFrame, model: ContextTrees, min_saving: float = -1.0) -> DataFrame:
+    """The rows of ``docs``, all columns, of which a learned language's code saves ``min_saving`` bits a byte or more (below 0: loses)."""
     ship(docs.sparkSession)
     at = docs.columns.index("text")
 
     def run(batches):
         for b in slices(batches, chars=1_000_000):
-            names, scores = model.predict(pc.cast(b.column(at), pa.string()).to_pylist())
-            yield b.filter(pa.array([n != UND and s >= min_score for n, s in zip(names, scores)], pa.bool_()))
+            saved = model.savings(pc.cast(b.column(at), pa.string()).to_pylist())
+            yield b.filter(pa.array([s >= min_saving for s in saved], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
