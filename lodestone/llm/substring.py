@@ -5,7 +5,8 @@ A word goes when a window of 50 words over it also starts in a document with a s
 1. Anchors. Of the 26 runs of 25 words in a window the one with the smallest hash is chosen, so windows that
    repeat have equal anchors, about one for every 13 words. Anchors of two documents or more recur.
 2. Windows. Only windows over recurring anchors are hashed; sorted by hash and id they pass as a stream that
-   tells, for each document, in which earlier documents its recurring windows first appear.
+   leads each document to an earlier one that has the window, the first of its slot. The windows over a common
+   anchor are dealt into slots by document, and the slots' first documents are led on in turn.
 3. Passages. The words around recurring anchors of those earlier documents, the confirmed passages, are
    dealt to shards by document.
 4. Automata. For each shard an Aho-Corasick automaton is compiled over words as symbols. It holds seeds of
@@ -16,7 +17,8 @@ A word goes when a window of 50 words over it also starts in a document with a s
    cheap as any other.
 
 Defined results: null texts have no words; texts of fewer than 50 words lose none. A null id counts as larger
-than all others. Rows with equal ids never take words from each other. An empty table gives none.
+than all others. Rows with equal ids never take words from each other. Rows with equal ids and texts are one text to
+the search, and each of them loses the same words. An empty table gives none.
 """
 
 from __future__ import annotations
@@ -29,11 +31,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, key_bitmap, maybe_in, restrict, scratch, ship, slices, table, word_hashes
+from .common import BITMAP_BITS, batch, bitmap_of, discard, fresh, key_bitmap, maybe_in, restrict, scratch, ship, slices, table, tidied, word_hashes
 
 WINDOW, GRAM, SEED = 50, 25, 8
 BLOCK = (WINDOW - SEED + 2) // 2  # starts of which one is a seed
-SHARD_WORDS, TASK_DOCS = 1_000_000, 2000
+SHARD_WORDS, TASK_DOCS = 1_000_000, 4000
+SLOT_ROWS = 256  # rows of a recurring anchor for one slot
 LAST = (1 << 63) - 1
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -80,11 +83,19 @@ def window_anchors(grams: np.ndarray) -> np.ndarray:
     return at + (((least & mask).astype(np.int64) - at) & ((1 << 20) - 1))
 
 
-def _flat(texts: list[str | None]):
+def _flat(texts):
     """Word hashes of texts end to end, each word's text and each text's first word."""
-    parts = [words_of(t) for t in texts]
-    size = np.array([len(p) for p in parts], np.int64)
-    return word_hashes([w for p in parts for w in p]), np.repeat(np.arange(len(parts)), size), np.cumsum(size) - size
+    h, size = word_hashes(texts)
+    return h, np.repeat(np.arange(len(size)), size), np.cumsum(size) - size
+
+
+def _distinct(*columns: np.ndarray) -> list[np.ndarray]:
+    """The different rows of some columns."""
+    order = np.lexsort(columns[::-1])
+    rows = [c[order] for c in columns]
+    new = np.ones(len(order), bool)
+    new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in rows])
+    return [c[new] for c in rows]
 
 
 def _windows(texts):
@@ -96,75 +107,70 @@ def _windows(texts):
     return h, grams, whole, anchor[whole], owner, first
 
 
-def _anchor_rows(batches):
-    schema = pa.schema([("hash", pa.int64()), ("doc_id", pa.int64()), ("pos", pa.int32())])
-    for b in slices(batches):
-        ids = b.column("doc_id").to_numpy()
-        _, grams, _, anchor, owner, first = _windows(b.column("text").to_pylist())
-        at = np.unique(anchor)
-        if len(at):
-            yield batch({"hash": grams[at].view(np.int64), "doc_id": ids[owner[at]], "pos": (at - first[owner[at]]).astype(np.int32)}, schema)
+def _anchor_rows(bitmap=None):
+    """Anchors of each text; with a broadcast bitmap only those whose hash may be in it, and where they stand."""
+    schema = pa.schema([("hash", pa.int64()), ("doc_id", pa.int64()), *([("tid", pa.int64()), ("pos", pa.int32())] if bitmap else [])])
+
+    def run(batches):
+        bits = np.frombuffer(bitmap.value, np.uint8) if bitmap else None
+        for b in slices(batches):
+            ids, tids = (b.column(c).to_numpy() for c in ("doc_id", "tid"))
+            _, grams, _, anchor, owner, first = _windows(b.column("text"))
+            at = np.unique(anchor)
+            if bitmap:
+                bit = grams[at] & np.uint64(BITMAP_BITS - 1)
+                at = at[(bits[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 == 1]
+            if len(at):
+                of = owner[at]
+                yield batch({"hash": grams[at].view(np.int64), "doc_id": ids[of], **({"tid": tids[of], "pos": (at - first[of]).astype(np.int32)} if bitmap else {})}, schema)
+
+    return run
 
 
 def _window_rows(batches):
-    schema = pa.schema([("hash", pa.int64()), ("doc_id", pa.int64())])
+    """(hash, slot, doc_id) of the windows over marked anchors; a mark is 64 times its place, and the anchor's level."""
+    schema = pa.schema([("hash", pa.int64()), ("slot", pa.int64()), ("doc_id", pa.int64())])
     for b in slices(batches):
-        ids, marks = b.column("doc_id").to_numpy(), b.column("marks").to_pylist()
-        h, _, start, anchor, owner, first = _windows(b.column("text").to_pylist())
+        ids, marks = b.column("doc_id").to_numpy(), b.column("marks")
+        h, _, start, anchor, owner, first = _windows(b.column("text"))
         if not len(start):
             continue
-        marked = np.zeros(len(h), bool)
+        level = np.full(len(h), -1, np.int64)
         for f, m, n in zip(first, marks, np.bincount(owner, minlength=len(first))):
-            m = np.array(m, np.int64)
-            marked[f + m[m < n]] = True
-        start = start[marked[anchor]]
+            m = m.values.to_numpy()
+            m = m[m >> 6 < n]
+            level[f + (m >> 6)] = m & 63
+        start, level = start[level[anchor] >= 0], level[anchor][level[anchor] >= 0]
         if len(start):
-            yield batch({"hash": runs(h, WINDOW)[start].view(np.int64), "doc_id": ids[owner[start]]}, schema)
-
-
-def _recurring(columns: list[str], schema: pa.Schema, make):
-    """From rows sorted by hash and doc_id: ``make(rows, first id of the hash)`` over hashes of several documents.
-
-    Rows are held back only while their hash has been seen in one document alone.
-    """
-
-    def run(batches):
-        key = first = None
-        known, held = False, []
-        for b in batches:
-            if not b.num_rows:
-                continue
-            t = {c: b.column(c).to_numpy() for c in columns}
-            h, d = t["hash"], t["doc_id"]
-            new = np.empty(len(h), bool)
-            new[0], new[1:] = key is None or h[0] != key, h[1:] != h[:-1]
-            if new[0]:
-                known, held = False, []
-            start = np.flatnonzero(new) if new[0] else np.concatenate([[0], np.flatnonzero(new)])
-            group = np.cumsum(new) - (1 if new[0] else 0)
-            firsts = d[start].copy()
-            if not new[0]:
-                firsts[0] = first
-            several = np.logical_or.reduceat(d != firsts[group], start)
-            if not new[0]:
-                several[0] |= known
-            keep = several[group]
-            out = []
-            if held and not new[0] and several[0]:
-                out += [(r, np.full(len(r["hash"]), first)) for r in held]
-                held = []
-            if keep.any():
-                out.append(({c: v[keep] for c, v in t.items()}, firsts[group[keep]]))
-            last = group == group[-1]
-            if several[-1]:
-                held = []
-            else:
-                held = (held if not new.any() else []) + [{c: v[last] for c, v in t.items()}]
-            key, first, known = h[-1], firsts[-1], bool(several[-1])
-            for rows, owner in out:
-                yield batch(make(rows, owner), schema)
-
-    return run
+            doc = ids[owner[start]]
+            mixed = (doc.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20)
+            slot = np.where(level > 0, 1 + (mixed & ((np.uint64(1) << level.astype(np.uint64)) - np.uint64(1))).astype(np.int64), 0)
+            # A text's equal windows count once.
+            own, found, slot = _distinct(doc, runs(h, WINDOW)[start].view(np.int64), slot)
+            yield batch({"hash": found, "slot": slot, "doc_id": own}, schema)
+
+
+def _led(batches):
+    """From rows (hash, slot, doc_id), sorted: each later document with the first one of its slot, as its owner; and
+    the first ones of slots above 0, without an owner, for the next turn."""
+    schema = pa.schema([("hash", pa.int64()), ("doc_id", pa.int64()), ("owner", pa.int64())])
+    last = None  # hash, slot, first document
+    for b in batches:
+        if not b.num_rows:
+            continue
+        h, slot, doc = (b.column(c).to_numpy() for c in ("hash", "slot", "doc_id"))
+        new = np.empty(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (slot[1:] != slot[:-1])
+        new[0] = last is None or h[0] != last[0] or slot[0] != last[1]
+        start = np.maximum.accumulate(np.where(new, np.arange(len(h)), -1))
+        owner = np.where(start >= 0, doc[start], last[2] if last else 0)
+        last = (h[-1], slot[-1], owner[-1])
+        later, first = doc > owner, new & (slot > 0)
+        if later.any():
+            of, by = _distinct(doc[later], owner[later])
+            yield batch({"hash": pa.nulls(len(of), pa.int64()), "doc_id": of, "owner": by}, schema)
+        if first.any():
+            yield batch({"hash": h[first], "doc_id": doc[first], "owner": pa.nulls(int(first.sum()), pa.int64())}, schema)
 
 
 class Shard:
@@ -234,10 +240,10 @@ def _passages(batches):
     schema = pa.schema([("doc_id", pa.int64()), ("words", pa.list_(pa.int64()))])
     for b in slices(batches):
         ids, words = [], []
-        for d, text, marks in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), b.column("marks").to_pylist()):
-            h = word_hashes(words_of(text))
+        flat, size = word_hashes(b.column("text"))
+        for d, h, marks in zip(b.column("doc_id").to_pylist(), np.split(flat, np.cumsum(size)[:-1]), b.column("marks").to_pylist()):
             near = np.zeros(len(h) + 1, np.int64)
-            m = np.array(marks, np.int64)
+            m = np.array(marks, np.int64) >> 6
             m = m[m < len(h)]
             np.add.at(near, np.maximum(m - (WINDOW - GRAM), 0), 1)
             np.add.at(near, np.minimum(m + WINDOW, len(h)), -1)
@@ -257,17 +263,19 @@ def _locate(batches):
     key, shard = None, None
     for b in slices(batches):
         rows = {n: [] for n in schema.names}
-        for s, salt, kind, d, tid, words, text in zip(*(b.column(n) for n in ("shard", "salt", "kind", "doc_id", "tid", "words", "text"))):
-            own = (s.as_py(), salt.as_py())
+        flat, size = word_hashes(b.column("text"))
+        plain = (b.column(n).to_pylist() for n in ("shard", "salt", "kind", "doc_id", "tid"))
+        for s, salt, kind, d, tid, words, h in zip(*plain, b.column("words"), np.split(flat, np.cumsum(size)[:-1])):
+            own = (s, salt)
             if own != key:
                 key, shard = own, Shard()
-            if not kind.as_py():
-                shard.add(d.as_py(), words.values.to_numpy().view(np.uint64))
+            if not kind:
+                shard.add(d, words.values.to_numpy().view(np.uint64))
                 continue
-            covered = np.concatenate([[False], shard.occurrences(d.as_py(), word_hashes(words_of(text.as_py()))), [False]])
+            covered = np.concatenate([[False], shard.occurrences(d, h), [False]])
             edge = np.flatnonzero(covered[1:] != covered[:-1]).astype(np.int32)
             if len(edge):
-                for n, v in zip(schema.names, (d.as_py(), tid.as_py(), edge[::2], edge[1::2])):
+                for n, v in zip(schema.names, (d, tid, edge[::2], edge[1::2])):
                     rows[n].append(v)
         if rows["tid"]:
             yield batch(rows, schema)
@@ -280,24 +288,23 @@ def find_repeats(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     ship(spark)
-    anchors = docs.select("doc_id", "text").mapInArrow(_anchor_rows, "hash long, doc_id long, pos int")
-    mark_schema = pa.schema([("doc_id", pa.int64()), ("pos", pa.int32())])
-    sorted_by = lambda df: df.repartition("hash").sortWithinPartitions("hash", "doc_id")
-    marks = scratch(sorted_by(anchors).mapInArrow(_recurring(["hash", "doc_id", "pos"], mark_schema, lambda r, _: {"doc_id": r["doc_id"], "pos": r["pos"]}), "doc_id long, pos int"), "marks")
-    by_doc = scratch(marks.groupBy("doc_id").agg(F.collect_list("pos").alias("marks")), "marks-by-doc")
-    marked = scratch(restrict(docs, by_doc.select("doc_id"), "doc_id").join(by_doc, "doc_id"), "marked")
-
-    windows = marked.mapInArrow(_window_rows, "hash long, doc_id long")
-    route_schema = pa.schema([("doc_id", pa.int64()), ("owner", pa.int64())])
-
-    def routed(r, owner):
-        later = r["doc_id"] > owner
-        pairs = np.unique(np.stack([r["doc_id"][later], owner[later]], 1), axis=0) if later.any() else np.zeros((0, 2), np.int64)
-        return {"doc_id": pairs[:, 0], "owner": pairs[:, 1]}
-
-    routes = scratch(sorted_by(windows).mapInArrow(_recurring(["hash", "doc_id"], route_schema, routed), "doc_id long, owner long").distinct(), "routes")
-
-    shards = max(1, marks.count() * 14 // SHARD_WORDS)
+    anchors = docs.mapInArrow(_anchor_rows(), "hash long, doc_id long")
+    level = F.greatest(F.lit(0), F.ceil(F.log2(F.count("*") / SLOT_ROWS))).cast("int")
+    recurring = anchors.groupBy("hash").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), level.alias("level"))
+    recurring = scratch(recurring.filter("first <> last").select("hash", "level"), "recurring")
+    held = spark.sparkContext.broadcast(bitmap_of(recurring, F.pmod("hash", F.lit(BITMAP_BITS))))  # 8 MB
+    marks = docs.mapInArrow(_anchor_rows(held), "hash long, doc_id long, tid long, pos int").join(recurring, "hash")
+    by_doc = scratch(marks.groupBy("doc_id", "tid").agg(F.collect_set(F.col("pos") * F.lit(64) + F.col("level")).alias("marks")), "marks-by-doc")
+    discard(recurring)
+    held.destroy()
+    marked = scratch(restrict(docs, by_doc, "doc_id", "tid", once=True).join(by_doc, ["doc_id", "tid"]).dropDuplicates(["doc_id", "tid"]), "marked")
+
+    led = lambda rows: rows.repartition("hash", "slot").sortWithinPartitions("hash", "slot", "doc_id").mapInArrow(tidied(_led), "hash long, doc_id long, owner long")
+    turn = scratch(led(marked.select("doc_id", "text", "marks").mapInArrow(_window_rows, "hash long, slot long, doc_id long")).distinct(), "turns")
+    heads = turn.filter("owner IS NULL").select("hash", F.lit(0).cast("long").alias("slot"), "doc_id")
+    routes = scratch(turn.filter("owner IS NOT NULL").unionByName(led(heads)).select("doc_id", "owner").distinct(), "routes")
+
+    shards = max(1, (by_doc.agg(F.sum(F.size("marks"))).first()[0] or 0) * 14 // SHARD_WORDS)
     shard = lambda c: F.pmod(F.xxhash64(c), F.lit(shards)).cast("int")
     to = scratch(routes.select("doc_id", shard("owner").alias("shard")).distinct(), "routes-by-shard")
     tasks = to.groupBy("shard").agg(F.ceil(F.count("*") / TASK_DOCS).cast("int").alias("salts"))
@@ -311,22 +318,22 @@ def find_repeats(docs: DataFrame) -> DataFrame:
         .unionByName(texts.join(tasks, "shard").select("shard", F.pmod(F.xxhash64("doc_id", "tid"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("kind"), "doc_id", "tid", F.lit(None).cast("array<long>").alias("words"), "text"))
     )
     found = both.repartition("shard", "salt").sortWithinPartitions("shard", "salt", "kind").mapInArrow(_locate, "doc_id long, tid long, begins array<int>, ends array<int>")
-    return scratch(found, "spans")
-
-
-def _keyed(docs: DataFrame) -> DataFrame:
-    text = F.col("text").cast("string")
-    return docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST).cast("long"))).withColumn("_tid", F.coalesce(F.xxhash64(text), F.lit(0).cast("long")))
+    spans = scratch(found, "spans")
+    discard(by_doc, marked, turn, routes, to)
+    return spans
 
 
 def _with_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows of ``docs`` that keep all words, and the others with their spans (_begins, _ends)."""
-    keyed = _keyed(docs)
-    spans = find_repeats(keyed.select(F.col("_key").alias("doc_id"), F.col("_tid").alias("tid"), F.col("text").cast("string").alias("text")))
-    spans = spans.groupBy("doc_id", "tid").agg(F.flatten(F.collect_list("begins")).alias("_begins"), F.flatten(F.collect_list("ends")).alias("_ends")).withColumnsRenamed({"doc_id": "_key", "tid": "_tid"})
-    spans = scratch(spans, "spans-by-doc")
-    bitmap = key_bitmap(spans, "_key", "_tid")
-    return maybe_in(keyed, bitmap, "_key", "_tid", keep=False), maybe_in(keyed, bitmap, "_key", "_tid").join(spans, ["_key", "_tid"], "left")
+    """Rows of ``docs`` that keep all words, and the others; after their columns the spans' begins and ends."""
+    key, tid, begins, ends = (fresh(docs, c) for c in ("_key", "_tid", "_begins", "_ends"))
+    text = F.col("text").cast("string")
+    keyed = docs.withColumns({key: F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST).cast("long")), tid: F.xxhash64(text)})
+    found = find_repeats(keyed.select(F.col(key).alias("doc_id"), F.col(tid).alias("tid"), text.alias("text")))
+    spans = scratch(found.groupBy(F.col("doc_id").alias(key), F.col("tid").alias(tid)).agg(F.flatten(F.collect_list("begins")).alias(begins), F.flatten(F.collect_list("ends")).alias(ends)), "spans-by-doc")
+    discard(found)
+    bitmap = key_bitmap(spans, key, tid)
+    whole = maybe_in(keyed, bitmap, key, tid, keep=False).select(*docs.columns)
+    return whole, maybe_in(keyed, bitmap, key, tid).join(spans, [key, tid], "left").select(*docs.columns, begins, ends)
 
 
 def _kept(text: str | None, begins, ends) -> tuple[int, int, bytes]:
@@ -353,7 +360,7 @@ def digest_documents(docs: DataFrame) -> DataFrame:
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     whole, cut = _with_spans(src)
     out = "doc_id long, n_words long, n_removed long, kept_sha256 string"
-    return whole.select("doc_id", "text").mapInArrow(run, out).unionByName(cut.select("doc_id", "text", "_begins", "_ends").mapInArrow(run, out))
+    return whole.select("doc_id", "text").mapInArrow(run, out).unionByName(cut.mapInArrow(run, out))
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -368,14 +375,14 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     def run(batches):
         for b in slices(batches):
             texts, fields = pc.cast(b.column(at), pa.string()).to_pylist(), list(b.columns[: len(columns)])
-            made = [t if not x else _kept(t, x, y)[2].decode() for t, x, y in zip(texts, b.column("_begins").to_pylist(), b.column("_ends").to_pylist())]
+            made = [t if not x else _kept(t, x, y)[2].decode() for t, x, y in zip(texts, b.column(b.num_columns - 2).to_pylist(), b.column(b.num_columns - 1).to_pylist())]
             fields[at] = pa.array(made, b.schema.field(at).type)
             if "n_chars" in place:
                 old = fields[place["n_chars"]]
                 fields[place["n_chars"]] = pa.array([o if m is t else len(m) for o, t, m in zip(old.to_pylist(), texts, made)], old.type)
             yield pa.RecordBatch.from_arrays(fields, names=columns)
 
-    return whole.select(*columns).unionByName(cut.select(*columns, "_begins", "_ends").mapInArrow(run, docs.schema))
+    return whole.unionByName(cut.mapInArrow(run, docs.schema))
 
 
 def op8_substring(spark, sf_dir):
