@@ -3,8 +3,9 @@
 A text is normalised by the longest-prefix rule of the model's compiled character map, and every
 normalised byte keeps the source byte it came from; pieces are then projected to source byte spans.
 White space becomes U+2581 and no piece of such a model holds that mark after another character, so a
-text falls apart before each run of marks into segments that encode on their own. A bounded cache per
-worker keeps the segments' pieces; spans are projected for each text. The digests are made of these
+text falls apart before each run of marks into segments that encode on their own; where no piece joins a Latin
+letter to another character, segments are cut there as well. A bounded cache per worker keeps the segments'
+pieces, and new segments are merged many at a time; spans are projected for each text. The digests are made of these
 pieces; the library's own encoder is what the tests compare with, and not on the way.
 
 Defined results: null and empty texts have no pieces and decode to ''. Repeated rows are encoded each.
@@ -16,21 +17,24 @@ from __future__ import annotations
 import hashlib
 import re
 import struct
-from array import array
 from heapq import heapify, heappop, heappush
-from operator import add
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, cached, ship, slices, table
+from .common import batch, cached, gather, ship, slices, table
 
 MARK = "▁"
 SEGMENT = re.compile(f"{MARK}+[^{MARK}]*")
-CACHE_ENTRIES, CACHE_CHARS = 300_000, 64
+LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+#: Segments cut where Latin letters begin or end as well.
+RUNS = re.compile(f"{MARK}*(?:[{LATIN}]+|[^{LATIN}{MARK}]+)|{MARK}+")
+CACHE_ENTRIES, CACHE_CHARS = 600_000, 64
+UNKNOWN = 1 << 20  # numbers of characters that are no piece begin here
 
 
 def _fields(data: bytes):
@@ -185,39 +189,90 @@ class PieceEncoder:
         self.own_merges = trainer.get(3) == 2 and any(self.is_byte) and not {4, 5} & set(kinds)
         #: Segments may be encoded on their own only if nothing but white space is rewritten and no piece joins two.
         self.by_segment = self.own_merges and not n.units and n.dummy_prefix and not n.remove_extra and n.space == MARK.encode() and not any(MARK in p.lstrip(MARK) for p in pieces)
-        # A segment's ids, joined by commas and as integers; the older half of the cache.
-        self.held: dict[str, tuple[str, bytes]] = {}
-        self.older: dict[str, tuple[str, bytes]] = {}
+        latin = re.compile(f"[{LATIN}]").match
+        alone = self.by_segment and all(x == MARK or bool(latin(x)) == bool(latin(y)) for p in self.ids for x, y in zip(p, p[1:]))
+        self.segment = RUNS if alone else SEGMENT
+        # Of all two pieces that make a third: both, and the third one's place in the order of merging.
+        by_cost = sorted(self.ids, key=self.costs.get)
+        ranks: dict[float, int] = {}  # equal costs have equal places
+        made = [(self.ids[p[:i]] * UNKNOWN * 2 + self.ids[p[i:]], ranks.setdefault(self.costs[p], len(ranks)), self.ids[p]) for p in by_cost for i in range(1, len(p)) if p[:i] in self.ids and p[i:] in self.ids]
+        made = np.array(sorted(made), np.int64).reshape(-1, 3)
+        self.pair_keys, self.pair_ranks, self.pair_ids = made[:, 0].copy(), made[:, 1].copy(), made[:, 2].copy()
+        # A segment's ids; the older half of the cache.
+        self.held: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def merge(self, normal: str) -> list[int]:
         """Ids of a normalised text."""
         ids, out = self.ids, []
-        for p in self._few(normal) if len(normal) <= CACHE_CHARS else self._many(normal):
+        for p in self._many(normal):
             if p in ids:
                 out.append(ids[p])
             elif p:
                 out += [self.byte_ids[b] for b in p.encode()]
         return out
 
-    def _few(self, normal: str) -> list[str]:
-        """Merged parts of a short text; the work grows with the square of its length."""
-        cost, parts, none = self.costs.get, list(normal), float("inf")
-        costs = [cost(p, none) for p in map(add, parts, parts[1:])]
-        while costs and (least := min(costs)) < none:
-            i = costs.index(least)
-            parts[i] += parts[i + 1]
-            del parts[i + 1], costs[i]
-            if i:
-                costs[i - 1] = cost(parts[i - 1] + parts[i], none)
-            if i < len(costs):
-                costs[i] = cost(parts[i] + parts[i + 1], none)
-        return parts
+    def _pairs(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """For each two neighbours the row of their merge in the table of pairs, or -1."""
+        if not len(self.pair_keys):
+            return np.full(left.shape, -1)
+        key = left * (2 * UNKNOWN) + right
+        at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
+        return np.where(self.pair_keys[at] == key, at, -1)
+
+    def merge_all(self, segments: list[str]) -> list[bytes]:
+        """Ids of each of many short normalised segments, as 32-bit integers: those of one length side by side."""
+        by_size: dict[int, list[int]] = {}
+        for i, s in enumerate(segments):
+            by_size.setdefault(len(s), []).append(i)
+        out: list[bytes] = [b""] * len(segments)
+        number, other = dict(self.ids), []
+        none = np.iinfo(np.int64).max
+
+        def rank(at):
+            return np.where(at >= 0, self.pair_ranks[at] if len(self.pair_ranks) else 0, none)
+
+        for size, where in by_size.items():
+            chars = "".join([segments[i] for i in where])
+            for c in set(chars):
+                if c not in number:
+                    number[c] = UNKNOWN + len(other)
+                    other.append(c)
+            parts = np.array([number[c] for c in chars], np.int64).reshape(-1, size)
+            rows, merges = np.array(where), self._pairs(parts[:, :-1], parts[:, 1:])
+            ranks = rank(merges)
+            while len(rows):
+                width = parts.shape[1]
+                best = ranks.argmin(1) if width > 1 else np.zeros(len(rows), np.int64)
+                at = np.arange(len(rows))
+                done = ranks[at, best] == none if width > 1 else np.ones(len(rows), bool)
+                for i, own in zip(rows[done].tolist(), parts[done]):
+                    if other and own.max() >= UNKNOWN:
+                        own = [x for p in own.tolist() for x in ([p] if p < UNKNOWN else [self.byte_ids[b] for b in other[p - UNKNOWN].encode()])]
+                    out[i] = np.array(own, np.int32).tobytes()
+                go = ~done
+                rows, parts, merges, ranks, best = rows[go], parts[go], merges[go], ranks[go], best[go]
+                if not len(rows):
+                    break
+                # The best pair becomes one part, and the pairs with its neighbours are looked up anew.
+                at = np.arange(len(rows))
+                parts[at, best] = self.pair_ids[merges[at, best]]
+                drop = np.arange(width - 1)
+                parts = np.take_along_axis(parts, drop + (drop > best[:, None]), 1)
+                drop = drop[:-1]
+                keep = drop + (drop >= best[:, None])
+                merges, ranks = np.take_along_axis(merges, keep, 1), np.take_along_axis(ranks, keep, 1)
+                for side, some in ((best - 1, best > 0), (best, best < width - 2)):
+                    x, y = at[some], side[some]
+                    merges[x, y] = new = self._pairs(parts[x, y], parts[x, y + 1])
+                    ranks[x, y] = rank(new)
+        return out
 
     def _many(self, normal: str) -> list[str]:
-        """The same by a queue; a part that went into the one before it is ''."""
+        """Merged parts of a text of any length, by a queue; a part that went into the one before it is ''."""
         costs, parts, n = self.costs, list(normal), len(normal)
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
-        queue = [(costs[p], i, i + 1, p) for i, p in enumerate(map(add, parts, parts[1:])) if p in costs]
+        queue = [(costs[p], i, i + 1, p) for i, p in enumerate(x + y for x, y in zip(parts, parts[1:])) if p in costs]
         heapify(queue)
         while queue:
             _, i, j, p = heappop(queue)
@@ -267,35 +322,28 @@ class PieceEncoder:
             for out, own in zip((begins, ends), self.project(ids[-1], normal, align)):
                 out += own
         rows = np.cumsum([0, *map(len, ids)])
-        return Spans([",".join(map(str, i)) for i in ids], rows, *(np.array(x, np.int32) for x in ([i for own in ids for i in own], begins, ends)))
+        return Spans(rows, *(np.array(x, np.int32) for x in ([i for own in ids for i in own], begins, ends)))
 
-    def _learn(self, parts: list[list[str]]) -> list[str]:
-        """Merge the segments that the cache lacks; returns them. What was not asked for lately goes."""
+    def _learn(self, segments: list[str]) -> list[bytes]:
+        """Ids of different segments; those that the cache lacks are merged. What was not asked for lately goes."""
+        if len(self.held) + len(segments) > CACHE_ENTRIES // 2:
+            self.held, self.older = {}, self.held
         held, older = self.held, self.older
-        new = {s for own in parts for s in own if s not in held}
-        if len(held) + len(new) > CACHE_ENTRIES // 2:
-            self.held, self.older = held, older = {}, held
-            new = {s for own in parts for s in own}
-        for s in new:
-            known = older.get(s)
-            if known is None:
-                ids = self.merge(s)
-                known = ",".join(map(str, ids)), array("i", ids).tobytes()
-            held[s] = known
-        return new
+        found = [held.get(s) or older.get(s) for s in segments]
+        new = [s for s, x in zip(segments, found) if x is None]
+        short = [s for s in new if len(s) <= CACHE_CHARS]
+        made = dict(zip(short, self.merge_all(short)))
+        made.update((s, np.array(self.merge(s), np.int32).tobytes()) for s in new if len(s) > CACHE_CHARS)
+        found = [made[s] if x is None else x for s, x in zip(segments, found)]
+        held.update((s, x) for s, x in zip(segments, found) if len(s) <= CACHE_CHARS)
+        return found
 
     def _by_segment(self, texts: list[str]) -> "Spans":
         normal, align, place = self.normalizer.many(texts)
-        parts = [SEGMENT.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        new = self._learn(parts)
-        found = [[self.held[s] for s in own] for own in parts]
-        for s in new:
-            if len(s) > CACHE_CHARS:
-                del self.held[s]
-        joined = [",".join([e[0] for e in own]) for own in found]
-        coded = [b"".join([e[1] for e in own]) for own in found]
-        rows = np.cumsum([0, *map(len, coded)]) // 4
-        ids = np.frombuffer(b"".join(coded), np.int32)
+        parts = [self.segment.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
+        coded = pa.array([s for own in parts for s in own], pa.string()).dictionary_encode()
+        ids, edge = gather(self._learn(coded.dictionary.to_pylist()), coded.indices.to_numpy())
+        ids, rows = ids.view(np.int32), edge[np.cumsum([0, *map(len, parts)])]
         # The pieces' places in the normalised bytes; a byte more lies between texts. All bytes of a character
         # have its source, so that the byte pieces before its last one are empty.
         width = self.widths_of[ids].astype(np.int64)
@@ -303,7 +351,7 @@ class PieceEncoder:
         total = np.concatenate([[0], np.cumsum(width)])[rows]
         if (np.diff(total) != np.diff(place) - 1).any():
             raise ValueError("the pieces do not cover their text")
-        return Spans(joined, rows, ids, align[stop - width], align[stop])
+        return Spans(rows, ids, align[stop - width], align[stop])
 
     def encode(self, text: str | None) -> list[int]:
         return self.encode_spans([text]).ids.tolist()
@@ -320,12 +368,16 @@ class PieceEncoder:
 class Spans(NamedTuple):
     """Pieces of some texts, one after the other; those of text k lie from rows[k] to rows[k + 1]."""
 
-    joined: list[str]  # each text's ids, joined by commas
     rows: np.ndarray
     ids: np.ndarray
     begins: np.ndarray
     ends: np.ndarray
 
+    def joined(self) -> list[str]:
+        """Each text's ids, joined by commas."""
+        lists = pa.ListArray.from_arrays(pa.array(self.rows, pa.int32()), pa.array(self.ids).cast(pa.string()))
+        return pc.binary_join(lists, ",").to_pylist()
+
 
 def encoder(model_path: str) -> PieceEncoder:
     return cached(("spm", model_path), lambda: PieceEncoder(model_path))
@@ -338,8 +390,8 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
     schema = pa.schema([("doc_id", pa.int64()), *((n, pa.list_(pa.int32())) for n in ("ids", "begins", "ends"))])
 
     def run(batches):
-        enc = encoder(model_path)
         for b in slices(batches):
+            enc = encoder(model_path)
             made = enc.encode_spans(b.column(1).to_pylist())
             lists = [pa.ListArray.from_arrays(pa.array(made.rows, pa.int32()), pa.array(x)) for x in (made.ids, made.begins, made.ends)]
             yield pa.RecordBatch.from_arrays([b.column(0), *lists], schema=schema)
@@ -354,10 +406,11 @@ def digest_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
     def run(batches):
-        enc, sha = encoder(model_path), hashlib.sha256
-        for b in slices(batches):
+        sha = hashlib.sha256
+        for b in slices(batches, 1024):
+            enc = encoder(model_path)
             made = enc.encode_spans(b.column(1).to_pylist())
-            ids = [sha(j.encode()).hexdigest() for j in made.joined]
+            ids = [sha(j.encode()).hexdigest() for j in made.joined()]
             texts = [sha(enc.decode(made.ids[i:j].tolist()).encode()).hexdigest() for i, j in zip(made.rows, made.rows[1:])]
             yield batch({"doc_id": b.column(0), "n_tokens": np.diff(made.rows), "ids_sha256": ids, "decoded_sha256": texts}, schema)
 
