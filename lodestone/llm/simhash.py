@@ -5,7 +5,8 @@ against each of them, so that a term weighs as often as it occurs; the sign of a
 Votes are counted in packed lanes: one 64-bit addition counts four bits, for parts of 2**15 terms, so that no
 lane can overflow; parts are then added up, however long the text. Terms never leave their partition.
 
-``near_fingerprints`` finds all such fingerprints within a Hamming radius by permuted block tables.
+``near_fingerprints`` finds all such fingerprints within a Hamming radius by permuted block tables, and
+``with_near`` says of each document how many there are.
 
 Defined results: a null text is an empty one; an empty text has one empty term. Equal texts have equal
 fingerprints. Documents are ordered by id descending, then text; a null id comes last. The only document
@@ -20,9 +21,10 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import scratch, table
 
 PART_BITS, LANES = 15, 0x0001000100010001
+CUTS, BUCKET_BYTES = 1000, 1 << 27
 
 
 def term_hashes(text: Column) -> Column:
@@ -77,9 +79,16 @@ def in_order(docs: DataFrame, buckets: int) -> DataFrame:
     lowest range is followed by the first document of all.
     """
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long")).alias("_key"))
-    cuts = src.agg(F.percentile_approx("_key", [i / buckets for i in range(1, buckets)], 10000).alias("c")).first()["c"] or []
+    coarse = min(buckets, CUTS)
+    cuts = src.agg(F.percentile_approx("_key", [i / coarse for i in range(1, coarse)], 10000).alias("c")).first()["c"] or []
     cuts = sorted(set(cuts))
     placed = src.withColumn("_bucket", F.size(F.filter(F.array(*[F.lit(c).cast("long") for c in cuts]), lambda c: c <= F.col("_key"))) if cuts else F.lit(0))
+    if (fine := -(-buckets // coarse)) > 1 and cuts:
+        # Between two cuts ids are dealt by their distance from the lower one.
+        low = F.array(*[F.lit(c).cast("double") for c in [cuts[0], *cuts]])
+        width = F.array(*[F.lit(float(max(1, y - x))) for x, y in zip([cuts[0], *cuts], [*cuts, cuts[-1] + max(1, cuts[-1] - cuts[0]) // len(cuts)])])
+        step = F.floor((F.col("_key") - F.element_at(low, F.col("_bucket") + 1)) / F.element_at(width, F.col("_bucket") + 1) * fine)
+        placed = placed.withColumn("_bucket", (F.col("_bucket") * fine + F.greatest(F.lit(0), F.least(F.lit(fine - 1), step))).cast("int"))
     # One row for each range: at most ``buckets`` on the driver and in the broadcast.
     tops = sorted((r["_bucket"], r["top"]) for r in placed.groupBy("_bucket").agg(F.max("_key").alias("top")).collect())
     if not tops:
@@ -92,7 +101,9 @@ def in_order(docs: DataFrame, buckets: int) -> DataFrame:
 
 def fingerprint_documents(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     """Fingerprints of each document and of its edited text, and how like the edited and the next one are."""
-    buckets = buckets or min(2000, 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    if buckets is None:
+        size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")).cast("long"))).first()[0] or 0
+        buckets = max(2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // BUCKET_BYTES)
     order = Window.partitionBy("_bucket").orderBy("_copy", F.desc("_key"), "text")
     rows = in_order(docs, buckets).select("_bucket", "_copy", "doc_id", "text", F.lead("text").over(order).alias("_next"), F.row_number().over(order).alias("_row"))
     sized = rows.withColumn("n_chars", F.length("text").cast("long"))
@@ -140,16 +151,24 @@ def near_fingerprints(queries: DataFrame, index: DataFrame, radius: int = 3, blo
         return [F.shiftleft(digits[i], 32).bitwiseOR(digits[i + 1]) for i in (0, 2)]
 
     def tables(df: DataFrame, side: str) -> DataFrame:
+        """A row for each fingerprint and choice of blocks; the key is a hash of their bits, and the distance confirms."""
         parts = [f"{side}_{k}" for k in range(longs)]
-        own = df.select(F.col(name).cast("string" if longs == 2 else "long").alias(side)).dropna().distinct().select(side, *[h.alias(p) for h, p in zip(halves(side), parts)])
-        cut = lambda m: [F.col(p).bitwiseAND(F.lit(signed(m >> 64 * (longs - 1 - k) & (1 << 64) - 1))).alias(f"k{k}") for k, p in enumerate(parts)]
-        keys = F.array(*[F.struct(F.lit(i).alias("t"), *cut(m)) for i, m in enumerate(masks)])
-        return own.select(side, *parts, F.explode(keys).alias("e")).select(side, *parts, "e.*")
+        own = df.select(*[h.alias(p) for h, p in zip(halves(name), parts)]).dropna().distinct()
+        cut = lambda m: [F.col(p).bitwiseAND(F.lit(signed(m >> 64 * (longs - 1 - k) & (1 << 64) - 1))) for k, p in enumerate(parts)]
+        return own.select(*parts, F.explode(F.array(*[F.xxhash64(F.lit(i), *cut(m)) for i, m in enumerate(masks)])).alias("key"))
 
-    pairs = tables(queries, "query").join(tables(index, "found"), ["t", *[f"k{k}" for k in range(longs)]])
+    pairs = tables(queries.select(F.col(name).cast("string" if longs == 2 else "long")), "query").join(tables(index.select(F.col(name).cast("string" if longs == 2 else "long")), "found"), "key")
     distance = reduce(lambda a, b: a + b, [F.bit_count(F.col(f"query_{k}").bitwiseXOR(F.col(f"found_{k}"))) for k in range(longs)])
-    return pairs.filter(distance <= radius).select("query", "found", distance.alias("distance")).distinct()
+    found = pairs.withColumn("distance", distance).filter(F.col("distance") <= radius).drop("key").distinct()
+    return found.select(*[(hex_of(f"{c}_0", f"{c}_1") if longs == 2 else F.col(f"{c}_0")).alias(c) for c in ("query", "found")], "distance")
+
+
+def with_near(prints: DataFrame, radius: int = 3, blocks: int = 5) -> DataFrame:
+    """``prints``, all columns, and n_near: how many other fingerprints of the table lie within the radius of a row's own."""
+    found = near_fingerprints(prints, prints, radius, blocks).filter("query <> found")
+    near = found.groupBy(F.col("query").alias("fingerprint")).agg(F.count("*").alias("n_near"))
+    return prints.join(near, "fingerprint", "left").select(*prints.columns, F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"))
 
 
 def op3_simhash(spark, sf_dir):
-    return fingerprint_documents(table(spark, sf_dir, "documents"))
+    return with_near(scratch(fingerprint_documents(table(spark, sf_dir, "documents")), "fingerprints"))
