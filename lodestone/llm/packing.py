@@ -1,11 +1,13 @@
 """Harmonic packing of token sequences (operator 7).
 
-Lengths fall into reciprocal-capacity classes: class k holds pieces of up to capacity / k tokens and each
-of its bins takes exactly k pieces. As documents may be cut, a document gives whole sequences (class 1)
-and then pieces of exactly capacity / k tokens for k = 2, 4, 8, ..., the binary digits of what remains,
-so that a full bin has no padding. Every worker fills its own bins: no shuffle, no shared state. At the
-end of a partition the pieces that are left in a class are grouped by powers of two; such sequences are
-shorter than the capacity, have a power of two of tokens and therefore need no padding either.
+Lengths fall into reciprocal-capacity classes: class k holds documents of more than capacity / (k + 1) and up to
+capacity / k tokens, for k = 1, 2, 3, ..., and each of its bins takes exactly k of them; the last class takes all that
+are shorter. A document is cut in two cases only: what exceeds the capacity gives whole sequences first, and
+the rest that a bin has left once it holds its k documents is filled with the head of those that come next. So
+a full bin has no padding, and there is about one cut for each sequence. Every worker fills its own bins: no
+shuffle, no shared state. At the end of a partition the documents that are left, fewer than k in class k, are
+put end to end into whole sequences; what remains is cut to powers of two, at most eleven sequences that are
+shorter than the capacity and need no padding either.
 
 Defined results: a null text is an empty one; an empty document is its end id alone. Repeated rows are
 packed each. An empty table gives no pieces. sequence_id is the partition's number times 2**33 plus a
@@ -19,14 +21,15 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, cached, ship, slices, table
+from .common import batch, cached, gather, ship, slices, table
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-CACHE_ENTRIES, CACHE_CHARS = 700_000, 64  # about 170 MB a worker
+CACHE_ENTRIES, CACHE_CHARS = 300_000, 64  # about 75 MB a worker
 #: Texts with characters from here on keep their case: only below it are lower-casing and composing sure to commute.
 BEYOND = re.compile("[^\x00-\u024f]")
 PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-&(-/:-@\[-`{-~]*)\Z")
@@ -91,20 +94,24 @@ class WordTokenizer:
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        parts = [self._fold(t).replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") if t else [] for t in texts]
-        get = self.held.get
-        found = [[get(w) for w in own] for own in parts]
-        new = {w for own, f in zip(parts, found) if None in f for w, x in zip(own, f) if x is None}
+        folded = [self._fold(t).replace("\n", " ").replace("\t", " ").replace("\r", " ") if t else "" for t in texts]
+        lists = pc.split_pattern(pa.array(folded, pa.string()), " ")
+        coded = lists.flatten().dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        found = [*map(self.held.get, words)]
+        new = {w for w, x in zip(words, found) if x is None}
         if new:
             if len(self.held) + len(new) > CACHE_ENTRIES:
                 self.held = {"": b""}
+                new = {w for w in words if w}
             self._learn(new)
-            get = self.held.get
-            found = [[get(w) if x is None else x for w, x in zip(own, f)] if None in f else f for own, f in zip(parts, found)]
+            found = [self.held[w] for w in words]
             for w in new:
                 if len(w) > CACHE_CHARS:
                     del self.held[w]
-        return [b"".join(f) for f in found]
+        ids, edge = gather(found, coded.indices.to_numpy())
+        rows = edge[lists.offsets.to_numpy()]
+        return [ids[i:j].tobytes() for i, j in zip(rows, rows[1:])]
 
     @staticmethod
     def _fold(text: str) -> str:
@@ -113,44 +120,72 @@ class WordTokenizer:
 
 
 class HarmonicPacker:
-    """Fills the bins of one worker. ``capacity`` is a power of two."""
+    """Fills the bins of one worker. ``capacity`` is a power of two, and the tokens are 4 bytes each.
 
-    def __init__(self, capacity: int, base: int):
+    A part is (doc, start, ids, tokens of the document); at most classes + 1 bins are open.
+    """
+
+    def __init__(self, capacity: int, base: int, classes: int = 64):
         if capacity & (capacity - 1):
             raise ValueError("capacity must be a power of two")
-        self.capacity, self.next = capacity, base
+        self.capacity, self.classes, self.next = capacity, min(classes, capacity), base
         self.open: dict[int, list[tuple]] = {}
-
-    def add(self, doc: tuple, length: int, piece) -> list[tuple]:
-        """Place a document; ``piece(start, length)`` gives what a row says of a piece. Rows of bins that are now full."""
-        out, start = [], 0
-        while start < length:
-            rest = length - start
-            size = min(self.capacity, 1 << (rest.bit_length() - 1))
-            members = self.open.setdefault(size, [])
-            members.append((doc, start, size, piece(start, size), length))
-            if len(members) * size == self.capacity:
-                out += self._close(self.open.pop(size))
-            start += size
+        self.short: list[tuple] = []  # a bin that holds its number of documents, and what it lacks
+        self.gap = 0
+
+    def add(self, doc, ids: bytes) -> list[tuple]:
+        """Place a document. Rows of the bins that are now full."""
+        out, at, total = [], 0, len(ids) // 4
+
+        def cut(n: int) -> tuple:
+            nonlocal at
+            at += n
+            return doc, at - n, ids[4 * (at - n) : 4 * at], total
+
+        if self.gap:
+            n = min(self.gap, total)
+            self.short.append(cut(n))
+            self.gap -= n
+            if not self.gap:
+                out += self._close(self.short)
+                self.short = []
+        while total - at >= self.capacity:
+            out += self._close([cut(self.capacity)])
+        if rest := total - at:
+            k = min(self.classes, self.capacity // rest)
+            bin = self.open.setdefault(k, [])
+            bin.append(cut(rest))
+            if len(bin) == k:
+                del self.open[k]
+                # Only a document that left no gap open comes here.
+                self.short, self.gap = bin, self.capacity - sum(len(p[2]) // 4 for p in bin)
+                if not self.gap:
+                    out += self._close(bin)
+                    self.short = []
         return out
 
-    def _close(self, members: list[tuple]) -> list[tuple]:
+    def _close(self, parts: list[tuple]) -> list[tuple]:
         at, out = 0, []
-        for doc, start, size, what, length in members:
-            out.append((doc, start, size, what, length, self.next, at))
-            at += size
+        for doc, start, ids, total in parts:
+            out.append((doc, start, len(ids) // 4, zlib.crc32(ids), total, self.next, at))
+            at += len(ids) // 4
         self.next += 1
         return out
 
     def finish(self) -> list[tuple]:
-        out = []
-        for size in sorted(self.open, reverse=True):
-            members = self.open[size]
-            while members:
-                n = 1 << (len(members).bit_length() - 1)
-                out += self._close(members[:n])
-                members = members[n:]
-        self.open = {}
+        left = [*self.short, *(p for k in sorted(self.open) for p in self.open[k])]
+        self.short, self.gap, self.open = [], 0, {}
+        tokens, out, held = sum(len(p[2]) // 4 for p in left), [], []
+        room = size = min(self.capacity, 1 << tokens.bit_length() >> 1)
+        for doc, start, ids, total in left:
+            while ids:
+                n = min(room, len(ids) // 4)
+                held.append((doc, start, ids[: 4 * n], total))
+                start, ids, room = start + n, ids[4 * n :], room - n
+                if not room:
+                    out += self._close(held)
+                    held, tokens = [], tokens - size
+                    room = size = min(self.capacity, 1 << tokens.bit_length() >> 1)
         return out
 
 
@@ -163,13 +198,12 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, e
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        tokens = cached(("words", tokenizer_path), lambda: WordTokenizer(tokenizer_path))
         packer = HarmonicPacker(capacity, TaskContext.get().partitionId() << 33)
         rows: list[tuple] = []
-        for b in slices(batches):
+        for b in slices(batches, 1024, 3_000_000):
+            tokens = cached(("words", tokenizer_path), lambda: WordTokenizer(tokenizer_path))
             for doc, ids in zip(b.column(0).to_pylist(), tokens(b.column(1).to_pylist())):
-                ids += end
-                rows += packer.add(doc, len(ids) // 4, lambda s, n, ids=ids: zlib.crc32(ids[4 * s : 4 * (s + n)]))
+                rows += packer.add(doc, ids + end)
             if len(rows) >= 8192:
                 yield batch(dict(zip(names, zip(*rows))), schema)
                 rows = []
