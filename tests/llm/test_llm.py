@@ -81,7 +81,7 @@ def test_pieces_need_no_library_encoder(hostile):
     made = enc.encode_spans(texts)
     got = list(zip(made.ids.tolist(), made.begins.tolist(), made.ends.tolist()))
     assert [got[i:j] for i, j in zip(made.rows, made.rows[1:])] == want
-    assert made.joined == [",".join(str(i) for i, _, _ in w) for w in want]
+    assert made.joined() == [",".join(str(i) for i, _, _ in w) for w in want]
     # The array form of the normaliser is the call for each text.
     normal, align, place = enc.normalizer.many([t or "" for t in texts])
     for t, i, j in zip(texts, place, place[1:]):
@@ -212,6 +212,20 @@ def test_near_fingerprints_of_documents(spark):
     df = spark.createDataFrame([(f"{p:032x}",) for p in every + every[:3]] + [(None,)], "fingerprint string")
     got = {(int(x["query"], 16), int(x["found"], 16)): x["distance"] for x in simhash.near_fingerprints(df, df, radius=3, blocks=6).collect()}
     assert got == {(a, b): (a ^ b).bit_count() for a in every for b in every if (a ^ b).bit_count() <= 3}
+    counts = {(int(x["fingerprint"], 16), x["n_near"]) for x in simhash.with_near(df.dropna()).collect()}
+    assert counts == {(a, sum(0 < (a ^ b).bit_count() <= 3 for b in set(every))) for a in every}
+    assert simhash.near_fingerprints(df.limit(0), df).count() == 0 and simhash.with_near(df.filter("fingerprint IS NULL")).first()["n_near"] == 0
+
+
+def test_successors_in_fine_buckets(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "CUTS", 3)
+    r = random.Random(8)
+    rows = [(i, f"t{i} " * 3) for i in r.sample(range(-(10**12), 10**12), 60)] + [(None, "none")]
+    got = {x["doc_id"]: x["edited_sha256"] for x in simhash.fingerprint_documents(spark.createDataFrame(rows, "doc_id long, text string"), 40).collect()}
+    order = sorted(rows, key=lambda x: -(x[0] if x[0] is not None else -(1 << 63)))
+    for k, (i, t) in enumerate(order):
+        after, n = order[(k + 1) % len(order)][1], len(t)
+        assert got[i] == sha(t[: n - n // 3] + after[: n // 3])
 
 
 # -- 4
@@ -232,9 +246,44 @@ def test_top_k(spark):
     assert mih.top_k(df.limit(0), df.limit(0), 3).count() == 0
 
 
+def test_top_k_of_mixed_lengths(spark, monkeypatch):
+    """Codes of 3 to 100 bits, NaN, nulls, rows without ids, clashing columns, several shards; only equal lengths meet."""
+    monkeypatch.setattr(mih, "SHARD_CODES", 40)
+    r = np.random.default_rng(1)
+    dims = [3, 24, 64, 100]
+    rows = [(i, r.normal(size=dims[i % 4]).tolist()) for i in range(240)] + [(None, [1.0] * 24), (400, [float("nan"), None, 1.0]), (420, [1.0, 1.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({"code": F.lit(1), "bits": F.lit("x"), "rank": F.lit(0)})
+    got = {}
+    for x in mih.top_k(df, df.filter("vec_id % 20 = 0"), 5).collect():
+        got.setdefault(x["query_id"], []).append((x["distance"], x["neighbor_id"]))
+    bits = {i: [x is not None and x > 0 for x in v] for i, v in rows if i is not None}
+    want = {q: sorted((sum(a != b for a, b in zip(bits[q], bits[n])), n) for n in bits if n != q and len(bits[n]) == len(bits[q]))[:5] for q in bits if q % 20 == 0}
+    assert {q: sorted(v) for q, v in got.items()} == want
+
+
 # -- 5
 
 
+def plain_ppm(texts, data):
+    """Bits of ``data`` by contexts of up to three bytes, with escapes and exclusion, in plain Python."""
+    counts = {}
+    for t in texts:
+        for i in range(len(t)):
+            for n in range(min(3, i) + 1):
+                own = counts.setdefault(t[i - n : i], {})
+                own[t[i]] = own.get(t[i], 0) + 1
+
+    def spread(context):
+        lower = spread(context[1:]) if context else {x: 1 / 256 for x in range(256)}
+        own = counts.get(context)
+        if not own:
+            return lower
+        total, rest = sum(own.values()), sum(p for x, p in lower.items() if x not in own)
+        return {x: own[x] / (total + len(own)) if x in own else len(own) / (total + len(own)) * lower[x] / rest for x in lower}
+
+    return -sum(np.log2(spread(data[max(0, i - 3) : i])[data[i]]) for i in range(len(data)))
+
+
 def test_ppm(spark, hostile, empty):
     r = random.Random(2)
     make = {"aa": lambda: "".join(r.choice("abcde ") for _ in range(200)), "bb": lambda: "".join(r.choice("cdefgh ") for _ in range(200)), "cc": lambda: "".join(r.choice("éèüa ") for _ in range(200))}
@@ -255,8 +304,18 @@ def test_ppm(spark, hostile, empty):
     assert np.allclose(model.code_lengths(["q", text, ""])[1], want)
     out = ppm.identify(hostile[0], model).collect()
     assert len(out) == len(hostile[1]) and all(x["lang_pred"] == "und" for x in out if x["doc_id"] in (0, 1, 2))
-    kept = ppm.keep_identified(hostile[0], model)
-    assert kept.columns == hostile[0].columns and kept.count() == len(hostile[1]) - 3
+    # Every code length is that of plain prediction by partial matching over the training texts.
+    seen = [(t, lang) for i, t, lang in rows if i % 2 == 0]
+    texts = ["abcde", "ghé", "zzz 12", rows[3][1][:25], "😀a"]
+    got = model.code_lengths(texts)
+    for k, lang in enumerate(model.languages):
+        assert np.allclose(got[:, k], [plain_ppm([t.encode() for t, x in seen if x == lang], t.encode()) for t in texts], rtol=1e-4)
+    # A text with letters goes when no language's trees know it; those of the languages stay.
+    more = spark.createDataFrame([(1, "zxqvw kjy mnop " * 9), (2, rows[0][1]), (3, rows[1][1]), (4, "12 34"), (5, None)], "doc_id long, text string")
+    kept = ppm.keep_identified(more, model)
+    assert kept.columns == more.columns and sorted(r["doc_id"] for r in kept.collect()) == [2, 3]
+    assert ppm.keep_identified(hostile[0], model).columns == hostile[0].columns and ppm.keep_identified(empty, model).count() == 0
+    assert ppm.own_bits(b"aab") == pytest.approx(-np.log2(0.5 / 128 * 1.5 / 129 * 0.5 / 130))
     none = ppm.train(empty)
     assert none.predict(["abc"]) == (["und"], [0.0]) and ppm.identify(empty, none).count() == 0
 
@@ -496,7 +555,10 @@ def test_pipeline(spark):
             clean = set(labels[labels["toxic"] == 0]["doc_id"])
             assert gone and len(gone & clean) <= 0.05 * len(clean)
         if name == "language":
-            assert out.count() == docs.count()
+            model = C.ppm.train(spark.read.parquet(f"{sf}/documents.parquet"))
+            rows = docs.select("doc_id", "text").collect()
+            assert {r["doc_id"] for r in out.collect()} == {r["doc_id"] for r, x in zip(rows, model.savings([r["text"] for r in rows])) if x >= -1}
+            assert out.count() >= 0.98 * docs.filter("text IS NOT NULL").count()
         if name == "near_duplicates":
             rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
             assert {r["doc_id"] for r in out.collect()} == {d for d, n, c in brute_components(rows) if d == c or n == 0}
