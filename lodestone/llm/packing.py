@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import batch, cached, gather, ship, slices, table
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-CACHE_ENTRIES, CACHE_CHARS = 300_000, 64  # about 75 MB a worker
+CACHE_ENTRIES, CACHE_CHARS = 200_000, 64  # twice: words seen again, and new ones; about 100 MB a worker
 #: Texts with characters from here on keep their case: only below it are lower-casing and composing sure to commute.
 BEYOND = re.compile("[^\x00-\u024f]")
 PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-&(-/:-@\[-`{-~]*)\Z")
@@ -58,7 +58,9 @@ class WordTokenizer:
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        #: Words seen again, and words seen once so far; the latter make room first.
         self.held: dict[str, bytes] = {"": b""}
+        self.young: dict[str, bytes] = {}
 
     def _batch(self, texts: list[str], bare: bool = False) -> list[np.ndarray]:
         tokenizer = self.bare if bare else self.tokenizer
@@ -76,9 +78,13 @@ class WordTokenizer:
             out.update(zip(group, [data[a:b] for a, b in zip(cuts, cuts[1:])]))
         return out
 
-    def _learn(self, words: set[str]) -> None:
-        held, plain, cores, others = self.held, [], set(), set()
+    def _learn(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of words that the cache lacks."""
+        held, young, plain, cores, others = self.held, self.young, [], set(), set()
         for w in words:
+            if w.isascii() and w.isalpha() and w.islower():
+                cores.add(w)
+                continue
             m = PLAIN.match(w)
             core = m[1].lower() if m else ""
             if m and len(core) == len(m[1]):
@@ -87,10 +93,16 @@ class WordTokenizer:
                 others.add(m[2])
             else:
                 others.add(w)
-        held.update(self._plain([c for c in cores if c not in held]))
-        others = [x for x in others if x not in held]
-        held.update(zip(others, [i.tobytes() for i in self._batch(others)]))
-        held.update([(w, held[core] + held[tail]) for w, core, tail in plain])
+        get = lambda w: held.get(w, young.get(w))
+        made = {w: x for w in (*cores, *others) if (x := get(w)) is not None}
+        made.update(self._plain([c for c in cores if c not in made]))
+        others = [x for x in others if x not in made]
+        made.update(zip(others, [i.tobytes() for i in self._batch(others)]))
+        made.update([(w, made[core] + made[tail]) for w, core, tail in plain])
+        if len(young) + len(made) > CACHE_ENTRIES:
+            young = self.young = {}
+        young.update((w, x) for w, x in made.items() if len(w) <= CACHE_CHARS)
+        return made
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
@@ -98,17 +110,20 @@ class WordTokenizer:
         lists = pc.split_pattern(pa.array(folded, pa.string()), " ")
         coded = lists.flatten().dictionary_encode()
         words = coded.dictionary.to_pylist()
-        found = [*map(self.held.get, words)]
-        new = {w for w, x in zip(words, found) if x is None}
+        if len(self.held) > CACHE_ENTRIES:
+            self.held = {"": b""}
+        held, young = self.held, self.young
+        found, new = [*map(held.get, words)], []
+        for i, x in enumerate(found):
+            if x is None:
+                if (x := young.get(words[i])) is None:
+                    new.append(i)
+                else:
+                    found[i] = held[words[i]] = x
         if new:
-            if len(self.held) + len(new) > CACHE_ENTRIES:
-                self.held = {"": b""}
-                new = {w for w in words if w}
-            self._learn(new)
-            found = [self.held[w] for w in words]
-            for w in new:
-                if len(w) > CACHE_CHARS:
-                    del self.held[w]
+            made = self._learn([words[i] for i in new])
+            for i in new:
+                found[i] = made[words[i]]
         ids, edge = gather(found, coded.indices.to_numpy())
         rows = edge[lists.offsets.to_numpy()]
         return [ids[i:j].tobytes() for i, j in zip(rows, rows[1:])]
@@ -200,7 +215,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, e
     def run(batches):
         packer = HarmonicPacker(capacity, TaskContext.get().partitionId() << 33)
         rows: list[tuple] = []
-        for b in slices(batches, 1024, 3_000_000):
+        for b in slices(batches, 1536, 4_500_000):
             tokens = cached(("words", tokenizer_path), lambda: WordTokenizer(tokenizer_path))
             for doc, ids in zip(b.column(0).to_pylist(), tokens(b.column(1).to_pylist())):
                 rows += packer.add(doc, ids + end)
