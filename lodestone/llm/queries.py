@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, htmlmain, mih, packing, ppm, sigtree, simhash, spm, substring, toxicity
+from . import chat, exactdup, htmlmain, mih, packing, ppm, sigtree, simhash, spm, substring, toxicity
 
 QUERIES = {
     f.__name__: f
@@ -17,6 +17,7 @@ QUERIES = {
         substring.op8_substring,
         htmlmain.op9_html,
         sigtree.op10_jaccard,
+        exactdup.op11_exact_dedup,
     )
 }
-ORACLE_SQL: dict[str, str] = {"op4_topk": mih.OP4_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_topk": mih.OP4_SQL, "op11_exact_dedup": exactdup.OP11_SQL}
