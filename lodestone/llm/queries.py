@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, exactdup, htmlmain, mih, packing, ppm, sigtree, simhash, spm, substring, toxicity
+from . import chat, exactdup, htmlmain, lexical, mih, packing, ppm, sigtree, simhash, spm, substring, toxicity, whiten
 
 QUERIES = {
     f.__name__: f
@@ -18,6 +18,8 @@ QUERIES = {
         htmlmain.op9_html,
         sigtree.op10_jaccard,
         exactdup.op11_exact_dedup,
+        whiten.op12_whitening,
+        lexical.op13_search,
     )
 }
-ORACLE_SQL: dict[str, str] = {"op4_topk": mih.OP4_SQL, "op11_exact_dedup": exactdup.OP11_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_topk": mih.OP4_SQL, "op11_exact_dedup": exactdup.OP11_SQL, "op13_search": lexical.OP13_SQL}
