@@ -410,6 +410,17 @@ def bronze_csv(spark, sf_dir):
     return read_bronze(spark, path, "2024-01-01").drop("source_file")
 
 
+@query("""SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, CASE WHEN o_orderkey % 3 > 0 THEN o_orderpriority || chr(10) || chr(10) || ', "' || o_custkey || '"' ELSE '5" pipe' END AS note,
+  CASE WHEN o_orderkey % 7 > 0 THEN o_orderstatus END AS o_orderstatus, row_number() OVER (ORDER BY o_orderkey) AS row_number FROM orders""")
+def bronze_quoted(spark, sf_dir):
+    """Line breaks, delimiters and quotes inside quoted fields, in several files, read as Bronze by lines."""
+    path = files.scratch_path(spark, "bronze-quoted")
+    note = F.when(F.col("o_orderkey") % 3 > 0, F.concat("o_orderpriority", F.lit('\n\n, "'), "o_custkey", F.lit('"'))).otherwise('5" pipe')
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", note.alias("note"), F.when(F.col("o_orderkey") % 7 > 0, F.col("o_orderstatus")).alias("o_orderstatus"))
+    rows.repartitionByRange(4, "o_orderkey").sortWithinPartitions("o_orderkey").write.option("header", True).option("escape", '"').csv(path)
+    return read_bronze(spark, path, "2024-01-01").drop("source_file", "ingest_date")
+
+
 @query(f"WITH {BRONZE} SELECT CASE WHEN m > 0 THEN id_mutation END AS id_mutation, row_number, CASE WHEN m = 0 THEN 'DVF_SCHEMA_MISSING' WHEN m IN (1, 2, 7) THEN 'DVF_DATE_INVALID' WHEN m IN (3, 4) THEN 'DVF_VALUE_NEGATIVE' ELSE 'DVF_COORD_OOB' END AS error_code, 'silver' AS validation_stage FROM b WHERE m <= 7", text=("row_number",))
 def rejects_rows(spark, sf_dir):
     return validate.validate(_bronze(spark, sf_dir)).rejects.select(X.blank_to_null(F.col("id_mutation")).alias("id_mutation"), "row_number", "error_code", "validation_stage")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import blank_to_null, norm_text
+from . import quoted
 
 
 def with_row_numbers(df: DataFrame, name: str = "row_number") -> DataFrame:
@@ -21,25 +22,20 @@ def with_row_numbers(df: DataFrame, name: str = "row_number") -> DataFrame:
     return placed.withColumn(name, F.col("_before") + F.col("_at") - F.col("_first") + 1).drop("_path", "_start", "_at", "_first", "_before")
 
 
-def has_broken_lines(spark: SparkSession, path: str) -> bool:
-    """Whether a line has an odd number of quotes, so that a quoted field may go on in the next one."""
-    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    return not spark.read.text(path).filter(quotes % 2 == 1).isEmpty()
+def read_numbered(spark: SparkSession, path: str, delimiter: str = ",", multiline: bool | None = None, name: str = "row_number") -> tuple[list[str], DataFrame]:
+    """The header's names, and every column as text with the row's number. Short rows are padded, further fields dropped.
 
-
-def read_all_text(spark: SparkSession, path: str, delimiter: str = ",", multiline: bool | None = None) -> DataFrame:
-    """Every column as text, header names trimmed. Short rows are padded, further fields dropped.
-
-    ``multiline`` allows line breaks inside quoted fields, and makes each file one task; without it large files are
-    split between tasks. By default a pass over the lines tells which is needed.
+    By default a pass over the lines looks for one that leaves a quoted field open. Without any the lines are read as they
+    are, else records are put together over lines and splits (``quoted``); large files are split between tasks
+    either way. ``multiline=False`` skips that pass, and ``True`` leaves the files to Spark's reader, a task for each.
     """
-    multiline = has_broken_lines(spark, path) if multiline is None else multiline
-    df = (
-        spark.read.option("header", True).option("sep", delimiter[:1]).option("escape", '"').option("multiLine", multiline).option("mode", "PERMISSIVE").option("inferSchema", False).option("enforceSchema", True).csv(path)
-    )
+    delimiter = delimiter[:1]
+    options = {"header": True, "sep": delimiter, "escape": '"', "mode": "PERMISSIVE", "inferSchema": False, "enforceSchema": True}
+    joined = multiline is None and quoted.has_open_lines(spark, path, delimiter)
+    df = spark.read.options(**options, multiLine=bool(multiline or joined)).csv(path)
     if not df.columns or all(not c.strip() or c.startswith("_c") and c[2:].isdigit() for c in df.columns):
         raise ValueError(f"empty header in {path}")
-    return df
+    return df.columns, quoted.read(spark, path, df.columns, delimiter, name) if joined else with_row_numbers(df, name)
 
 
 def clean_text_columns(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -50,10 +46,9 @@ def clean_text_columns(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def read_bronze(spark: SparkSession, path: str, ingest_date: str, delimiter: str = ",", multiline: bool | None = None) -> DataFrame:
     """All-text rows with ingest_date, source_file and row_number."""
-    raw = read_all_text(spark, path, delimiter, multiline)
-    numbered = with_row_numbers(raw)
-    clean = clean_text_columns(numbered, raw.columns)
-    return clean.select(*[c.strip() for c in raw.columns], F.lit(ingest_date).alias("ingest_date"), F.lit(path).alias("source_file"), "row_number")
+    names, numbered = read_numbered(spark, path, delimiter, multiline)
+    clean = clean_text_columns(numbered, names)
+    return clean.select(*[c.strip() for c in names], F.lit(ingest_date).alias("ingest_date"), F.lit(path).alias("source_file"), "row_number")
 
 
 def read_typed(spark: SparkSession, path: str, delimiter: str = ",", has_header: bool = True, encoding: str = "utf-8", infer_rows: int | None = None) -> DataFrame:
@@ -77,10 +72,10 @@ def _quoted(v) -> str:
 
 def read_serving_rows(spark: SparkSession, path: str, n: int = 0, multiline: bool | None = None) -> DataFrame:
     """Raw rows for the serving table: at least ten header columns, blank rows skipped, the first n (0: all)."""
-    raw = read_all_text(spark, path, multiline=multiline)
-    if len(raw.columns) < 10:
+    header, raw = read_numbered(spark, path, multiline=multiline)
+    if len(header) < 10:
         raise ValueError("the header has fewer than ten columns")
-    names = [c.strip() for c in raw.columns]
-    rows = with_row_numbers(raw).toDF(*names, "row_number")
+    names = [c.strip() for c in header]
+    rows = raw.toDF(*names, "row_number")
     rows = rows.filter(F.coalesce(*[norm_text(F.col(f"`{c}`")) for c in names]).isNotNull())
     return rows.orderBy("row_number").limit(n) if n else rows

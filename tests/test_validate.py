@@ -11,7 +11,8 @@ from lodestone import schemas as S
 from lodestone.cli import main
 from lodestone.plans import local, validate
 from lodestone.plans.validate import validate as run
-from lodestone.sources.delimited import read_bronze
+from lodestone.sources import quoted
+from lodestone.sources.delimited import read_bronze, read_numbered
 
 GOOD = {"id_mutation": "M1", "date_mutation": "2023-05-17", "numero_disposition": "1", "nature_mutation": "Vente", "valeur_fonciere": "250000", "surface_reelle_bati": "50", "longitude": "2.3522", "latitude": "48.8566", "code_postal": "1000", "nom_commune": "paris", "code_departement": "75", "type_local": "Maison"}
 
@@ -144,3 +145,44 @@ def test_whole_pipeline(spark, tmp_path, capsys):
 
 def test_key_ignores_nothing_but_blanks(spark):
     assert len(validate.key_parts()) == 7 and len(validate.key_parts(legacy=True)) == 6
+
+
+FIELDS = ["plain", '"with, comma"', '"two\nlines"', '""', "", '"a ""quoted"" b"', '"{}\n\n,end"', '5" pipe', '"abc"def', ' "x"', '"\n"', '"\r\n"']
+
+
+@pytest.mark.parametrize("split", [1 << 27, 4000, 300])
+def test_quoted_breaks_over_many_splits(spark, tmp_path, split):
+    """Records equal those of the reader that keeps each file in one task, wherever splits cut them."""
+    import random
+
+    r = random.Random(split)
+    for f in range(2):
+        with open(tmp_path / f"f{f}.csv", "w", newline="") as out:
+            out.write("a,b,c d\n")
+            for i in range(400):
+                out.write(",".join(r.choice(FIELDS).replace("{}", "long " * r.randrange(120)) if k else f"{f}-{i}" for k in range(r.choice([3, 3, 3, 2, 4]))) + r.choice(["\n", "\n\n"]))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    try:
+        names, df = read_numbered(spark, str(tmp_path))
+        got = [tuple(x) for x in df.orderBy("row_number").collect()]
+        want = [tuple(x) for x in read_numbered(spark, str(tmp_path), multiline=True)[1].orderBy("row_number").collect()]
+        tasks = quoted.lines_of(spark, str(tmp_path)).rdd.getNumPartitions()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert names == ["a", "b", "c d"] and got == want and len(got) == 800
+    assert tasks == 2 if split == 1 << 27 else tasks > 10
+
+
+def test_open_quote_and_line_ends(spark, tmp_path):
+    (tmp_path / "a.csv").write_bytes(b'a,b\r\n1,"x\r\ny"\r\n\r\n2,"never closed\n3,4\n')
+    names, df = read_numbered(spark, str(tmp_path))
+    assert [tuple(r) for r in df.orderBy("row_number").collect()] == [("1", "x\r\ny", 1), ("2", "never closed\n3,4", 2)]
+
+
+@pytest.mark.parametrize("line,after_out,after_in", [("a,b", False, True), ('"a', True, False), ('a"', False, False), ('"a""', True, True), ('"a""b",c', False, True), ('x,"', True, False), ('","', False, True), ('"a"b,"c', True, False)])
+def test_line_states(line, after_out, after_in):
+    """The state after a line, from outside and from inside quotes; the reader's expressions and Java's agree."""
+    import pyarrow as pa
+
+    states = quoted.States(",")
+    assert [states.opens(pa.array([line.encode()]), s)[1] for s in (False, True)] == [after_out, after_in]
