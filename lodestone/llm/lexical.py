@@ -82,9 +82,6 @@ def bisect(doc: np.ndarray, term: np.ndarray, n: int, rounds: int = ROUNDS, leaf
     together. The cost of a term with d of a range's m documents is d log2(m / (d + 1)), the logarithmic gaps' estimate.
     """
     order, bounds = np.arange(n), np.array([0, n])
-    shared = np.bincount(term, minlength=1)[term] > 1  # a term of one document moves no cost
-    doc, term = doc[shared], term[shared]
-    width = int(term.max(initial=0)) + 1
     log = np.log2(np.arange(n + 3, dtype=np.float64) + 1)  # log[d] = log2(d + 1)
     while (sizes := np.diff(bounds)).max(initial=0) > leaf:
         split = sizes > leaf
@@ -94,31 +91,44 @@ def bisect(doc: np.ndarray, term: np.ndarray, n: int, rounds: int = ROUNDS, leaf
         right = np.arange(n) >= middle[node]
         left = np.flatnonzero(~right & split[node])
         partner = left - low[node[left]] + middle[node[left]]
-        spare = np.zeros(len(low), np.float64)
+        home, side = np.empty(n, np.int64), np.empty(n, np.int64)
+        home[order] = node  # documents do not leave their range
+        doc, term, cell, own, held = _cells(doc, term, home)
+        m_left, m_right = (np.log2(np.maximum(m, 1))[own] for m in (middle - low, high - middle))
+        cost = lambda d, m: d * (m - log[d])
         for _ in range(rounds):
-            at = np.empty(n, np.int64)
-            at[order] = np.arange(n)
-            where = at[doc]
-            own, side = node[where], right[where]
-            key, cell = np.unique(own * width + term, return_inverse=True)
-            both = np.stack([np.bincount(cell[~side], minlength=len(key)), np.bincount(cell[side], minlength=len(key))])
-            here, there = np.where(side, both[1, cell], both[0, cell]), np.where(side, both[0, cell], both[1, cell])
-            m_left, m_right = np.log2(np.maximum(middle - low, 1)), np.log2(np.maximum(high - middle, 1))
-            m_here, m_there = np.where(side, m_right[own], m_left[own]), np.where(side, m_left[own], m_right[own])
-            cost = lambda d, m: d * (m - log[d])
-            gain = cost(here, m_here) - cost(here - 1, m_here) + cost(there, m_there) - cost(there + 1, m_there)
-            of_doc = np.bincount(doc, weights=gain, minlength=n)
-            ranked = order[np.lexsort((-of_doc[order], right, node))]
-            moves = of_doc[ranked[left]] + of_doc[ranked[partner]] > spare[node[left]]
-            a, b = left[moves], partner[moves]
-            ranked[a], ranked[b] = ranked[b].copy(), ranked[a].copy()
+            side[order] = right
+            to = side[doc]
+            b = np.bincount(cell, weights=to, minlength=len(held)).astype(np.int64)
+            a = held - b
+            out = cost(a, m_left) - cost(np.maximum(a - 1, 0), m_left) + cost(b, m_right) - cost(b + 1, m_right)
+            back = cost(b, m_right) - cost(np.maximum(b - 1, 0), m_right) + cost(a, m_left) - cost(a + 1, m_left)
+            gain = np.bincount(doc, weights=np.concatenate([out, back])[cell + to * len(held)], minlength=n)
+            ranked = order[np.lexsort((-gain[order], right, node))]
+            moves = gain[ranked[left]] + gain[ranked[partner]] > 0
+            x, y = left[moves], partner[moves]
+            ranked[x], ranked[y] = ranked[y].copy(), ranked[x].copy()
             order = ranked
-            if len(a) <= len(left) // 100:
+            if len(x) <= len(left) // 100:
                 break
         bounds = np.unique(np.concatenate([bounds, middle]))
     return order, bounds
 
 
+def _cells(doc: np.ndarray, term: np.ndarray, home: np.ndarray):
+    """Number the pairs of range and term that postings have; a term of one document in its range moves no cost and goes.
+
+    Returns the postings that stay, their cells, and each cell's range and number of documents.
+    """
+    width = int(term.max(initial=0)) + 1
+    key = home[doc] * width + term
+    count = np.bincount(key)
+    stays = count[key] > 1
+    number = np.cumsum(count > 1) - 1
+    cells = np.flatnonzero(count > 1)
+    return doc[stays], term[stays], number[key[stays]], cells // width, count[cells]
+
+
 SHARD = pa.schema(
     [("shard", pa.int64()), ("terms", pa.list_(pa.binary())), ("df", pa.list_(pa.int32())), ("entry_edge", pa.binary()), ("entry_cluster", pa.binary()), ("entry_most", pa.binary()), ("entry_start", pa.binary()), ("place", pa.binary()), ("part", pa.binary()), ("ids", pa.binary()), ("clusters", pa.int32())]
 )
