@@ -12,9 +12,9 @@ from pyspark.sql import types as T
 
 from ..functions import mapping as M
 from ..functions.keys import pk_key
-from ..operators import quality
-from ..operators.dedup import append_unique, keep_first
-from ..sources import files, tables
+from ..operators import keyindex, quality
+from ..operators.dedup import keep_first
+from ..sources import commits, files, tables
 from ..sources.delimited import read_typed, with_row_numbers
 from .local import sanitize
 
@@ -181,46 +181,37 @@ def run(spark: SparkSession, request: dict | str | RunRequest, legacy_nulls: boo
         rows = rows.withColumn("__row", F.monotonically_increasing_id())
     plan = build_plan(rows, req, legacy_nulls)
     root, pk = table_root(req, req.target.name), req.target.primary_key
-    totals = quality.totals(plan.frame, len(plan.codes), [f"__t_{k}" for k in pk])
-    chosen = plan.frame.filter("__accept").select(*[F.col(f"`__t_{n}`").alias(n) for n in plan.targets], "__row")
-    if pk:
-        complete = chosen.dropna(subset=pk).withColumn("_pk_hash", pk_key(pk))
-        fresh = append_unique(keep_first(complete, ["_pk_hash"], ["__row"]), known_keys(spark, root, pk))
-    else:
-        fresh = chosen
+    rules = len(plan.codes)
+    # The source is read, mapped and judged once; what follows reads the few columns it needs of this.
+    watched = quality.Observed(plan.frame, rules, [f"__t_{k}" for k in pk])
+    judged = files.materialize(watched.frame.select("__row", "__accept", quality.sample_text(rules, plan.sources).alias("__sample"), *[F.col(f"`__t_{n}`") for n in plan.targets]), "judged")
+    totals = watched.totals()
     summary = [{"rule_code": c, "violations": v, "checked_rows": totals["rows"]} for c, v in zip(plan.codes, totals["violations"])]
-    samples = quality.invalid_samples(plan.frame, len(plan.codes), plan.sources, SAMPLES)
+    samples = quality.invalid_samples(judged, SAMPLES)
     logs = ["stage: read source", "stage: apply mapping", "stage: apply dedup"]
+    chosen = judged.filter("__accept").select(*[F.col(f"`__t_{n}`").alias(n) for n in plan.targets], "__row")
     made = tables.snapshot_id()
-    path = f"{root}/data/snapshot={made}"
-    out = fresh.drop("__row", "_pk_hash")
-    out.write.option("compression", "zstd").parquet(path)
-    written = spark.read.schema(out.schema).parquet(path)
-    dest = written.count()
+    if pk:
+        complete = chosen.dropna(subset=pk).withColumn(keyindex.KEY, pk_key(pk))
+        dest = keyindex.append_new(keep_first(complete, [keyindex.KEY], ["__row"]).drop("__row"), root, pk, made)
+    else:
+        dest = _append_all(chosen.drop("__row"), root, made)
     breakdown = {"filtered_or_unparsed": totals["rows"] - totals["accepted"], "null_key": totals["accepted"] - totals["complete"], "duplicate_or_known": totals["complete"] - dest}
     if not dest:
-        fs, target = files._fs(spark, path)
-        fs.delete(target, True)
         return RunResponse("", totals["rows"], 0, totals["rows"], samples, summary, [*logs, "stage: append unique (no new rows)", "stage: compute DQ summary"], breakdown)
-    if pk:
-        written.select(pk_key(pk).alias("_pk_hash")).distinct().write.parquet(f"{root}/keys_index/data/snapshot={made}")
     if req.target.layer == "Gold":
         tables.scan_snapshots(spark, root).createOrReplaceTempView(f"{sanitize(req.namespace)}_{sanitize(req.target.name)}")
     return RunResponse(made, totals["rows"], dest, totals["rows"] - dest, samples, summary, [*logs, "stage: append unique", "stage: write dest", "stage: write keys index", "stage: compute DQ summary"], breakdown)
 
 
-def known_keys(spark: SparkSession, root: str, pk: list[str]) -> DataFrame:
-    """Keys of all rows written so far: from the index, and from the rows of snapshots that have none.
-
-    A run that stopped between its rows and its index is thus not appended twice.
-    """
-    written = files.children(spark, f"{root}/data")
-    indexed = set(files.children(spark, f"{root}/keys_index/data"))
-    keys = spark.createDataFrame([], "_pk_hash string")
-    have = [f"{root}/keys_index/data/{s}" for s in written if s in indexed and s.startswith("snapshot=")]
-    lack = [f"{root}/data/{s}" for s in written if s not in indexed and s.startswith("snapshot=")]
-    if have:
-        keys = keys.unionByName(spark.read.parquet(*have).select("_pk_hash"))
-    if lack:
-        keys = keys.unionByName(spark.read.parquet(*lack).select(pk_key(pk).alias("_pk_hash")))
-    return keys
+def _append_all(rows: DataFrame, root: str, snapshot: str) -> int:
+    """Append every row; nothing is committed where there is none."""
+    spark = rows.sparkSession
+    commits.begin(spark, root)
+    read = commits.replay(spark, root).version
+    listing, n = commits.write_snapshot(rows, root, snapshot)
+    if n:
+        commits.commit(spark, root, {"snapshot": snapshot, "files": listing, "rows": n, "scope": None}, read)
+    else:
+        files.remove(spark, f"{root}/data/snapshot={snapshot}")
+    return n

@@ -53,6 +53,12 @@ def walk(spark: SparkSession, path: str) -> list[str]:
     return sorted(out)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder, if it is there."""
+    fs, target = _fs(spark, path)
+    fs.delete(target, True)
+
+
 def read_text(spark: SparkSession, path: str) -> str:
     fs, target = _fs(spark, path)
     stream = fs.open(target)

@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import files
+from . import commits, files
 
 
-def scan(spark: SparkSession, root: str) -> DataFrame:
-    """The union of a table's snapshots under data/; an error if there is none."""
+def scan(spark: SparkSession, root: str, version: int | None = None) -> DataFrame:
+    """The union of a table's snapshots under data/; an error if there is none.
+
+    A table with a commit log is what the log lists, at a version if one is asked for.
+    """
+    if version is not None or commits.exists(spark, root):
+        return commits.scan(spark, root, version)
     path = f"{root}/data"
     if not files.children(spark, path):
         raise FileNotFoundError(f"no parquet files under {path}")
@@ -20,6 +26,8 @@ def scan(spark: SparkSession, root: str) -> DataFrame:
 
 
 def scan_or_empty(spark: SparkSession, root: str, schema: T.StructType) -> DataFrame:
+    if commits.exists(spark, root):
+        return commits.scan(spark, root, schema=schema)
     path = f"{root}/data"
     return spark.read.schema(schema).parquet(path) if files.children(spark, path) else spark.createDataFrame([], schema)
 
@@ -39,19 +47,19 @@ def scan_partitioned(spark: SparkSession, path: str) -> DataFrame:
 
 def snapshot_id() -> str:
     now = datetime.now(timezone.utc)
-    return now.strftime("%Y%m%dT%H%M%S") + f"{now.microsecond // 1000:03d}Z"
+    return now.strftime("%Y%m%dT%H%M%S") + f"{now.microsecond // 1000:03d}Z" + uuid.uuid4().hex[:4]  # writers may begin at once
 
 
 def append_snapshot(df: DataFrame, root: str) -> str:
-    """Append rows under a snapshot id of their own and return it."""
+    """Append and commit rows under a snapshot id of their own and return it."""
     made = snapshot_id()
-    df.write.mode("append").option("compression", "zstd").parquet(f"{root}/data/snapshot={made}")
+    commits.append(df, root, made)
     return made
 
 
-def scan_snapshots(spark: SparkSession, root: str) -> DataFrame:
+def scan_snapshots(spark: SparkSession, root: str, version: int | None = None) -> DataFrame:
     """All snapshots of a table without their ids."""
-    return scan(spark, root).drop("snapshot")
+    return scan(spark, root, version).drop("snapshot")
 
 
 def write_partitioned(df: DataFrame, path: str, columns: list[str], keep_others: bool = False, sort: list[str] | None = None) -> None:
