@@ -162,7 +162,7 @@ def append_new(rows: DataFrame, root: str, keys: list[str], snapshot: str, bucke
             files.remove(spark, f"{root}/data/snapshot={name}")
             return {}
         segment = write_segment(spark.read.parquet(f"{root}/data/snapshot={name}").select(pk_key(keys).alias(KEY)), root, buckets)
-        return {"snapshot": name, "files": listing, "rows": n, "scope": None, "segments": [segment]}
+        return {"snapshot": name, "files": listing, "rows": n, "scope": None, "schema": fresh.drop(KEY).schema.jsonValue(), "segments": [segment]}
 
     with unknown(rows, root, state.segments, buckets) as fresh:
         entry = write(fresh, snapshot)

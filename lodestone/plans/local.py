@@ -7,8 +7,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..sources import files, tables
+from ..sources import commits, files, tables
 from ..sources.delimited import read_bronze
 from . import validate as V
 from . import views
@@ -70,13 +71,15 @@ def curate(spark: SparkSession, dataset: str, ingest_date: str, snapshot_date: s
     path = f"{root}/gold/{dataset}/snapshot_date={snapshot_date}"
     dept = F.coalesce(F.nullif(F.trim("code_departement"), F.lit("")), F.lit("UNK"))
     tables.write_partitioned(silver.withColumn("year", F.col("year_mutation")).withColumn("dept", dept), path, ["year", "dept"], keep_others, sort=["date_mutation"])
-    commit = tables.publish_manifest(spark, root, dataset, snapshot_date, path)
-    return CurateStats(len(commit["files"]), sum(f["rows"] for f in commit["files"]))
+    schema = T.StructType([*silver.schema.fields, T.StructField("year", silver.schema["year_mutation"].dataType), T.StructField("dept", T.StringType())])
+    return CurateStats(*tables.publish(spark, root, dataset, snapshot_date, schema))
 
 
 def gold(spark: SparkSession, dataset: str, root: str, snapshot_date: str | None = None) -> DataFrame:
-    """The latest Gold snapshot with its partition columns year and dept."""
+    """The latest Gold snapshot with its partition columns year and dept, of the files that its commit lists."""
     date = tables.latest_snapshot(spark, root, dataset, snapshot_date)
+    if commits.exists(spark, f"{root}/gold/{dataset}"):
+        return commits.scan(spark, f"{root}/gold/{dataset}", base=f"snapshot_date={date}", scope=date)
     return tables.scan_partitioned(spark, f"{root}/gold/{dataset}/snapshot_date={date}")
 
 

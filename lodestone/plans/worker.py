@@ -211,7 +211,7 @@ def _append_all(rows: DataFrame, root: str, snapshot: str) -> int:
     read = commits.replay(spark, root).version
     listing, n = commits.write_snapshot(rows, root, snapshot)
     if n:
-        commits.commit(spark, root, {"snapshot": snapshot, "files": listing, "rows": n, "scope": None}, read)
+        commits.commit(spark, root, {"snapshot": snapshot, "files": listing, "rows": n, "scope": None, "schema": rows.schema.jsonValue()}, read)
     else:
         files.remove(spark, f"{root}/data/snapshot={snapshot}")
     return n

@@ -7,6 +7,7 @@ import os
 import re
 import tempfile
 import uuid
+from collections.abc import Iterable
 from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
@@ -69,13 +70,18 @@ def read_text(spark: SparkSession, path: str) -> str:
 
 
 def write_text(spark: SparkSession, path: str, text: str) -> None:
+    write_pieces(spark, path, [text])
+
+
+def write_pieces(spark: SparkSession, path: str, pieces: Iterable[str]) -> None:
     """Write to a file beside ``path`` and move it there, so that readers see the old or the new text."""
     fs, target = _fs(spark, path)
     beside = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path + ".tmp")
     fs.mkdirs(target.getParent())
     stream = fs.create(beside, True)
     try:
-        stream.write(bytearray(text.encode()))
+        for text in pieces:
+            stream.write(bytearray(text.encode()))
     finally:
         stream.close()
     if not fs.rename(beside, target):  # some file systems do not replace

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from datetime import datetime, timezone
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -81,14 +83,36 @@ def manifest_path(root: str, dataset: str, name: str) -> str:
     return f"{root}/manifests/{dataset}/{name}"
 
 
-def publish_manifest(spark: SparkSession, root: str, dataset: str, snapshot_date: str, path: str) -> dict:
-    """commit.json with each file's rows, and then the latest.json pointer, which is the commit."""
-    counts = spark.read.parquet(path).groupBy(F.col("_metadata.file_path").alias("path")).agg(F.count("*").alias("rows"))
-    listed = [{"path": r["path"].split(path.rstrip("/") + "/")[-1], "rows": r["rows"]} for r in counts.orderBy("path").collect()]
-    commit = {"dataset": dataset, "snapshot_date": snapshot_date, "files": listed}
-    files.write_json(spark, f"{path}/_commit.json" if path.endswith("/") else manifest_path(root, dataset, f"{snapshot_date}/commit.json"), commit)
+def publish(spark: SparkSession, root: str, dataset: str, snapshot_date: str, schema: T.StructType) -> tuple[int, int]:
+    """Commit a Gold snapshot that has been written: the log, commit.json with each file's rows, and latest.json.
+
+    Executors list the files. Returns how many there are, and their rows.
+    """
+    gold, folder = f"{root}/gold/{dataset}", f"snapshot_date={snapshot_date}"
+    commits.begin(spark, gold)
+    read = commits.replay(spark, gold).version
+    listing, rows = commits.list_files(spark, gold, folder)
+    count = write_commit(spark, root, dataset, snapshot_date, f"{gold}/_log/{listing}", folder)
+    commits.commit(spark, gold, {"snapshot": snapshot_date, "files": listing, "rows": rows, "scope": snapshot_date, "schema": schema.jsonValue()}, read)
     files.write_json(spark, manifest_path(root, dataset, "latest.json"), {"snapshot_date": snapshot_date})
-    return commit
+    return count, rows
+
+
+def write_commit(spark: SparkSession, root: str, dataset: str, snapshot_date: str, listing: str, folder: str) -> int:
+    """commit.json from a stored list of files, of which the driver holds a part at a time; their number."""
+    listed = spark.read.parquet(listing).select(F.substring_index("path", f"{folder}/", -1).alias("path"), "rows").orderBy("path")
+    count = 0
+
+    def text():
+        nonlocal count
+        yield f'{{"dataset": {json.dumps(dataset)}, "snapshot_date": {json.dumps(snapshot_date)}, "files": ['
+        for r in listed.toLocalIterator():
+            yield ("," if count else "") + json.dumps({"path": unquote(r["path"]), "rows": r["rows"]}, ensure_ascii=False)
+            count += 1
+        yield "]}"
+
+    files.write_pieces(spark, manifest_path(root, dataset, f"{snapshot_date}/commit.json"), text())
+    return count
 
 
 def latest_snapshot(spark: SparkSession, root: str, dataset: str, snapshot_date: str | None = None) -> str:
