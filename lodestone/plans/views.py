@@ -62,7 +62,10 @@ def _whole_groups(transactions: DataFrame) -> DataFrame:
 
 def price_metrics(transactions: DataFrame) -> DataFrame:
     """Rows and exact medians of residential transactions by year, department and type."""
-    found = order_statistics(_whole_groups(transactions), GROUP, {"p": ("prix_m2", 0.5), "v": ("valeur_fonciere", 0.5)})
+    return metrics_of(order_statistics(_whole_groups(transactions), GROUP, {"p": ("prix_m2", 0.5), "v": ("valeur_fonciere", 0.5)}))
+
+
+def metrics_of(found: DataFrame) -> DataFrame:
     return found.select(*GROUP, F.col("_n").alias("n"), between("v").alias("median_valeur_fonciere"), between("p").alias("median_prix_m2"))
 
 
@@ -81,7 +84,14 @@ def monthly_price(transactions: DataFrame) -> DataFrame:
 
 def price_metrics_yoy(transactions: DataFrame) -> DataFrame:
     """The median of held prices, and its change against the previous year that is there."""
-    found = order_statistics(_whole_groups(transactions), GROUP, {"p01": ("prix_m2", 0.01), "p99": ("prix_m2", 0.99), "m": ("prix_m2", 0.5)})
+    return yoy_of(order_statistics(_whole_groups(transactions), GROUP, HELD))
+
+
+#: What the median of held prices of a whole group follows from.
+HELD = {"p01": ("prix_m2", 0.01), "p99": ("prix_m2", 0.99), "m": ("prix_m2", 0.5)}
+
+
+def yoy_of(found: DataFrame) -> DataFrame:
     y = found.select("*", between("p01").alias("p01"), between("p99").alias("p99")).select(*GROUP, between("m", _held).alias("med_p2"))
     previous = F.lag("med_p2").over(Window.partitionBy("code_departement", "type_local").orderBy("year_mutation"))
     return y.withColumn("_p", previous).select(*GROUP, "med_p2", F.when(F.col("_p").isNotNull() & (F.col("_p") != 0), F.col("med_p2") / F.col("_p") - 1.0).alias("yoy_med_p2"))

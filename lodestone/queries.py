@@ -15,6 +15,7 @@ from .operators.dedup import append_unique, keep_first
 from .operators.spatial import polygons
 from .plans import local, serving, validate, views, worker
 from .plans.canonical import TX_SQL, geohash_sql, table, transactions
+from .plans.incremental import IncrementalViews
 from .sources import commits, files, tables
 from .sources.delimited import read_bronze
 
@@ -117,6 +118,35 @@ def geohash_tiles(spark, sf_dir):
     return rounded(views.tiles_gh64(files.materialize(_residential(spark, sf_dir), "residential")), "median_prix_m2_w")
 
 
+def _refreshed(spark: SparkSession, sf_dir: str, *only: str) -> IncrementalViews:
+    """All transactions, counted in as three snapshots."""
+    kept = IncrementalViews(spark, files.scratch_path(spark, "incremental"))
+    rows = files.materialize(_latest(spark, sf_dir), "transactions")
+    for k in range(3):
+        kept.add(rows.filter(F.pmod(F.month("date_mutation"), F.lit(3)) == k), f"s{k}", only)
+    return kept
+
+
+@query(ORACLE_SQL["price_metrics"])
+def refreshed_metrics(spark, sf_dir):
+    return rounded(_refreshed(spark, sf_dir, "months").price_metrics(), "median_valeur_fonciere", "median_prix_m2")
+
+
+@query(ORACLE_SQL["price_yoy"])
+def refreshed_yoy(spark, sf_dir):
+    return rounded(_refreshed(spark, sf_dir, "months").price_metrics_yoy(), "med_p2", "yoy_med_p2")
+
+
+@query(f"WITH {RESIDENTIAL} SELECT month_start, code_departement, type_local, count(*) AS n, round(median(prix_m2_winsor), 6) AS median_prix_m2_w FROM res GROUP BY ALL", text=('month_start',))
+def refreshed_monthly(spark, sf_dir):
+    return rounded(_refreshed(spark, sf_dir, "months").monthly_price(), "median_prix_m2_w")
+
+
+@query(ORACLE_SQL["geohash_tiles"])
+def refreshed_tiles(spark, sf_dir):
+    return rounded(_refreshed(spark, sf_dir).tiles_gh64(), "median_prix_m2_w")
+
+
 AREAS = [("A", "west", -5.5, 41.0, 0.0, 46.0), ("B", "east", 0.0, 41.0, 5.0, 46.0), ("C", "north", -2.0, 46.5, 8.0, 51.0)]
 
 

@@ -13,6 +13,11 @@ from urllib.parse import unquote
 from pyspark.sql import DataFrame, SparkSession
 
 
+def unique(name: str) -> str:
+    """``name`` with an ending that no other call gives."""
+    return f"{name}-{uuid.uuid4().hex[:12]}"
+
+
 def resolve_uri(uri: str) -> str:
     """A file:// URI as a plain, percent-decoded path; other schemes stay."""
     return unquote(uri[len("file://") :]) if uri.startswith("file://") else uri
