@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.geo import in_polygon
+from .cover import join_points
 
 EDGES = "array<struct<x1:double,y1:double,x2:double,y2:double>>"
 
@@ -110,17 +110,10 @@ def with_edges(areas: DataFrame) -> DataFrame:
     return areas.withColumn("edges", parsed("geom"))
 
 
-def points_in_polygons(areas: DataFrame, points: DataFrame, cell: float = 0.5, x: str = "longitude", y: str = "latitude") -> DataFrame:
+def points_in_polygons(areas: DataFrame, points: DataFrame, x: str = "longitude", y: str = "latitude") -> DataFrame:
     """Inner join of points with the areas that hold them, borders included.
 
-    Areas are entered in every grid cell that their bounding box meets and points in theirs, so that the join is
-    one of equal cells whatever the number of areas; the exact test decides.
+    Areas are covered by cells of several sizes (``cover``) and the join is one of equal cells, whatever their number;
+    inner cells decide by themselves, border cells by the few edges that meet them.
     """
-    place = lambda c: F.floor(c / cell).cast("long")
-    xs = lambda f: f(F.transform("edges", lambda e: F.least(e.x1, e.x2) if f is F.array_min else F.greatest(e.x1, e.x2)))
-    ys = lambda f: f(F.transform("edges", lambda e: F.least(e.y1, e.y2) if f is F.array_min else F.greatest(e.y1, e.y2)))
-    boxed = areas.withColumns({"_x0": xs(F.array_min), "_x1": xs(F.array_max), "_y0": ys(F.array_min), "_y1": ys(F.array_max)})
-    gridded = boxed.withColumn("_gx", F.explode(F.sequence(place(F.col("_x0")), place(F.col("_x1"))))).withColumn("_gy", F.explode(F.sequence(place(F.col("_y0")), place(F.col("_y1")))))
-    dealt = points.withColumn("_gx", place(F.col(x))).withColumn("_gy", place(F.col(y)))
-    near = gridded.join(dealt, ["_gx", "_gy"]).filter(F.col(x).between(F.col("_x0"), F.col("_x1")) & F.col(y).between(F.col("_y0"), F.col("_y1")))
-    return near.filter(in_polygon(F.col(x), F.col(y), F.col("edges"))).drop("_gx", "_gy", "_x0", "_x1", "_y0", "_y1", "edges")
+    return join_points(areas, points, x, y)

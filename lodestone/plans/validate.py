@@ -79,17 +79,17 @@ def typed(rows: DataFrame) -> DataFrame:
             out[f.name] = X.parse_whole(c, "short" if kind == "smallint" else "int", non_negative=True, trimmed=True)
         else:
             out[f.name] = c
-    base = rows.select(*[c.alias(n) for n, c in out.items()], "row_number")
+    base = rows.select(*[c.alias(n) for n, c in out.items()], "row_number", "mutation_key")
     price = F.when(F.col("surface_reelle_bati") > 9, F.col("valeur_fonciere").cast("double") / F.col("surface_reelle_bati"))
     priced = base.withColumns({"year_mutation": F.year("date_mutation").cast("short"), "month_start": F.trunc("date_mutation", "month"), "_price": price})
-    keyed = priced.withColumns({"prix_m2": F.when((F.col("_price") > 0) & (F.col("_price") < float("inf")), F.col("_price")), "mutation_key": digest_key(key_parts())})
-    return with_geohash(keyed, "longitude", "latitude")
+    return with_geohash(priced.withColumn("prix_m2", F.when((F.col("_price") > 0) & (F.col("_price") < float("inf")), F.col("_price"))), "longitude", "latitude")
 
 
 def key_parts(legacy: bool = False) -> list[Column]:
-    """What tells two transactions apart. ``legacy`` leaves the house number out."""
+    """What tells two transactions apart, of parsed rows. ``legacy`` leaves the house number out."""
     names = ["id_mutation", "date_mutation", "numero_disposition", "id_parcelle", "adresse_numero", "adresse_nom_voie", "code_postal"]
-    return [F.col(n) for n in names if not (legacy and n == "adresse_numero")]
+    own = {"date_mutation": F.col("_day"), "code_postal": X.pad_left(F.col("_c_code_postal"), 5)}
+    return [own.get(n, F.col(f"_c_{n}")) for n in names if not (legacy and n == "adresse_numero")]
 
 
 def validate(bronze: DataFrame, max_year: int | None = None, legacy_key: bool = False, legacy_batch: int = 65_536, keep=lambda marked: marked) -> Classified:
@@ -102,12 +102,16 @@ def validate(bronze: DataFrame, max_year: int | None = None, legacy_key: bool =
     missing = [c for c in S.RAW_COLUMNS + S.LINEAGE if c not in bronze.columns]
     if missing:
         raise ValueError(f"missing column in Bronze: {', '.join(missing)}")
-    marked = keep(parsed(bronze).withColumn("_why", reject_reason(max_year)))
-    good = typed(marked.filter("_why IS NULL"))
+    held = [*[f"_c_{n}" for n in S.RAW_COLUMNS], "_day", "_cents", "_lon", "_lat", "row_number"]
+    keys = {"mutation_key": digest_key(key_parts())}
     if legacy_key:
-        good = good.withColumn("_dedup", digest_key([*key_parts(legacy=True), F.floor((F.col("row_number") - 1) / legacy_batch)]))
-    else:
-        good = good.withColumn("_dedup", F.col("mutation_key"))
-    silver = keep_first(good, ["_dedup"], ["row_number"]).select(*S.SILVER.fieldNames())
-    rejects = marked.filter("_why IS NOT NULL").select(*[F.col(c).cast("string").alias(c) for c in S.RAW_COLUMNS + S.LINEAGE], F.col("_why.code").alias("error_code"), F.col("_why.detail").alias("error_detail"), F.lit("silver").alias("validation_stage"))
+        keys["_dedup"] = digest_key([*key_parts(legacy=True), F.floor((F.col("row_number") - 1) / legacy_batch)])
+    # A refused row keeps its text as it came; a good one needs the cleaned text alone.
+    raw = F.struct(*[F.col(c).cast("string").alias(c) for c in S.RAW_COLUMNS + S.LINEAGE])
+    judged = parsed(bronze).withColumn("_why", reject_reason(max_year))
+    marked = keep(judged.select(*held, *[k.alias(n) for n, k in keys.items()], "_why", F.when(F.col("_why").isNotNull(), raw).alias("_raw")))
+    good = marked.filter("_why IS NULL").select(*held, *keys)
+    # The first of equal rows is found before they are typed: that costs more than the key, and runs on what is left.
+    silver = typed(keep_first(good, ["_dedup" if legacy_key else "mutation_key"], ["row_number"])).select(*S.SILVER.fieldNames())
+    rejects = marked.filter("_why IS NOT NULL").select("_raw.*", F.col("_why.code").alias("error_code"), F.col("_why.detail").alias("error_detail"), F.lit("silver").alias("validation_stage"))
     return Classified(silver, rejects, good)

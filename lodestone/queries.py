@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,7 +13,7 @@ from .functions import text as X
 from .functions.keys import pk_key
 from .operators import keyindex, quality
 from .operators.dedup import append_unique, keep_first
-from .operators.spatial import polygons
+from .operators.spatial import points_in_polygons, polygons
 from .plans import local, serving, validate, views, worker
 from .plans.canonical import TX_SQL, geohash_sql, table, transactions
 from .plans.incremental import IncrementalViews
@@ -406,7 +407,8 @@ FAULT = "(l_orderkey * 7 + l_linenumber * 3 + l_partkey) % 23"
 def _bronze(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text rows of the raw layout made of lineitem, with faults in about a third of them."""
     line, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
-    rows = line.join(orders, line.l_orderkey == orders.o_orderkey)
+    # The table's file is one or two row groups; text of this size would come in as many splits as there are cores.
+    rows = line.join(orders, line.l_orderkey == orders.o_orderkey).repartition(spark.sparkContext.defaultParallelism, "l_orderkey", "l_linenumber")
     m = F.expr(FAULT)
     text = lambda c: F.col(c).cast("string")
     cents = F.round(F.col("l_extendedprice") * 100).cast("long")
@@ -508,6 +510,28 @@ def rejects_rows(spark, sf_dir):
     return validate.validate(_bronze(spark, sf_dir)).rejects.select(X.blank_to_null(F.col("id_mutation")).alias("id_mutation"), "row_number", "error_code", "validation_stage")
 
 
+def _wavy(x: float, y: float, size: float, n: int) -> list[tuple[float, float]]:
+    """Vertices of a ring with five lobes."""
+    far = [size * (0.8 + 0.2 * math.sin(10 * math.pi * i / n)) for i in range(n)]
+    return [(round(x + far[i] * math.cos(2 * math.pi * i / n), 9), round(y + far[i] * math.sin(2 * math.pi * i / n), 9)) for i in range(n)]
+
+
+RINGS = {"centre": _wavy(2.3, 46.4, 2.9, 400), "west": _wavy(-1.1, 47.2, 1.4, 120), "south": _wavy(3.3, 43.8, 2.2, 90)}
+RING_EDGES = ", ".join(f"('{k}', {a[0]!r}, {a[1]!r}, {b[0]!r}, {b[1]!r})" for k, ring in RINGS.items() for a, b in zip(ring, ring[1:] + ring[:1]))
+
+
+@query(
+    f"""WITH {TX_SQL}, edges(name, x1, y1, x2, y2) AS (VALUES {RING_EDGES}), spots AS (SELECT DISTINCT longitude AS x, latitude AS y FROM tx WHERE longitude IS NOT NULL),
+crossed AS (SELECT name, x, y, count(*) AS n FROM edges JOIN spots ON (y1 > y) <> (y2 > y) AND x < (x2 - x1) * (y - y1) / (y2 - y1) + x1 GROUP BY ALL)
+SELECT c.name, count(*) AS n, count(DISTINCT t.id_mutation) AS mutations FROM crossed c JOIN tx t ON t.longitude = c.x AND t.latitude = c.y WHERE c.n % 2 = 1 GROUP BY ALL"""
+)
+def curved_areas(spark, sf_dir):
+    """Rows and mutations within areas of many edges."""
+    areas = polygons(spark, [(k, "POLYGON((" + ",".join(f"{x!r} {y!r}" for x, y in [*ring, ring[0]]) + "))") for k, ring in RINGS.items()], ["name"])
+    located = views.points(_latest(spark, sf_dir)).select("id_mutation", "longitude", "latitude")
+    return points_in_polygons(areas, located).groupBy("name").agg(F.count("*").alias("n"), F.countDistinct("id_mutation").alias("mutations"))
+
+
 @query(f"WITH {TX_SQL} SELECT count(*) AS total FROM tx WHERE code_departement = '07' AND date_mutation >= DATE '1996-01-01' AND date_mutation <= DATE '1999-12-31'")
 def page_total(spark, sf_dir):
     page = serving.paginate(serving.filter_rows(transactions(spark, sf_dir), "07", "1996-01-01", "1999-12-31"), 2, 50, PAGE_TIES)

@@ -179,7 +179,7 @@ def test_open_quote_and_line_ends(spark, tmp_path):
     assert [tuple(r) for r in df.orderBy("row_number").collect()] == [("1", "x\r\ny", 1), ("2", "never closed\n3,4", 2)]
 
 
-@pytest.mark.parametrize("line,after_out,after_in", [("a,b", False, True), ('"a', True, False), ('a"', False, False), ('"a""', True, True), ('"a""b",c', False, True), ('x,"', True, False), ('","', False, True), ('"a"b,"c', True, False)])
+@pytest.mark.parametrize("line,after_out,after_in", [("a,b", False, True), ('"a', True, False), ('a"', False, False), ('"a""', True, False), ('"a""b",c', False, False), ('x,"', True, False), ('","', False, True), ('"a"b,"c', True, True)])
 def test_line_states(line, after_out, after_in):
     """The state after a line, from outside and from inside quotes; the reader's expressions and Java's agree."""
     import pyarrow as pa
