@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def pk_key(columns: list[str]) -> Column:
-    """Length-prefixed, NULL-safe text of the key columns: two different keys never give one text."""
+    """Length-prefixed text of the key columns: different keys give different texts, but for NULL, which counts as the text <NULL>."""
     parts: list[Column] = []
     for name in columns:
         text = F.coalesce(F.col(f"`{name}`").cast("string"), F.lit("<NULL>"))

@@ -14,7 +14,7 @@ from .functions.keys import pk_key
 from .operators import keyindex, quality
 from .operators.dedup import append_unique, keep_first
 from .operators.spatial import points_in_polygons, polygons
-from .plans import local, serving, validate, views, worker
+from .plans import clustered, local, serving, validate, views, worker
 from .plans.canonical import TX_SQL, geohash_sql, table, transactions
 from .plans.incremental import IncrementalViews
 from .sources import commits, files, tables
@@ -174,6 +174,30 @@ def filter_page(spark, sf_dir):
     return page.rows.select("id_mutation", "numero_disposition", "date_mutation", "valeur_fonciere")
 
 
+@query(ORACLE_SQL["filter_page"])
+def seek_page(spark, sf_dir):
+    """The same page by its place in a table kept in page order."""
+    kept = clustered.PagedTable(spark, files.scratch_path(spark, "paged"), PAGE_TIES)
+    kept.write(transactions(spark, sf_dir), 8)
+    return kept.page("07", 2, 50, "1996-01-01", "1999-12-31").select("id_mutation", "numero_disposition", "date_mutation", "valeur_fonciere")
+
+
+@query(f"WITH {TX_SQL} SELECT d AS code_departement, count(*) FILTER (code_departement = d) AS total FROM tx, (SELECT unnest(['03', '07', '24', 'none']) AS d) GROUP BY d")
+def seek_totals(spark, sf_dir):
+    """Totals of filters from the counts of the paged table."""
+    kept = clustered.PagedTable(spark, files.scratch_path(spark, "paged"), PAGE_TIES)
+    kept.write(transactions(spark, sf_dir), 8)
+    return spark.createDataFrame([(d, kept.total(d)) for d in ("03", "07", "24", "none")], "code_departement string, total long")
+
+
+@query(f"WITH {TX_SQL} SELECT id_mutation, numero_disposition, longitude, latitude, prix_m2 FROM tx WHERE longitude BETWEEN -1.5 AND 3.25 AND latitude BETWEEN 43.0 AND 47.5 AND year = 1997")
+def clustered_bbox(spark, sf_dir):
+    """The box query on rows laid out along a Z-curve."""
+    path = files.scratch_path(spark, "by-place")
+    clustered.write_by_place(transactions(spark, sf_dir), path, 8)
+    return serving.geo_bbox(spark.read.parquet(path), -1.5, 43.0, 3.25, 47.5, 1997).select("id_mutation", "numero_disposition", "longitude", "latitude", "prix_m2")
+
+
 @query(f"WITH {TX_SQL} SELECT nom_commune, round(avg(prix_m2), 4) AS avg_prix_m2, round(quantile_cont(prix_m2, 0.5), 4) AS median_prix_m2, count(*) AS n FROM tx WHERE code_departement = '07' AND year = 1997 AND prix_m2 IS NOT NULL GROUP BY nom_commune ORDER BY avg(prix_m2) DESC, nom_commune LIMIT 100")
 def agg_commune(spark, sf_dir):
     return rounded(serving.agg_commune(transactions(spark, sf_dir), "07", 1997), "avg_prix_m2", "median_prix_m2", digits=4)
