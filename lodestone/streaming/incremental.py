@@ -8,24 +8,28 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.keys import pk_key
-from ..operators.dedup import append_unique, keep_first
-from ..sources import files
+from ..operators import keyindex
+from ..operators.dedup import keep_first
+from ..sources import commits, files
 
 
-def append_batch(batch: DataFrame, batch_id: int, root: str, keys: list[str], order: list[str]) -> None:
-    """Append a batch's new rows under its number. A batch that is run again replaces its own folder."""
-    spark = batch.sparkSession
-    complete = batch.dropna(subset=keys).withColumn("_pk_hash", pk_key(keys))
-    own = f"batch={batch_id:010d}"
-    before = [f"{root}/data/{d}" for d in files.children(spark, f"{root}/data") if d.startswith("batch=") and d < own]
-    known = spark.read.parquet(*before).select(pk_key(keys).alias("_pk_hash")) if before else spark.createDataFrame([], "_pk_hash string")
-    append_unique(keep_first(complete, ["_pk_hash"], order), known).drop("_pk_hash").write.mode("overwrite").parquet(f"{root}/data/{own}")
+def append_batch(batch: DataFrame, batch_id: int, root: str, keys: list[str], order: list[str], buckets: int = keyindex.BUCKETS) -> int:
+    """Append a batch's new rows in a commit under its number; how many they are.
 
+    Known keys come from the table's bucketed index, so that a batch costs what it brings, however many came before.
+    A batch that is run again finds its commit and adds nothing.
+    """
+    spark, own = batch.sparkSession, f"batch-{batch_id:010d}"
+    if commits.exists(spark, root) and any(s["snapshot"].startswith(own) for s in commits.replay(spark, root).snapshots):
+        return 0
+    complete = batch.dropna(subset=keys).withColumn(keyindex.KEY, pk_key(keys))
+    return keyindex.append_new(keep_first(complete, [keyindex.KEY], order), root, keys, files.unique(own), buckets)
 
-def stream_append(spark: SparkSession, source: str, schema: T.StructType, root: str, keys: list[str], order: list[str], checkpoint: str, fmt: str = "parquet") -> StreamingQuery:
+
+def stream_append(spark: SparkSession, source: str, schema: T.StructType, root: str, keys: list[str], order: list[str], checkpoint: str, fmt: str = "parquet", buckets: int = keyindex.BUCKETS) -> StreamingQuery:
     """Load new files of a folder until there are none left."""
     rows = spark.readStream.format(fmt).schema(schema).load(source)
-    return rows.writeStream.foreachBatch(lambda df, n: append_batch(df, n, root, keys, order)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return rows.writeStream.foreachBatch(lambda df, n: append_batch(df, n, root, keys, order, buckets) and None).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def windowed_counts(events: DataFrame, time: str, group: str, value: str, width: str = "1 hour", late: str = "2 hours") -> DataFrame:

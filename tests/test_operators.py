@@ -16,9 +16,10 @@ from lodestone.operators.dedup import keep_first
 from lodestone.operators.quantiles import between, group_quantiles, order_statistics
 from lodestone.operators.spatial import edges_of, points_in_polygons, polygons, rings_of, with_edges
 from lodestone.plans import serving
+from lodestone.sources import tables
 from lodestone.sources.delimited import read_serving_rows
 from lodestone.sources.files import resolve_uri, scratch_path
-from lodestone.streaming.incremental import stream_append, windowed_counts
+from lodestone.streaming.incremental import append_batch, stream_append, windowed_counts
 
 
 @settings(max_examples=8, deadline=None)
@@ -107,8 +108,18 @@ def test_stream(spark, tmp_path):
     put = lambda rows: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
     for rows in ([(1, "a", 2), (1, "b", 1), (None, "n", 1)], [(1, "c", 1), (2, "d", 1)], [(2, "d", 1)]):
         put(rows)
-        stream_append(spark, source, schema, root, ["k"], ["o"], str(tmp_path / "cp")).awaitTermination()
-    assert sorted((r["k"], r["v"]) for r in spark.read.parquet(f"{root}/data").collect()) == [(1, "b"), (2, "d")]
+        stream_append(spark, source, schema, root, ["k"], ["o"], str(tmp_path / "cp"), buckets=4).awaitTermination()
+    assert sorted((r["k"], r["v"]) for r in tables.scan_snapshots(spark, root).collect()) == [(1, "b"), (2, "d")]
+
+
+def test_batch_run_again(spark, tmp_path):
+    """A batch whose commit was made, but not noted by the stream, adds nothing; nor does one that stopped before it count."""
+    root = str(tmp_path / "t")
+    df = lambda rows: spark.createDataFrame(rows, "k long, o long")
+    df([(9, 9)]).write.parquet(f"{root}/data/snapshot=batch-0000000000-lost")
+    assert [append_batch(df([(1, 1), (1, 2), (None, 3)]), 0, f"{root}2", ["k"], ["o"], 4) for _ in range(2)] == [1, 0]
+    assert append_batch(df([(1, 5), (2, 5)]), 1, f"{root}2", ["k"], ["o"], 4) == 1
+    assert sorted(tuple(r) for r in tables.scan_snapshots(spark, f"{root}2").collect()) == [(1, 1), (2, 5)]
 
 
 def test_windows(spark):
