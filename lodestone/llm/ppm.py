@@ -9,12 +9,12 @@ exact sum of -log2 of these, over every byte of the whole text; the shortest win
 As the statistics are frozen, each (context, byte) has one cost for each language: workers build a table
 from the counts once and sum looked-up costs, many texts at a time.
 
-The trees are fitted on a bounded sample: for each language documents in order of a hash of the id, up to
-about ``target_bytes`` of text. Every string of one to four bytes of that sample counts.
+The trees are fitted on a bounded sample: for each language pieces of its texts, drawn by a hash, of about
+``target_bytes`` in all. Every string of one to four bytes of that sample counts.
 
 ``keep_identified`` compares the best language's code with one by the text's own byte counts (order 0, learned on
-the way, so that short texts get the benefit of the doubt). A text whose best language needs over a bit a byte
-more goes: random letters, and texts of a language that was not learned.
+the way, so that short texts get the benefit of the doubt), as it stands or in small letters. A text whose best language needs over a bit a
+byte more goes: random letters, and texts of a language that was not learned.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0, and so is everything if
 no language was learned. Ties go to the name that sorts first. Repeated rows are scored each.
@@ -36,6 +36,8 @@ from .common import batch, cached, remainder, scratch, ship, slices, table
 
 LETTER = re.compile(r"[^\W\d_]")
 DEPTH = 3
+PIECE = 16_384  # bytes of a text that are drawn together
+FOLD_BELOW = 1.0  # bits saved a byte
 UND = "und"
 
 
@@ -131,11 +133,14 @@ class ContextTrees:
         """Bits a byte that the best language's code saves against the text's own byte counts; minus infinity without a letter."""
         out = [-np.inf] * len(texts)
         known = [i for i, t in enumerate(texts) if t and LETTER.search(t)] if self.languages else []
-        if known:
-            best = self.code_lengths([texts[i] for i in known]).min(1)
-            for i, bits in zip(known, best.tolist()):
-                data = texts[i].encode()
-                out[i] = (own_bits(data) - bits) / len(data)
+        # Text in capitals is as much of a language: where a text saves little, it is read in small letters as well.
+        for fold in (False, True):
+            some = [i for i in known if not fold or out[i] < FOLD_BELOW]
+            if some:
+                read = [texts[i].lower() if fold else texts[i] for i in some]
+                for i, t, bits in zip(some, read, self.code_lengths(read).min(1).tolist()):
+                    data = t.encode()
+                    out[i] = max(out[i], (own_bits(data) - bits) / len(data))
         return out
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
@@ -162,14 +167,17 @@ def train(docs: DataFrame, target_bytes: int = 3_000_000, min_context: int = 1)
     share = F.lit(None).cast("double")
     for lang, n in sizes.items():
         share = F.when(F.col("lang") == lang, F.lit(min(1.0, target_bytes / n))).otherwise(share)
-    sample = known.filter(F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 30)) < share * float(1 << 30))
+    # Pieces are drawn, not documents: a language of one huge text is learned as well, and rows without an id are told apart.
+    cut = known.select("lang", F.col("text").cast("binary").alias("text"), F.xxhash64("doc_id", "text").alias("own"), share.alias("share"))
+    drawn = cut.select("*", F.explode(F.sequence(F.lit(0), F.floor(F.octet_length("text") / PIECE).cast("int"))).alias("piece")).filter(F.pmod(F.xxhash64("own", "piece", F.lit(17)), F.lit(1 << 30)) < F.col("share") * float(1 << 30))
+    sample = drawn.select("lang", F.expr(f"substring(text, piece * {PIECE} + 1, {PIECE})").alias("text"))
     schema = pa.schema([("lang", pa.string()), ("length", pa.int32()), ("key", pa.int64()), ("n", pa.int64())])
 
     def count(batches):
         for b in slices(batches, chars=8_000_000):
             lang, text = b.column("lang").to_pylist(), b.column("text").to_pylist()
             for name in dict.fromkeys(lang):
-                parts = [np.frombuffer(t.encode(), np.uint8).astype(np.int64) for t, x in zip(text, lang) if x == name]
+                parts = [np.frombuffer(t, np.uint8).astype(np.int64) for t, x in zip(text, lang) if x == name]
                 for length in range(1, DEPTH + 2):
                     keys = [sum(p[i : len(p) - length + 1 + i] << (8 * (length - 1 - i)) for i in range(length)) for p in parts if len(p) >= length]
                     if keys:

@@ -325,6 +325,36 @@ def test_ppm(spark, hostile, empty):
 SPECIAL = st.lists(st.sampled_from([*chat.CONTROL, "\\", "<", "[", "/s>", "INST]", "a", "\n", "<<"]), max_size=8).map("".join)
 
 
+def _language(r, letters, n):
+    pool = ["".join(r.choice(letters) for _ in range(r.randrange(2, 9))) for _ in range(300)]
+    return [" ".join(r.choice(pool) for _ in range(r.randrange(8, 60))) for _ in range(n)]
+
+
+def test_a_language_of_one_huge_text_is_learned(spark):
+    """Its text is far beyond the share that is drawn; rows without an id are drawn one by one."""
+    r = random.Random(3)
+    one, two = _language(r, "aeinorstl", 60), " ".join(_language(r, "ukmzvyph", 900))
+    rows = [(i, t, "aa") for i, t in enumerate(one)] + [(77, two * 8, "bb")] + [(None, t, "cc") for t in _language(r, "wxqjgdf", 60)]
+    model = ppm.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), target_bytes=60_000)
+    assert model.languages == ["aa", "bb", "cc"]
+    total = [int(model.counts[x][1][1].sum()) for x in model.languages]
+    assert 30_000 < total[1] < 120_000 and total[2] > 5_000
+    assert model.predict([one[0], two[:300], rows[-1][1]])[0] == ["aa", "bb", "cc"]
+
+
+def test_language_stage_rejects_junk_only(spark):
+    """Random letters and a language that was not learned go; learned text stays, in capitals too, and no word of it goes."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = ppm.train(docs)
+    r = random.Random(4)
+    junk = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n)) for n in (60, 400, 4000)] + ["Все люди рождаются свободными и равными в своем достоинстве и правах.", "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan."]
+    clean = [x["text"] for x in docs.select("text").collect()]
+    rows = [(i, t) for i, t in enumerate(junk)] + [(100 + i, t) for i, t in enumerate(clean)] + [(9000 + i, t.upper()) for i, t in enumerate(clean[:40])] + [(9999, None), (9998, "12 34")]
+    kept = {x["doc_id"] for x in ppm.keep_identified(spark.createDataFrame(rows, "doc_id long, text string"), model).select("doc_id").collect()}
+    assert kept == {i for i, _ in rows} - {0, 1, 2, 3, 4, 9998, 9999}
+
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.tuples(st.sampled_from(["user", "assistant", "x\ny", "a\\n"]), SPECIAL), max_size=5))
 def test_chat_round_trip(turns):
