@@ -9,7 +9,8 @@ the bits that are left; no bit is made up.
 Equal codes are one entry with their k + 1 smallest ids, which is all that a top-k with ties by id can use;
 the entries are dealt to shards by hash. Queries, a stated set, pass each shard, and the shards' exact lists are
 merged. There are only as many shards, or blocks of queries where the shards are few, as tasks can run at a time
-(shards grow up to SHARD_MOST codes); so what is sent grows with the rows and not with their square.
+(shards grow up to SHARD_MOST codes); so what is sent grows with the rows and not with their square up to that many
+shards of that size. Beyond, every query still goes to every shard: visits grow as queries times codes / SHARD_MOST.
 
 Defined results: vectors without values have no code, are not found and find nothing; nulls and values that are not
 numbers give a 0 bit. Only vectors of equal length are compared. Rows without an id are left out. A vector does not
