@@ -112,8 +112,9 @@ def _scan(delimiter: str):
 
 
 def split_table(spark: SparkSession, path: str, delimiter: str) -> DataFrame:
-    """(_path, _start, inside, index, base): the state in which a split begins, the records of its file that begin
-    before it, and the rows of all files before, which are read in order of their paths and each have a header.
+    """(_path, _start, inside, crosses, index, base): the state in which a split begins, whether a record crosses one of
+    its ends, the records of its file that begin before it, and the rows of all files before, which are read in order
+    of their paths and each have a header.
     """
     files.ship(spark)
     lines = lines_of(spark, path).withColumn("value", F.col("value").cast("binary"))
@@ -126,11 +127,12 @@ def split_table(spark: SparkSession, path: str, delimiter: str) -> DataFrame:
     # The last split that fixed the state, and the turns since then.
     told = told.withColumns({"anchor": F.last(F.when(F.col("fixed").isNotNull(), F.struct("fixed", "turns")), True).over(earlier), "all": F.coalesce(F.max("turns").over(earlier), F.lit(0))})
     inside = (F.coalesce("anchor.fixed", F.lit(0)) + F.col("all") - F.coalesce("anchor.turns", F.lit(0))) % 2 == 1
-    begun = told.withColumn("inside", inside).withColumn("begun", F.when(F.col("inside"), F.col("begun_1")).otherwise(F.col("begun_0")))
+    crosses = F.col("inside") | F.when(F.col("inside"), F.col("after_1")).otherwise(F.col("after_0"))
+    begun = told.withColumn("inside", inside).withColumn("crosses", crosses).withColumn("begun", F.when(F.col("inside"), F.col("begun_1")).otherwise(F.col("begun_0")))
     placed = begun.withColumn("index", F.coalesce(F.sum("begun").over(earlier), F.lit(0)))
     rows = placed.groupBy("_path").agg(F.greatest(F.sum("begun") - 1, F.lit(0)).alias("rows"))
     base = rows.select("_path", F.coalesce(F.sum("rows").over(Window.orderBy("_path").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    return files.materialize(placed.join(base, "_path").select("_path", "_start", "inside", "index", "base"), "split-table")
+    return files.materialize(placed.join(base, "_path").select("_path", "_start", "inside", "crosses", "index", "base"), "split-table")
 
 
 PIECE = pa.schema([("_path", pa.string()), ("_start", pa.int64()), ("place", pa.int64()), ("kind", pa.int8()), ("record", pa.binary())])
@@ -182,21 +184,26 @@ def records(spark: SparkSession, path: str, delimiter: str = ",") -> DataFrame:
     """(row_number, record): the text of each record but the files' headers, numbered from 1 in file order."""
     table = split_table(spark, path, delimiter)
     few = table.count() <= BROADCAST_SPLITS
-    told = F.broadcast(table) if few else table
+    beside = F.broadcast if few else lambda splits: splits  # a broadcast join keeps the order of the lines
     lines = lines_of(spark, path)
     if not few:
         lines = lines.withColumn("_at", F.monotonically_increasing_id())
-    begun = lines.join(told.select("_path", "_start", "inside"), ["_path", "_start"])
-    begun = begun if few else begun.repartition("_path", "_start").sortWithinPartitions("_path", "_start", "_at")
-    pieces = begun.select("_path", "_start", F.col("value").cast("binary").alias("value"), "inside").mapInArrow(_assemble(delimiter), "_path string, _start long, place long, kind byte, record binary")
-    # Two pieces a split at most cross its ends. A record is a tail with the heads up to the next one.
-    crossing = files.materialize(pieces.filter(F.col("kind") > WHOLE), "crossing")
+
+    def pieces(splits: DataFrame) -> DataFrame:
+        begun = lines.join(beside(splits.select("_path", "_start", "inside")), ["_path", "_start"])
+        begun = begun if few else begun.repartition("_path", "_start").sortWithinPartitions("_path", "_start", "_at")
+        values = begun.select("_path", "_start", F.col("value").cast("binary").alias("value"), "inside")
+        return values.mapInArrow(_assemble(delimiter), "_path string, _start long, place long, kind byte, record binary")
+
+    # Two pieces a split at most cross its ends, and only some splits have any. A record is a tail with the heads up to
+    # the next one.
+    crossing = files.materialize(pieces(table.filter("crosses")).filter(F.col("kind") > WHOLE), "crossing")
     tails = F.sum(F.when(F.col("kind") == TAIL, 1).otherwise(0)).over(Window.partitionBy("_path").orderBy("_start", "kind_order"))
     marked = crossing.withColumn("kind_order", F.when(F.col("kind") == HEAD, 0).otherwise(1)).withColumn("of", tails)
     whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_start", F.col("record").cast("string").alias("text")))), lambda x: x["text"]), "\n").cast("binary")
     joined = marked.groupBy("_path", "of").agg(F.min(F.struct("_start", "place")).alias("first"), whole.alias("record")).select("_path", F.col("first._start").alias("_start"), F.col("first.place").alias("place"), "record")
-    every = pieces.filter(F.col("kind") == WHOLE).select("_path", "_start", "place", "record").unionByName(joined)
-    numbered = every.join(told.select("_path", "_start", "index", "base"), ["_path", "_start"]).withColumn("_of_file", F.col("index") + F.col("place")).filter("_of_file > 0")
+    every = pieces(table).filter(F.col("kind") == WHOLE).select("_path", "_start", "place", "record").unionByName(joined)
+    numbered = every.join(beside(table.select("_path", "_start", "index", "base")), ["_path", "_start"]).withColumn("_of_file", F.col("index") + F.col("place")).filter("_of_file > 0")
     return numbered.select((F.col("base") + F.col("_of_file")).alias("row_number"), F.regexp_replace(F.col("record").cast("string"), r"\r\z", "").alias("record"))
 
 

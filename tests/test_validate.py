@@ -186,3 +186,15 @@ def test_line_states(line, after_out, after_in):
 
     states = quoted.States(",")
     assert [states.opens(pa.array([line.encode()]), s)[1] for s in (False, True)] == [after_out, after_in]
+
+
+def test_more_splits_than_are_broadcast(spark, tmp_path, monkeypatch):
+    """The split table is joined then, and lines are put in order again."""
+    (tmp_path / "a.csv").write_text("a,b\n" + "".join(f'{i},"x{i}\n\n,{i}"\n' for i in range(300)))
+    monkeypatch.setattr(quoted, "BROADCAST_SPLITS", 0)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 500)
+    try:
+        got = [tuple(r) for r in read_numbered(spark, str(tmp_path))[1].orderBy("row_number").collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == [(str(i), f"x{i}\n\n,{i}", i + 1) for i in range(300)]
