@@ -172,3 +172,36 @@ def test_tables_from_before_the_log(spark, tmp_path):
     assert ids_of(tables.scan_snapshots(spark, root)) == [1, 2]
     assert keyindex.append_new(keyed(rows(spark, [2, 3])), root, ["id"], "new", 4) == 1
     assert ids_of(tables.scan_snapshots(spark, root)) == [1, 2, 3]
+
+
+def test_a_run_reads_its_source_once(spark, tmp_path):
+    """Of all executions of a run one scans the delimited file, but for counting its lines, and one the stored rows of the origin."""
+    from test_mapping import request
+
+    from lodestone.plans import worker
+
+    path = tmp_path / "in.csv"
+    path.write_text("id;n;t\n" + "".join(f"{i};{i if i % 3 else 'x'};t{i}\n" for i in range(50)))
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    out = worker.run(spark, request(tmp_path, path, rules=[{"column": "n", "op": ">", "value": 10}]))
+    assert (out.ori_rows, out.dest_rows) == (50, 33) and len(out.error_samples) == 17 + 7
+    listed, plans = store.executionsList(), []
+    for i in range(before, listed.size()):
+        plans.append(listed.apply(i).physicalPlanDescription())
+    assert sum("/ns/b/data/snapshot=" in p and "Scan parquet" in p and "__row" in p for p in plans) == 1
+    assert [s["row_no"] for s in out.error_samples] == list(range(24))
+
+
+def test_observed_totals(spark):
+    from lodestone.operators import quality
+
+    frame = spark.range(100).selectExpr("id AS __row", "id % 3 > 0 AS __accept", "IF(id % 5 > 0, id, NULL) AS k", "id % 7 = 0 AS __v_0", "CAST(NULL AS boolean) AS __v_1")
+    watched = quality.Observed(frame, 2, ["k"])
+    watched.frame.write.format("noop").mode("overwrite").save()
+    assert watched.totals() == quality.totals(frame, 2, ["k"]) == {"rows": 100, "accepted": 66, "complete": 53, "violations": [15, 0]}
+    assert {tuple(r) for r in quality.summary(frame, ["a", "b"]).collect()} == {("a", 15, 100), ("b", 0, 100)}
+    stored = frame.select("__row", quality.sample_text(2, ["k"]).alias("__sample"))
+    first = quality.invalid_samples(stored, 3)
+    assert [(s["row_no"], s["source_values"]["k"]) for s in first] == [(0, None), (1, 3), (2, 6)]
+    assert "TakeOrderedAndProject" in quality.first_samples(stored, 3)._jdf.queryExecution().executedPlan().toString()
