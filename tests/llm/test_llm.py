@@ -217,6 +217,49 @@ def test_near_fingerprints_of_documents(spark):
     assert simhash.near_fingerprints(df.limit(0), df).count() == 0 and simhash.with_near(df.filter("fingerprint IS NULL")).first()["n_near"] == 0
 
 
+def test_likeness_equals_plain_simhash(spark, hostile):
+    """near_edited and near_next of every row, the votes counted one by one in Python."""
+    import re
+
+    import xxhash
+
+    def plain(text):
+        w = [x.encode() for x in re.split(r"[ \t\n\x0b\f\r]+", text.lower())]
+        votes = [0] * 128
+        for a, b in zip(w, [*w[1:], None]):
+            h = xxhash.xxh64_intdigest(a, 42)
+            h = h if b is None else xxhash.xxh64_intdigest(b, h)
+            h = h << 64 | xxhash.xxh64_intdigest(h.to_bytes(8, "little"), 42)
+            for k in range(128):
+                votes[k] += 1 if h >> k & 1 else -1
+        return sum(1 << k for k, v in enumerate(votes) if v > 0)
+
+    df, rows = hostile
+    order = sorted(rows, key=lambda r: (-(r[0] if r[0] is not None else -(1 << 63)), r[1] or ""))
+    texts, want = [t or "" for _, t in order], []
+    for k, (i, _) in enumerate(order):
+        t, after = texts[k], texts[(k + 1) % len(texts)]
+        n = len(t)
+        own, edited, next_ = plain(t), plain(t[: n - n // 3] + after[: n // 3]), plain(after)
+        want.append((i, f"{own:032x}", f"{edited:032x}", 1 - (own ^ edited).bit_count() / 128, 1 - (own ^ next_).bit_count() / 128))
+    got = simhash.fingerprint_documents(df, 5).select("doc_id", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+    assert rows_of(got) == sorted(want, key=repr)
+
+
+@pytest.mark.parametrize("radius, hot", [(3, 8), (3, 40), (3, 10_000), (2, 8), (1, 8)])
+def test_near_counts_of_families(spark, radius, hot):
+    """Families of many near fingerprints, counted by pairs and by points, with pairs that meet in one table only."""
+    r = random.Random(8)
+    off = lambda x, bits, most: x ^ sum(1 << k for k in r.sample(bits, r.randrange(most + 1)))
+    one, two, three = (r.getrandbits(128) for _ in range(3))
+    every = {off(one, range(128), 3) for _ in range(120)} | {off(two, range(40, 60), 6) for _ in range(200)} | {off(three, [0, 1, 126, 127], 4) for _ in range(60)}
+    every |= {off(x, range(128), 4) for x in r.sample(sorted(every), 60)} | {r.getrandbits(128) for _ in range(60)}
+    df = spark.createDataFrame([(f"{p:032x}",) for p in [*every, *list(every)[:9]]] + [(None,)], "fingerprint string")
+    got = {int(x["fingerprint"], 16): x["n_near"] for x in simhash.near_counts(df, radius, hot=hot).collect()}
+    want = {a: sum(0 < (a ^ b).bit_count() <= radius for b in every) for a in every}
+    assert got == {a: n for a, n in want.items() if n}
+
+
 def test_successors_in_fine_buckets(spark, monkeypatch):
     monkeypatch.setattr(simhash, "CUTS", 3)
     r = random.Random(8)
