@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batch, scratch, ship, slices, table
+from .common import batch, discard, scratch, ship, slices, table
 
 START, END = "<|im_start|>", "<|im_end|>"
 #: The control strings of common chat templates.
@@ -82,9 +82,10 @@ def choose_paths(messages: DataFrame, top: int = 1) -> DataFrame:
     ends = first.join(linked.select("tree", "node"), ["tree", "node"], "left_anti").withColumn("anc", F.lit(None).cast("long"))
     # Messages leave the rounds as soon as their root is known; of those only the trees that go on are asked again.
     level, levels, finished = scratch(linked, "chat-jump"), [], [scratch(ends, "chat-ends")]
-    settled = finished[0]
+    settled, used = finished[0], [level, finished[0]]
     # A message that has as many steps behind it as its tree has messages is in a cycle, or hangs from one, and goes.
     sizes = scratch(nodes.groupBy("tree").agg(F.count("*").alias("size")), "chat-sizes")
+    used.append(sizes)
     while not level.isEmpty():
         levels.append(level)
         up = level.unionByName(settled).select("tree", F.col("node").alias("anc"), F.col("anc").alias("far"), F.col("total").alias("more"), F.col("depth").alias("steps"))
@@ -93,6 +94,7 @@ def choose_paths(messages: DataFrame, top: int = 1) -> DataFrame:
         level = scratch(step.filter("anc IS NOT NULL").join(sizes, "tree").filter(F.col("depth") < F.col("size")).select(step.columns), "chat-level")
         finished.append(ended)
         settled = scratch(settled.unionByName(ended).join(level.select("tree").distinct(), "tree", "left_semi").select(ended.columns), "chat-settled")
+        used += [step, level, settled]
     whole = finished[0]
     for part in finished[1:]:
         whole = whole.unionByName(part)
@@ -100,10 +102,11 @@ def choose_paths(messages: DataFrame, top: int = 1) -> DataFrame:
     leaves = whole.join(answered, ["tree", "node"], "left_anti")
     mean = F.col("total") / F.col("depth")
     best = leaves.withColumn("rank", F.row_number().over(Window.partitionBy("tree").orderBy(mean.desc(), "node"))).filter(F.col("rank") <= top)
-    paths = best.select("tree", F.col("node").alias("leaf"), "rank", "node", F.lit(0).cast("long").alias("pos"))
+    paths = scratch(best.select("tree", F.col("node").alias("leaf"), "rank", "node", F.lit(0).cast("long").alias("pos")), "chat-path")
     for i, jump in enumerate(levels):
-        step = jump.select("tree", "node", "anc")
+        step, used = jump.select("tree", "node", "anc"), [*used, paths]
         paths = scratch(paths.unionByName(paths.join(step, ["tree", "node"]).select("tree", "leaf", "rank", F.col("anc").alias("node"), (F.col("pos") + (1 << i)).alias("pos"))), "chat-path")
+    discard(*used)
     return paths.join(nodes.select("tree", "node", "role", "text"), ["tree", "node"]).select("tree", "leaf", "rank", "pos", "role", "text")
 
 

@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, remainder, scratch, ship, slices, table
+from .common import batch, discard, remainder, scratch, ship, slices, table
 
 WORD = re.compile(r"[^\W\d_]+")
 SENTENCE = re.compile(r"[^.!?\n\r]+")
@@ -151,6 +151,7 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = 8000, max_words: i
 
     n, pos = sample.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if not pos or pos == n:
+        discard(sample)
         return NoisyOr() if not pos else NoisyOr(bias=2.0)
     rate = pos / n
     table_of = sample.select("text", "toxic").mapInArrow(words_of, "word string, toxic int").groupBy("word").agg(F.count("*").alias("n"), F.sum("toxic").alias("k"))
@@ -170,6 +171,7 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = 8000, max_words: i
             yield batch({"doc_id": b.column("doc_id"), "toxic": b.column("toxic"), "n": count, "hits": hits}, bag_schema)
 
     bags = sample.mapInArrow(bags_of, "doc_id long, toxic int, n int, hits array<array<int>>").collect()
+    discard(sample)
     return fit([(r["toxic"], r["n"], r["hits"]) for r in sorted(bags)], chosen_words)
 
 

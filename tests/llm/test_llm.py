@@ -415,6 +415,27 @@ def test_reply_trees(spark):
     assert got == {(1, 1): ["a", "b", "d"], (1, 2): ["a", "c"], (3, 1): [""], (4, 1): [f"t{i}" for i in range(37)]}
 
 
+def test_reply_forests_equal_enumeration(spark):
+    """Random forests with scores: the best paths of each tree are those of plain enumeration."""
+    r = random.Random(12)
+    rows, want = [], []
+    for tree in range(25):
+        n = r.randrange(1, 30)
+        parent = {k: (r.randrange(k) if k and r.random() < 0.9 else None) for k in range(n)}
+        score = {k: r.choice([0.0, 0.25, 0.5, 1.0]) for k in range(n)}
+        rows += [(tree, k, parent[k], r.choice(["user", "assistant"]), f"t{tree}-{k}", score[k]) for k in range(n)]
+        paths = []
+        for leaf in set(range(n)) - set(parent.values()):
+            path = [leaf]
+            while parent[path[-1]] is not None:
+                path.append(parent[path[-1]])
+            paths.append((-sum(score[k] for k in path) / len(path), leaf, path))
+        for rank, (_, leaf, path) in enumerate(sorted(paths)[:3], 1):
+            want += [(tree, leaf, rank, pos, f"t{tree}-{k}") for pos, k in enumerate(path)]
+    df = spark.createDataFrame(rows, "tree long, node long, parent long, role string, text string, score double")
+    assert rows_of(chat.choose_paths(df, top=3).select("tree", "leaf", "rank", "pos", "text")) == sorted(want, key=repr)
+
+
 def test_conversations(spark):
     rows = [(1, 0, "user", "q"), (1, 1, "assistant", None), (1, 1, "assistant", "two"), (2, 5, None, "</s>\\"), (None, 0, "user", "n")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
