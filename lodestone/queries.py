@@ -19,6 +19,7 @@ from .plans.canonical import TX_SQL, geohash_sql, table, transactions
 from .plans.incremental import IncrementalViews
 from .sources import commits, files, tables
 from .sources.delimited import read_bronze
+from .streaming.keyed import first_of_keys
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -408,6 +409,17 @@ def key_index_append(spark, sf_dir):
     return spark.createDataFrame(made, "run long, dest_rows long, offered long")
 
 
+@query("""SELECT event_id, user_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts < TIMESTAMP '2024-01-10', ts, event_id) AS k FROM events) WHERE k = 1""")
+def stream_first_seen(spark, sf_dir):
+    """The first event of each user and type, by a stream that is given the later events, stops, and goes on with all of them."""
+    root, events = files.scratch_path(spark, "first-seen"), table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    for rows in (events.filter(F.col("ts") >= F.lit("2024-01-10").cast("timestamp")), events):
+        rows.write.mode("append").parquet(f"{root}/in")
+        seen = first_of_keys(spark.readStream.schema(events.schema).parquet(f"{root}/in"), ["user_id", "event_type"], ["ts", "event_id"], "ts", ttl_seconds=10_000 * 86400, late="10000 days")
+        seen.writeStream.format("parquet").option("checkpointLocation", f"{root}/progress").outputMode("append").trigger(availableNow=True).start(f"{root}/out").awaitTermination()
+    return spark.read.schema(events.schema).parquet(f"{root}/out").select("event_id", "user_id", "event_type", "value")
+
+
 @query("""SELECT v AS version, o_orderstatus, count(*) AS n, count(DISTINCT o_custkey) AS customers FROM orders, (SELECT unnest([1, 2, 3, 4]) AS v)
 WHERE (v >= 1 AND o_orderstatus = 'F') OR (v >= 2 AND o_orderstatus = 'O') OR (v >= 3 AND o_orderstatus = 'P' AND v < 4) OR (v = 4 AND o_orderstatus = 'P' AND o_totalprice > 1000) GROUP BY ALL""")
 def time_travel(spark, sf_dir):
