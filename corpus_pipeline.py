@@ -1,11 +1,12 @@
 """The corpus pipeline: toxicity, language, near duplicates, repeated passages, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and read again as
-the next one's docs. All but the last return the columns of documents.
+the next one's docs. All but the last return the columns of documents. No stage reads ``documents`` of ``sf_dir``
+by itself: models are fitted on docs.
 
-- toxicity: a model trained from the labels of ``sf_dir`` on its documents' whole texts; documents that score
+- toxicity: a model trained from the labels of ``sf_dir`` on the whole texts of docs; documents that score
   0.5 or more go.
-- language: context trees trained on the documents of ``sf_dir`` that have a language; documents go whose
+- language: context trees trained on those of docs that have a language; documents go whose
   best language needs over a bit a byte more than their own byte counts would, and those without a letter.
 - near_duplicates: of documents linked at a Jaccard similarity of 0.75 over five-word shingles the one with
   the smallest id stays.
@@ -24,12 +25,11 @@ from lodestone.llm.common import discard, scratch, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = toxicity.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return toxicity.drop_toxic(docs, model)
+    return toxicity.drop_toxic(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return ppm.keep_identified(docs, ppm.train(table(spark, sf_dir, "documents")))
+    return ppm.keep_identified(docs, ppm.train(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
