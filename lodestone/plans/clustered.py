@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 BITS = 16
+TASK_ROWS = 500_000  # rows that one task sorts and writes, about 200 MB of them
 
 
 def z_order(*places: Column, bits: int = BITS) -> Column:
@@ -36,10 +37,15 @@ def place_key() -> Column:
     return z_order(step("longitude", -180.0, 360.0), step("latitude", -90.0, 180.0), days)
 
 
+def dealt_over(rows: DataFrame, partitions: int | None) -> int:
+    """How many tasks sort the rows: ``partitions`` at least, and as many as TASK_ROWS asks for, so that none grows with the table."""
+    return max(partitions or 1, -(-rows.count() // TASK_ROWS))
+
+
 def write_by_place(rows: DataFrame, path: str, partitions: int | None = None, group_bytes: int = 1 << 23) -> None:
-    """Write the rows along the curve. Rows of one place are told apart by a hash, so a hot one spreads over files."""
+    """Write the rows along the curve by ``partitions`` tasks or more. Rows of one place are told apart by a hash, so a hot one spreads over files."""
     keyed = rows.withColumns({"_z": place_key(), "_tie": F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns])})
-    dealt = keyed.repartitionByRange(*([partitions] if partitions else []), "_z", "_tie").sortWithinPartitions("_z")
+    dealt = keyed.repartitionByRange(dealt_over(rows, partitions), "_z", "_tie").sortWithinPartitions("_z")
     writer = dealt.drop("_z", "_tie").write.mode("overwrite").option("compression", "zstd")
     writer.option("parquet.block.size", group_bytes).option("parquet.bloom.filter.enabled#code_departement", "true").parquet(path)
 
@@ -53,8 +59,9 @@ class PagedTable:
     ties: tuple[str, ...] = ("id_mutation", "numero_disposition")
 
     def write(self, rows: DataFrame, partitions: int | None = None, file_rows: int = 1_000_000) -> None:
+        """Write the rows by ``partitions`` tasks or more, and count them."""
         order = [F.asc("code_departement"), F.desc("date_mutation"), *[F.asc(c) for c in self.ties]]
-        dealt = rows.repartitionByRange(*([partitions] if partitions else []), *order).sortWithinPartitions(*order)
+        dealt = rows.repartitionByRange(dealt_over(rows, partitions), *order).sortWithinPartitions(*order)
         dealt.write.mode("overwrite").option("compression", "zstd").option("maxRecordsPerFile", file_rows).parquet(f"{self.path}/rows")
         # Files are named in the order of their ranges, and rows are numbered in them.
         placed = self._rows().select("code_departement", "date_mutation", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
