@@ -537,7 +537,7 @@ def bronze_quoted(spark, sf_dir):
     path = files.scratch_path(spark, "bronze-quoted")
     note = F.when(F.col("o_orderkey") % 3 > 0, F.concat("o_orderpriority", F.lit('\n\n, "'), "o_custkey", F.lit('"'))).otherwise('5" pipe')
     rows = table(spark, sf_dir, "orders").select("o_orderkey", note.alias("note"), F.when(F.col("o_orderkey") % 7 > 0, F.col("o_orderstatus")).alias("o_orderstatus"))
-    rows.repartitionByRange(4, "o_orderkey").sortWithinPartitions("o_orderkey").write.option("header", True).option("escape", '"').csv(path)
+    rows.repartitionByRange(clustered.dealt_over(rows, 4), "o_orderkey").sortWithinPartitions("o_orderkey").write.option("header", True).option("escape", '"').csv(path)
     return read_bronze(spark, path, "2024-01-01").drop("source_file", "ingest_date")
 
 

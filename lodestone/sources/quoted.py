@@ -139,22 +139,36 @@ PIECE = pa.schema([("_path", pa.string()), ("_start", pa.int64()), ("place", pa.
 WHOLE, TAIL, HEAD = 0, 1, 2
 
 
-def _assemble(delimiter: str):
-    """Each split's records with their places: whole ones, the last one's beginning (TAIL), the end of one before (HEAD)."""
+def _assemble(delimiter: str, crossing: bool = False):
+    """Each split's records with their places: whole ones, the last one's beginning (TAIL), the end of one before (HEAD).
 
-    def piece(key, place, kind, held):
-        return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((*key, place, kind, b"\n".join(held)), PIECE)], schema=PIECE)
+    ``crossing``: only those that cross the ends of splits. The records of several lines of an input batch go on together.
+    """
 
     def run(batches):
         import numpy as np
 
         states, key, inside, count, held, kind = States(delimiter), None, False, 0, [], WHOLE
+        made = [[] for _ in PIECE]
+
+        def piece(place):
+            if kind != WHOLE or not crossing:
+                for column, v in zip(made, (*key, place, kind, b"\n".join(held))):
+                    column.append(v)
+
+        def flush():
+            if made[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(made, PIECE)], schema=PIECE)
+                for column in made:
+                    column.clear()
+
         for b in batches:
             at = 0
             for path, start, values in _runs(b):
                 if (path, start) != key:
                     if held:
-                        yield piece(key, count - 1, TAIL if kind == WHOLE else HEAD, held)
+                        kind = TAIL if kind == WHOLE else HEAD
+                        piece(count - 1)
                     key, count, held = (path, start), 0, []
                     inside = b.column(3)[at].as_py()
                     kind = HEAD if inside else WHOLE
@@ -165,17 +179,20 @@ def _assemble(delimiter: str):
                 number = count - 1 + np.cumsum(begins)
                 single = np.flatnonzero(begins & ~goes_on)
                 n = len(single)
-                if n:
+                if n and not crossing:
                     yield pa.RecordBatch.from_arrays([pa.array([path] * n), pa.array([start] * n, pa.int64()), pa.array(number[single]), pa.array([WHOLE] * n, pa.int8()), values.take(pa.array(single))], schema=PIECE)
                 several = np.flatnonzero(open_ | (begins & goes_on))
                 for line, of, more in zip(values.take(pa.array(several)).to_pylist(), number[several].tolist(), goes_on[several].tolist()):
                     held.append(line)
                     if not more:
-                        yield piece(key, of, kind, held)
+                        piece(of)
                         held, kind = [], WHOLE
                 count, inside = int(number[-1]) + 1, after
+            yield from flush()
         if held:
-            yield piece(key, count - 1, TAIL if kind == WHOLE else HEAD, held)
+            kind = TAIL if kind == WHOLE else HEAD
+            piece(count - 1)
+        yield from flush()
 
     return run
 
@@ -189,15 +206,15 @@ def records(spark: SparkSession, path: str, delimiter: str = ",") -> DataFrame:
     if not few:
         lines = lines.withColumn("_at", F.monotonically_increasing_id())
 
-    def pieces(splits: DataFrame) -> DataFrame:
+    def pieces(splits: DataFrame, crossing: bool = False) -> DataFrame:
         begun = lines.join(beside(splits.select("_path", "_start", "inside")), ["_path", "_start"])
         begun = begun if few else begun.repartition("_path", "_start").sortWithinPartitions("_path", "_start", "_at")
         values = begun.select("_path", "_start", F.col("value").cast("binary").alias("value"), "inside")
-        return values.mapInArrow(_assemble(delimiter), "_path string, _start long, place long, kind byte, record binary")
+        return values.mapInArrow(_assemble(delimiter, crossing), "_path string, _start long, place long, kind byte, record binary")
 
     # Two pieces a split at most cross its ends, and only some splits have any. A record is a tail with the heads up to
     # the next one.
-    crossing = files.materialize(pieces(table.filter("crosses")).filter(F.col("kind") > WHOLE), "crossing")
+    crossing = files.materialize(pieces(table.filter("crosses"), True), "crossing")
     tails = F.sum(F.when(F.col("kind") == TAIL, 1).otherwise(0)).over(Window.partitionBy("_path").orderBy("_start", "kind_order"))
     marked = crossing.withColumn("kind_order", F.when(F.col("kind") == HEAD, 0).otherwise(1)).withColumn("of", tails)
     whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_start", F.col("record").cast("string").alias("text")))), lambda x: x["text"]), "\n").cast("binary")
