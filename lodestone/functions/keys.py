@@ -15,6 +15,15 @@ def pk_key(columns: list[str]) -> Column:
     return F.concat(*parts)
 
 
+def joined_key(parts: list[Column]) -> Column:
+    """The parts joined by bars; a NULL part counts as empty text."""
+    return F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts])
+
+
 def digest_key(parts: list[Column]) -> Column:
-    """SHA-256 of the parts joined by bars; a NULL part counts as empty text."""
-    return F.unhex(F.sha2(F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]), 256))
+    """SHA-256 of the joined parts."""
+    return digest(joined_key(parts))
+
+
+def digest(text: Column) -> Column:
+    return F.unhex(F.sha2(text, 256))

@@ -43,7 +43,7 @@ def stage_path(root: str, stage: str, dataset: str, ingest_date: str) -> str:
 def ingest(spark: SparkSession, dataset: str, source: str, ingest_date: str, root: str, multiline: bool | None = None) -> IngestStats:
     """Delimited text to Bronze; a date's rows are replaced."""
     path = stage_path(root, "bronze", dataset, ingest_date)
-    read_bronze(spark, files.resolve_uri(source), ingest_date, multiline=multiline).drop("ingest_date").write.mode("overwrite").parquet(path)
+    read_bronze(spark, files.resolve_uri(source), ingest_date, multiline=multiline).drop("ingest_date").write.mode("overwrite").option("compression", "zstd").parquet(path)
     parts = [p for p in files.walk(spark, path) if p.endswith(".parquet")]
     fs, target = files._fs(spark, path)
     return IngestStats(spark.read.parquet(path).count(), fs.getContentSummary(target).getLength(), len(parts))
@@ -60,8 +60,8 @@ def validate(spark: SparkSession, dataset: str, ingest_date: str, root: str, **o
     # Judging a row takes a few of its columns; doing so for Silver and for Rejects costs less than storing all rows between.
     made = V.validate(bronze, **options)
     silver, rejects = stage_path(root, "silver", dataset, ingest_date), stage_path(root, "rejects", dataset, ingest_date)
-    made.silver.write.mode("overwrite").parquet(silver)
-    made.rejects.drop("ingest_date").write.mode("overwrite").parquet(rejects)
+    made.silver.write.mode("overwrite").option("compression", "zstd").parquet(silver)
+    made.rejects.drop("ingest_date").write.mode("overwrite").option("compression", "zstd").parquet(rejects)
     rows_in, rows_out, bad = (spark.read.parquet(p).count() for p in (stage_path(root, "bronze", dataset, ingest_date), silver, rejects))
     return ValidateStats(rows_in, rows_out, bad, rows_in - rows_out - bad)
 

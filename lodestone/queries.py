@@ -443,8 +443,9 @@ FAULT = "(l_orderkey * 7 + l_linenumber * 3 + l_partkey) % 23"
 def _bronze(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text rows of the raw layout made of lineitem, with faults in about a third of them."""
     line, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
-    # The table's file is one or two row groups; text of this size would come in as many splits as there are cores.
-    rows = line.join(orders, line.l_orderkey == orders.o_orderkey).repartition(spark.sparkContext.defaultParallelism, "l_orderkey", "l_linenumber")
+    # The table's file is one or two row groups; text of this size would come in as many splits as there are cores. The
+    # lines are dealt by the join's key, so that they are shuffled once, for the join as well.
+    rows = line.repartition("l_orderkey").join(orders, line.l_orderkey == orders.o_orderkey)
     m = F.expr(FAULT)
     text = lambda c: F.col(c).cast("string")
     cents = F.round(F.col("l_extendedprice") * 100).cast("long")
@@ -577,7 +578,7 @@ def page_total(spark, sf_dir):
 def _layered(spark: SparkSession, sf_dir: str) -> tuple[str, tuple]:
     """The raw rows as text through ingest, validate and curate; the folder and each stage's numbers."""
     work = files.scratch_path(spark, "layers")
-    _bronze(spark, sf_dir).select(*validate.S.RAW_COLUMNS).write.option("header", True).csv(f"{work}/raw")
+    _bronze(spark, sf_dir).select(*validate.S.RAW_COLUMNS).write.option("header", True).option("compression", "gzip").csv(f"{work}/raw")
     root = files.resolve_uri(f"{work}/out")
     a = local.ingest(spark, "dvf", f"{work}/raw", "2024-01-01", root)
     b = local.validate(spark, "dvf", "2024-01-01", root)

@@ -6,19 +6,21 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import blank_to_null, norm_text
-from . import quoted
+from . import files, quoted
 
 
 def with_row_numbers(df: DataFrame, name: str = "row_number") -> DataFrame:
     """Number the rows of a file scan from 1, in file order, without leaving the JVM.
 
     A split's rows are consecutive in its task, so a row's place there follows from the monotonic id; a table
-    with one row for each split gives how many rows come before it.
+    with one row for each split gives how many rows come before it. It is broadcast unless there are very many splits, so
+    that the text itself is not shuffled.
     """
     held = df.select("*", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_at"))
     splits = held.groupBy("_path", "_start").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_path", "_start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = held.join(splits.withColumn("_before", before).drop("_n"), ["_path", "_start"])
+    table = files.materialize(splits.withColumn("_before", before).drop("_n"), "row-splits")
+    placed = held.join(F.broadcast(table) if table.count() <= quoted.BROADCAST_SPLITS else table, ["_path", "_start"])
     return placed.withColumn(name, F.col("_before") + F.col("_at") - F.col("_first") + 1).drop("_path", "_start", "_at", "_first", "_before")
 
 
