@@ -11,10 +11,10 @@ A word goes when a window of 50 words over it also starts in a document with a s
    dealt to shards by document.
 4. Automata. For each shard an Aho-Corasick automaton is compiled over words as symbols. It holds seeds of
    eight words, the rarest of every 21 starts, so that every window over a passage has a whole seed. The
-   documents that share windows with the shard stream through it; every hit is extended over equal
-   words, and runs of 50 and more are the occurrences. Shards with many documents are dealt to several
-   tasks, each with its own copy of the automaton: a passage that a third of all documents share is as
-   cheap as any other.
+   documents that share windows with the shard stream through it; the windows over the hits are looked up
+   among the passages' windows, each once whether one passage or thousands have the seed, and those whose words
+   are equal are the occurrences. Shards with many documents are dealt to several tasks, each with its own copy
+   of the automaton: a passage that a third of all documents share is as cheap as any other.
 
 Defined results: null texts have no words; texts of fewer than 50 words lose none. A null id counts as larger
 than all others. Rows with equal ids never take words from each other. Rows with equal ids and texts are one text to
@@ -174,7 +174,7 @@ def _led(batches):
 
 
 class Shard:
-    """Passages of earlier documents and the automaton over their seeds."""
+    """Passages of earlier documents, the automaton over their seeds, and their windows by hash."""
 
     def __init__(self):
         self.owners, self.words, self.automaton = [], [], None
@@ -185,54 +185,65 @@ class Shard:
 
     @staticmethod
     def symbols(hashes: np.ndarray) -> str:
-        """One character a word; words that fall together give hits that do not extend."""
+        """One character a word; words that fall together give hits whose windows are not found."""
         return (hashes % np.uint64(0xF0000) + np.uint64(0x10000)).astype("<u4").tobytes().decode("utf-32-le")
 
     def compile(self):
         import ahocorasick
 
-        self.automaton = ahocorasick.Automaton()
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
         seeds = [runs(w, SEED) for w in self.words]
         kinds, at, count = np.unique(np.concatenate([*seeds, np.zeros(0, np.uint64)]), return_inverse=True, return_counts=True)
-        common, edge, found = count[at], 0, {}
-        for k, (w, s) in enumerate(zip(self.words, seeds)):
+        common, edge = count[at], 0
+        for w, s in zip(self.words, seeds):
             own = common[edge : edge + len(s)]
             edge += len(s)
             text = self.symbols(w)
             for a in range(0, len(s) - BLOCK + 1, BLOCK):
                 i = a + int(own[a : a + BLOCK].argmin())
-                found.setdefault(text[i : i + SEED], []).append((self.owners[k], k, i))
-        for seed, places in found.items():
-            self.automaton.add_word(seed, sorted(places))
+                self.automaton.add_word(text[i : i + SEED])
         self.automaton.make_automaton()
+        # Of equal windows the one with the smallest owner: where it begins in the passages end to end.
+        size = np.array([len(w) for w in self.words], np.int64)
+        self.flat = np.concatenate([*self.words, np.zeros(0, np.uint64)])
+        found = np.concatenate([*(runs(w, WINDOW) for w in self.words), np.zeros(0, np.uint64)])
+        n = np.maximum(size - WINDOW + 1, 0)
+        place = np.arange(len(found)) + np.repeat(np.cumsum(size) - size - (np.cumsum(n) - n), n)
+        owner = np.repeat(np.array(self.owners, np.int64), n)
+        order = np.lexsort((owner, found))
+        first = np.ones(len(order), bool)
+        first[1:] = found[order][1:] != found[order][:-1]
+        order = order[first]
+        self.windows, self.places, self.firsts = found[order], place[order], owner[order]
+        self.owners, self.words = [], []
 
     def occurrences(self, doc: int, hashes: np.ndarray) -> np.ndarray:
-        """Which words lie in a run of 50 or more that also lies in a passage of an earlier document."""
+        """Which words lie in a run of 50 or more that also lies in a passage of an earlier document.
+
+        The windows over the automaton's hits are looked up, each once, however many passages have its seeds.
+        """
         covered = np.zeros(len(hashes), bool)
         if self.automaton is None:
             self.compile()
-        if len(hashes) < WINDOW or not len(self.automaton):
+        if len(hashes) < WINDOW or not len(self.automaton) or not len(self.windows):
             return covered
-        tried = set()
-        for end, places in self.automaton.iter(self.symbols(hashes)):
-            seed = end - SEED + 1
-            # Every window over this hit lies here; what is covered needs no second passage.
-            around = slice(max(0, seed + SEED - WINDOW), seed + WINDOW)
-            for owner, k, i in places:
-                if owner >= doc or covered[around].all():
-                    break
-                shift = seed - i
-                if (k, shift) in tried:
-                    continue
-                tried.add((k, shift))
-                w = self.words[k]
-                lo, hi = max(0, -shift), min(len(w), len(hashes) - shift)
-                same = np.concatenate([[False], w[lo:hi] == hashes[lo + shift : hi + shift], [False]])
-                edge = np.flatnonzero(same[1:] != same[:-1])
-                for a, b in zip(edge[::2], edge[1::2]):
-                    if b - a >= WINDOW:
-                        covered[lo + shift + a : lo + shift + b] = True
-        return covered
+        seed = np.fromiter((end for end, _ in self.automaton.iter(self.symbols(hashes))), np.int64) - (SEED - 1)
+        start = np.flatnonzero(_spread(np.maximum(seed + SEED - WINDOW, 0), seed + 1, len(hashes) - WINDOW + 1))
+        wanted = runs(hashes, WINDOW)[start]
+        at = np.minimum(np.searchsorted(self.windows, wanted), len(self.windows) - 1)
+        ok = (self.windows[at] == wanted) & (self.firsts[at] < doc)
+        start, place = start[ok], self.places[at[ok]]
+        # Equal hashes are no proof yet: the words are compared.
+        same = np.ones(len(start), bool)
+        for i in range(WINDOW):
+            same &= hashes[start + i] == self.flat[place + i]
+        return _spread(start[same], start[same] + WINDOW, len(hashes))
+
+
+def _spread(begins: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
+    """Which of n places lie between some begin and its end."""
+    step = np.bincount(np.minimum(begins, n), minlength=n + 1) - np.bincount(np.minimum(ends, n), minlength=n + 1)
+    return np.cumsum(step[:n]) > 0
 
 
 def _passages(batches):
