@@ -111,9 +111,10 @@ def _forget() -> None:
 
 
 def tidied(run):
-    """``run``, a function of record batches, after which freed memory is given back."""
+    """``run``, a function of record batches, before which earlier stages' caches go and after which freed memory is given back."""
 
     def made(batches):
+        _forget()
         yield from run(batches)
         tidy()
 

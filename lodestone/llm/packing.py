@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, cached, gather, ship, slices, table
+from .common import batch, cached, gather, ship, slices, table, tidied
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 CACHE_ENTRIES, CACHE_CHARS = 200_000, 64  # twice: words seen again, and new ones; about 100 MB a worker
@@ -215,7 +215,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, e
     def run(batches):
         packer = HarmonicPacker(capacity, TaskContext.get().partitionId() << 33)
         rows: list[tuple] = []
-        for b in slices(batches, 1536, 4_500_000):
+        for b in slices(batches):
             tokens = cached(("words", tokenizer_path), lambda: WordTokenizer(tokenizer_path))
             for doc, ids in zip(b.column(0).to_pylist(), tokens(b.column(1).to_pylist())):
                 rows += packer.add(doc, ids + end)
@@ -226,7 +226,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, e
         if rows:
             yield batch(dict(zip(names, zip(*rows))), schema)
 
-    return src.mapInArrow(run, SCHEMA)
+    return src.mapInArrow(tidied(run), SCHEMA)
 
 
 def op7_packing(spark, sf_dir):

@@ -32,12 +32,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, cached, remainder, scratch, ship, slices, table
+from .common import batch, cached, remainder, scratch, ship, slices, table, tidied
 
 LETTER = re.compile(r"[^\W\d_]")
 DEPTH = 3
 PIECE = 16_384  # bytes of a text that are drawn together
 FOLD_BELOW = 1.0  # bits saved a byte
+STATES = 2048  # contexts whose distributions are made together
 UND = "und"
 
 
@@ -94,18 +95,22 @@ class ContextTrees:
                 symbols = np.stack([code[(keys >> (8 * (depth - i))) & 255] for i in range(depth + 1)], 1).astype(int)
                 number = symbols[:, :depth] @ place[depth] if depth else np.zeros(len(keys), int)
                 state = lookup[depth][number]
-                own = state >= first[depth]  # else the context is not a state
-                c = np.zeros((len(contexts[depth]), width))
-                np.add.at(c, (state[own] - first[depth], symbols[own, depth]), n[own])
-                lower = np.tile(uniform, (1, 1)) if not depth else p[lookup[depth - 1][contexts[depth][:, 1:] @ place[depth - 1]]]
-                total, kinds = c.sum(1, keepdims=True), (c > 0).sum(1, keepdims=True)
-                rest = np.where(c > 0, 0, lower)
-                mass = rest.sum(1, keepdims=True)
-                escape = np.where(mass > 0, kinds / np.maximum(total + kinds, 1), 0)
-                mixed = np.where(c > 0, c / np.maximum(total + np.where(mass > 0, kinds, 0), 1), escape * rest / np.maximum(mass, 1e-300))
-                p[first[depth] : first[depth + 1]] = np.where(total > 0, mixed, lower)
+                for at in range(first[depth], first[depth + 1], STATES):
+                    end = min(at + STATES, first[depth + 1])
+                    own = (state >= at) & (state < end)  # a context below this depth's states is not a state
+                    c = np.zeros((end - at, width))
+                    np.add.at(c, (state[own] - at, symbols[own, depth]), n[own])
+                    part = contexts[depth][at - first[depth] : end - first[depth]]
+                    lower = np.tile(uniform, (1, 1)) if not depth else p[lookup[depth - 1][part[:, 1:] @ place[depth - 1]]]
+                    total, kinds = c.sum(1, keepdims=True), (c > 0).sum(1, keepdims=True)
+                    rest = np.where(c > 0, 0, lower)
+                    mass = rest.sum(1, keepdims=True)
+                    escape = np.where(mass > 0, kinds / np.maximum(total + kinds, 1), 0)
+                    mixed = np.where(c > 0, c / np.maximum(total + np.where(mass > 0, kinds, 0), 1), escape * rest / np.maximum(mass, 1e-300))
+                    p[at:end] = np.where(total > 0, mixed, lower)
             p[:, other] /= split
-            costs[:, :, k] = -np.log2(np.maximum(p, 1e-30))
+            for at in range(0, len(p), STATES):
+                costs[at : at + STATES, :, k] = -np.log2(np.maximum(p[at : at + STATES], 1e-30))
         return code, width, lookup[DEPTH], costs.reshape(-1, len(self.languages))
 
     def code_lengths(self, texts: list[str]) -> np.ndarray:
@@ -205,11 +210,11 @@ def identify(docs: DataFrame, model: ContextTrees, id_col: str = "doc_id", text_
     schema = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())])
 
     def run(batches):
-        for b in slices(batches, chars=1_000_000):
+        for b in slices(batches, chars=250_000):
             names, scores = model.predict(b.column(1).to_pylist())
             yield batch({"doc_id": b.column(0), "lang_pred": names, "score": scores}, schema)
 
-    return src.mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return src.mapInArrow(tidied(run), "doc_id long, lang_pred string, score double")
 
 
 def keep_identified(docs: DataFrame, model: ContextTrees, min_saving: float = -1.0) -> DataFrame:
@@ -218,11 +223,11 @@ def keep_identified(docs: DataFrame, model: ContextTrees, min_saving: float = -1
     at = docs.columns.index("text")
 
     def run(batches):
-        for b in slices(batches, chars=1_000_000):
+        for b in slices(batches, chars=250_000):
             saved = model.savings(pc.cast(b.column(at), pa.string()).to_pylist())
             yield b.filter(pa.array([s >= min_saving for s in saved], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidied(run), docs.schema)
 
 
 def op5_language_id(spark, sf_dir):

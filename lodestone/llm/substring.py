@@ -343,8 +343,10 @@ def _with_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     spans = scratch(found.groupBy(F.col("doc_id").alias(key), F.col("tid").alias(tid)).agg(F.flatten(F.collect_list("begins")).alias(begins), F.flatten(F.collect_list("ends")).alias(ends)), "spans-by-doc")
     discard(found)
     bitmap = key_bitmap(spans, key, tid)
+    # Not by broadcast: what cuts the texts would share its stage with the filter, and each core would need two Python
+    # workers. Spark uses all workers it has in turn, so each of them would go on to hold the later stages' caches.
     whole = maybe_in(keyed, bitmap, key, tid, keep=False).select(*docs.columns)
-    return whole, maybe_in(keyed, bitmap, key, tid).join(spans, [key, tid], "left").select(*docs.columns, begins, ends)
+    return whole, maybe_in(keyed, bitmap, key, tid).join(spans.hint("merge"), [key, tid], "left").select(*docs.columns, begins, ends)
 
 
 def _kept(text: str | None, begins, ends) -> tuple[int, int, bytes]:
